@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, substring_dedup
 
-MODULES = (exact_dedup,)
+MODULES = (substring_dedup, exact_dedup)
 
 
 def queries() -> dict:
