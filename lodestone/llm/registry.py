@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, substring_dedup
+from . import exact_dedup, jaccard_join, substring_dedup
 
-MODULES = (substring_dedup, exact_dedup)
+MODULES = (jaccard_join, substring_dedup, exact_dedup)
 
 
 def queries() -> dict:
