@@ -35,7 +35,7 @@ def packed(x: np.ndarray) -> bytes:
 def unpacked(blob: bytes) -> np.ndarray:
     raw = np.frombuffer(blob, dtype=np.uint8)
     wide = int(raw[0])
-    out = np.zeros((len(raw) // wide, 8), dtype=np.uint8)
+    out = np.zeros(((len(raw) - 1) // wide, 8), dtype=np.uint8)
     out[:, :wide] = raw[1:].reshape(-1, wide)
     return out.view("<u8").ravel()
 
