@@ -25,10 +25,12 @@ from .shared import filter_slot, id_filter, in_filter, staged
 
 #: Words of a shingle, and the least similarity in percent.
 SHINGLE, PERCENT = 4, 85
-#: Bits of a bitmap, documents of a block of a tile, bytes hashed at a time.
-BITS, BLOCK, CHUNK = 1024, 256, 4 << 20
-#: A shingle in more tiles' documents than this goes to the end of the order, as do those in over 1 / SPREAD of all.
-COMMON, SPREAD = 1000, 100_000
+#: Least bits of a bitmap, documents of a block of a tile, bytes hashed at a time.
+BITS, BLOCK, CHUNK = 256, 256, 4 << 20
+#: Counters of the sketch that finds common shingles.  A counter is common above ``COMMON`` and ``EXCESS`` times the mean.
+COUNTERS, COMMON, EXCESS = 1 << 18, 1000, 8
+#: Low bits of a shingle's hash that its key in a tile leaves out; keys that then collide meet in vain.
+SHORTER = 24
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, width: int):
@@ -50,15 +52,56 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def bitmap(u: np.ndarray) -> bytes:
-    """Parities of the hashed elements: each element flips one bit, so bits that differ are at most elements that differ."""
-    slot = (mixed(u ^ np.uint64(0xA5A5)) % np.uint64(BITS)).astype(np.int64)
-    return np.packbits((np.bincount(slot, minlength=BITS) & 1).astype(np.uint8)).tobytes()
+    """Parities of the hashed elements, at least one bit for each of them.
+
+    Each element flips one bit, so bits that differ are at most elements that
+    differ.  The number of bits is a power of two, and a bitmap folds to half
+    by exclusive or, so bitmaps of any two sizes compare.
+    """
+    bits = max(BITS, 1 << max(0, len(u) - 1).bit_length())
+    slot = (mixed(u ^ np.uint64(0xA5A5)) % np.uint64(bits)).astype(np.int64)
+    return np.packbits((np.bincount(slot, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(bits: bytes, size: int) -> np.ndarray:
+    """The bitmap in ``size`` bytes, as 64-bit words."""
+    words = np.frombuffer(bits, np.uint64)
+    return np.bitwise_xor.reduce(words.reshape(-1, size // 8), axis=0) if len(bits) > size else words
+
+
+def _counter(u: np.ndarray) -> np.ndarray:
+    return (mixed(u ^ np.uint64(0x33)) % np.uint64(COUNTERS)).astype(np.int64)
+
+
+def _prefix(u: np.ndarray, percent: int, common: np.ndarray | None) -> np.ndarray:
+    """The first elements of a set: common ones last, else by hash."""
+    if common is not None:
+        late = common[_counter(u)]
+        u = np.concatenate([u[~late], u[late]])
+    return u[: prefix_length(len(u), percent)]
+
+
+def _count_prefixes(width: int, percent: int):
+    """A sketch of how many documents have each shingle in their prefix: one counter for many shingles."""
+
+    def run(batches):
+        total = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            raw, at = string_bytes(batch.column(0))
+            for low, high in slices(np.diff(at), CHUNK):
+                sets = shingle_sets(raw[at[low] : at[high]], at[low : high + 1] - at[low], width)
+                total += np.bincount(np.concatenate([_counter(_prefix(u, percent, None)) for u in sets if len(u)] or [np.zeros(0, np.int64)]), minlength=COUNTERS)
+        used = np.flatnonzero(total)
+        for i in range(0, len(used), 50_000):
+            yield pa.RecordBatch.from_pydict({"counter": used[i : i + 50_000], "n": total[used[i : i + 50_000]]})
+
+    return run
 
 
 _SETS = "doc_id long, n long, s1 long, s2 long, bits binary, prefix array<long>"
 
 
-def _signatures(width: int, percent: int, common: np.ndarray):
+def _signatures(width: int, percent: int, common: np.ndarray | None):
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -66,16 +109,12 @@ def _signatures(width: int, percent: int, common: np.ndarray):
             for low, high in slices(np.diff(at), CHUNK):
                 out = []
                 for u in shingle_sets(raw[at[low] : at[high]], at[low : high + 1] - at[low], width):
-                    n = len(u)
-                    if not n:
+                    if not len(u):
                         out.append((0, 0, 0, b"", np.zeros(0, np.int64)))
                         continue
-                    order = u
-                    if len(common):
-                        late = common[np.minimum(np.searchsorted(common, u), len(common) - 1)] == u
-                        order = np.concatenate([u[~late], u[late]])
                     sums = [int(mixed(u ^ np.uint64(k)).sum(dtype=np.uint64).view(np.int64)) for k in (0x11, 0x22)]
-                    out.append((n, *sums, bitmap(u), order[: prefix_length(n, percent)].view(np.int64)))
+                    keys = np.unique(_prefix(u, percent, common) >> np.uint64(SHORTER))
+                    out.append((len(u), *sums, bitmap(u), keys.view(np.int64)))
                 n, s1, s2, bits, prefix = zip(*out, strict=True)
                 flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32()), pa.array(np.concatenate(prefix), pa.int64()))
                 cols = [pa.array(ids[low:high], pa.int64()), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bits, pa.binary()), flat]
@@ -84,6 +123,17 @@ def _signatures(width: int, percent: int, common: np.ndarray):
     return run
 
 
+def _representatives(held: np.ndarray):
+    """Rows of ``found`` marked: ``sure`` if the filter of the other members of classes does not hold them."""
+
+    def run(batches):
+        for batch in batches:
+            sure = ~in_filter(held, batch.column(batch.num_columns - 1).to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sure)], [*batch.schema.names[:-1], "sure"])
+
+    return run
+
+
 def _full_sets(width: int, held: np.ndarray):
     """The sorted arrays of the documents that the filter holds."""
 
@@ -124,8 +174,10 @@ def _bounded(percent: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bits = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, BITS // 64) for i in (4, 5)]
-            differ = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
+            differ = np.empty(batch.num_rows, dtype=np.int64)
+            for k, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                size = min(len(x), len(y))
+                differ[k] = np.bitwise_count(folded(x, size) ^ folded(y, size)).sum(dtype=np.int64)
             n1, n2 = (batch.column(i).to_numpy() for i in (2, 3))
             fits = _similar(n1, n2, np.minimum((n1 + n2 - differ) // 2, np.minimum(n1, n2)), percent)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(fits))
@@ -168,7 +220,7 @@ def _tile_pairs(percent: int):
             edges = np.r_[0, cuts, len(tile)] if batch is None else np.r_[0, cuts]
             whole = int(edges[-1])
             rep, comp, n, side = (table.column(c).to_numpy()[:whole] for c in ("rep", "component", "n", "side"))
-            bits = np.frombuffer(b"".join(table.column("bits").slice(0, whole).to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            bits = np.array([folded(x, BITS // 8) for x in table.column("bits").slice(0, whole).to_pylist()], np.uint64).reshape(-1, BITS // 64)
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if high - low > 1:
@@ -221,36 +273,38 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     by 64-bit hashes.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    common = np.zeros(0, np.uint64)
-    while True:
-        found = staged(docs.mapInArrow(_signatures(width, percent, common), _SETS), "sets")
-        classes = staged(found.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
-        # A row stands for its class; ids that repeat with several texts stand for each.
-        reps = staged(
-            found.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "n", "s1", "s2"], "left_semi").select(F.col("doc_id").alias("rep"), "n", "bits", "prefix"),
-            "reps",
-        )
-        posted = reps.select("rep", "n", F.explode("prefix").alias("key"))
-        keys = staged(posted.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1"), "keys")
-        if len(common):
-            break
-        total = reps.agg(F.sum(F.size("prefix"))).first()[0] or 0
-        often = max(COMMON, total // SPREAD)  # so at most SPREAD keys
-        common = np.sort(keys.where(F.col("docs") > often).select("key").toPandas()["key"].to_numpy(dtype=np.int64).view(np.uint64))
-        if not len(common):
-            break
-    sets = reps.select("rep", "n", "bits")
+    counts = docs.select("text").mapInArrow(_count_prefixes(width, percent), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+    counts = counts.toPandas()  # as many rows as the sketch has counters, at most
+    common = np.zeros(COUNTERS, dtype=bool)
+    common[counts["counter"][counts["n"] > max(COMMON, EXCESS * int(counts["n"].sum()) // COUNTERS)].to_numpy(dtype=np.int64)] = True
+    found = staged(docs.mapInArrow(_signatures(width, percent, common if common.any() else None), _SETS), "sets")
+    # Equal sets are one class; its smallest id stands for it.
+    own = found.where("n > 0 AND doc_id IS NOT NULL")
+    classes = staged(own.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members")), "classes")
+    copied = own.select("doc_id", "n", "s1", "s2").join(classes.where("members > 1"), ["n", "s1", "s2"])
+    held = id_filter(copied.where("doc_id <> rep").select("doc_id").distinct(), "doc_id")
+    marked = own.select("doc_id", "n", "s1", "s2", "bits", "prefix", filter_slot("doc_id").alias("slot"))
+    marked = marked.mapInArrow(_representatives(held), f"{_SETS}, sure boolean")
+    unsure = marked.where("NOT sure").join(classes.select("n", "s1", "s2", F.col("rep").alias("doc_id")), ["doc_id", "n", "s1", "s2"], "left_semi")
+    reps = marked.where("sure").unionByName(unsure).select(F.col("doc_id").alias("rep"), "n", "bits", "prefix")
+    posted = reps.select("rep", "n", F.explode("prefix").alias("key"))
+    keys = staged(posted.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1").select("key"), "keys")
+    sets = staged(reps.select("rep", "n", "bits"), "bitmaps")
     # Sizes at the threshold's ratio lie in one band or in neighbours; a family is a band with the next one.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent * 1.001)))
-    tiles = posted.join(keys.select("key"), "key").select("rep", "n", "key", band.alias("band"))
+    tiles = posted.join(keys, "key").select("rep", "n", "key", band.alias("band"))
     tiles = staged(tiles.select("rep", "n", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("family"), "key").select("rep", "n", F.xxhash64("key", "family").alias("tile")), "tiles")
-    hubs = staged(tiles.groupBy("tile").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("docs")).where("docs > 1"), "hubs")
-    stars = staged(_distinct_pairs(tiles.join(hubs, "tile").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))), "stars")
+    # Tiles of the same documents are one tile.
+    members = [F.count(F.lit(1)).alias("docs"), F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x2")]
+    hubs = tiles.groupBy("tile").agg(F.min("rep").alias("hub"), *members).where("docs > 1")
+    hubs = staged(hubs.groupBy("hub", "docs", "x1", "x2").agg(F.min("tile").alias("tile")).select("tile", "hub", "docs"), "hubs")
+    tiles = staged(tiles.join(hubs, "tile"), "kept-tiles")
+    stars = staged(_distinct_pairs(tiles.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))), "stars")
     links = _verified(stars, docs, sets, width, percent, "stars")
     labels = staged(connected_components(links), "labels")
     # Tiles that still hold more than one component are compared in full.
     member = F.coalesce("component", "rep").alias("component")
-    placed = staged(tiles.join(hubs.select("tile"), "tile").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("tile", "rep", "n", member), "placed")
+    placed = staged(tiles.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("tile", "rep", "n", member), "placed")
     mixed_tiles = staged(placed.groupBy("tile").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("docs")).where("low < high").select("tile", "docs"), "mixed")
     blocks = F.ceil(F.col("docs") / F.lit(float(BLOCK))).cast("int")
     dealt = placed.join(mixed_tiles, "tile").join(sets.select("rep", "bits"), "rep").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
