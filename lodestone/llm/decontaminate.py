@@ -124,9 +124,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
         ),
         lambda acc: acc["n"],
     )
+    # Counted before the join, so that no text is shuffled for it.
+    docs = docs.select("doc_id", "text_hash", count_words(F.col("text")).alias("n_words"))
     return docs.join(found, same(found), "left").select(
         docs["doc_id"],
-        count_words(F.col("text")).alias("n_words"),
+        "n_words",
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("hits", F.expr("cast(array() as array<struct<at:int,length:int>>)")).alias("hits"),
         F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"),
