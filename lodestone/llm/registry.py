@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, jaccard_join, language_id, substring_dedup
+from . import bpe, decontaminate, exact_dedup, jaccard_join, language_id, substring_dedup, token_shards
 
-MODULES = (jaccard_join, substring_dedup, bpe, decontaminate, language_id, exact_dedup)
+MODULES = (jaccard_join, substring_dedup, bpe, decontaminate, token_shards, language_id, exact_dedup)
 
 
 def queries() -> dict:
