@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, html_text, jaccard_join, language_id, substring_dedup, token_shards
+from . import bpe, decontaminate, exact_dedup, html_text, jaccard_join, language_id, substring_dedup, token_shards, toxicity
 
-MODULES = (jaccard_join, substring_dedup, html_text, bpe, decontaminate, token_shards, language_id, exact_dedup)
+MODULES = (jaccard_join, substring_dedup, html_text, bpe, decontaminate, toxicity, token_shards, language_id, exact_dedup)
 
 
 def queries() -> dict:
