@@ -335,33 +335,43 @@ def default_path() -> str:
 _OUT = "doc_id long, n_tokens long, ids binary, decoded string"
 
 
+#: Bytes of ids and text that a worker gathers before it hands them on.
+HELD = 8 << 20
+
+
 def _digests(path: str, real: bool):
-    """(doc_id, text) in; counts and digests out, or the ids and the decoded text themselves."""
+    """(doc_id, text, ...) in; the number of ids, then digests of ids and decoded text, or these themselves."""
+    names = ("n_tokens", "ids", "decoded") if real else ("n_tokens", "ids_sha256", "decoded_sha256")
+    kinds = (pa.int64(), pa.binary(), pa.string()) if real else (pa.int64(), pa.string(), pa.string())
 
     def run(batches):
         t = transducer(path)
         for batch in batches:
             rows: list[tuple] = []
+            low, size = 0, 0
+
+            def done(low, rows, batch=batch):
+                part = batch.slice(low, len(rows))
+                cols = list(zip(*rows, strict=True)) or [[], [], []]
+                made = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
+                return pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], *made], ["doc_id", *batch.schema.names[2:], *names])
+
             for text in batch.column(1).to_pylist():
-                ids, names, n = hashlib.sha256(), hashlib.sha256(), 0
-                all_ids, all_names, between = [], [], b""
+                n, between = 0, b""
+                ids, spelled = ([], []) if real else (hashlib.sha256(), hashlib.sha256())
+                keep_ids, keep_spelled = (ids.append, spelled.append) if real else (ids.update, spelled.update)
                 for blob, name in t.encode(text or ""):
-                    if not blob:
-                        continue
-                    name = between + name
-                    n += len(blob) // 4
-                    between = b" "
-                    ids.update(blob)
-                    names.update(name)
-                    if real:
-                        all_ids.append(blob)
-                        all_names.append(name)
-                rows.append((n, b"".join(all_ids), b"".join(all_names).decode()) if real else (n, ids.hexdigest(), names.hexdigest()))
-            cols = list(zip(*rows, strict=True)) or [[], [], []]
-            kinds = (pa.int64(), pa.binary(), pa.string()) if real else (pa.int64(), pa.string(), pa.string())
-            names_ = ("n_tokens", "ids", "decoded") if real else ("n_tokens", "ids_sha256", "decoded_sha256")
-            extra = batch.columns[2:]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *extra, *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["doc_id", *batch.schema.names[2:], *names_])
+                    if blob:
+                        n += len(blob) // 4
+                        keep_ids(blob)
+                        keep_spelled(between + name)
+                        between = b" "
+                rows.append((n, b"".join(ids), b"".join(spelled).decode()) if real else (n, ids.hexdigest(), spelled.hexdigest()))
+                size += len(rows[-1][1]) + len(rows[-1][2])
+                if size > HELD:
+                    yield done(low, rows)
+                    low, rows, size = low + len(rows), [], 0
+            yield done(low, rows)
 
     return run
 
@@ -393,12 +403,12 @@ def op4_bpe(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All columns of the documents, and their tokens' number and digests."""
-    path = default_path()
+    """The documents' columns but the text, and their tokens: number, ids, and the digests of ids and decoded text."""
     kept = [c for c in docs.columns if c not in ("doc_id", "text")]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *kept)
-    return rows.mapInArrow(_digests(path, False), f"doc_id long, {kinds + ', ' if kinds else ''}n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = rows.mapInArrow(_digests(default_path(), True), f"doc_id long, {kinds + ', ' if kinds else ''}n_tokens long, ids binary, decoded string")
+    return out.select("doc_id", *kept, "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 QUERIES = {"op4_bpe": op4_bpe}
