@@ -26,11 +26,11 @@ from .shared import filter_slot, id_filter, in_filter, staged
 #: Words of a shingle, and the least similarity in percent.
 SHINGLE, PERCENT = 4, 85
 #: Least bits of a bitmap, documents of a block of a tile, bytes hashed at a time.
-BITS, BLOCK, CHUNK = 256, 256, 4 << 20
+BITS, BLOCK, CHUNK = 256, 1024, 4 << 20
 #: Counters of the sketch that finds common shingles.  A counter is common above ``COMMON`` and ``EXCESS`` times the mean.
 COUNTERS, COMMON, EXCESS = 1 << 18, 1000, 8
 #: Low bits of a shingle's hash that its key in a tile leaves out; keys that then collide meet in vain.
-SHORTER = 24
+SHORTER = 16
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, width: int):
@@ -124,12 +124,13 @@ def _signatures(width: int, percent: int, common: np.ndarray | None):
 
 
 def _representatives(held: np.ndarray):
-    """Rows of ``found`` marked: ``sure`` if the filter of the other members of classes does not hold them."""
+    """Rows of ``found`` with the bitmap folded to ``BITS``, and marked ``sure`` if the filter of the other members of classes does not hold them."""
 
     def run(batches):
         for batch in batches:
             sure = ~in_filter(held, batch.column(batch.num_columns - 1).to_numpy())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sure)], [*batch.schema.names[:-1], "sure"])
+            coarse = pa.array([folded(x, BITS // 8).tobytes() for x in batch.column(4).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], coarse, pa.array(sure)], [*batch.schema.names[:-1], "coarse", "sure"])
 
     return run
 
@@ -220,7 +221,7 @@ def _tile_pairs(percent: int):
             edges = np.r_[0, cuts, len(tile)] if batch is None else np.r_[0, cuts]
             whole = int(edges[-1])
             rep, comp, n, side = (table.column(c).to_numpy()[:whole] for c in ("rep", "component", "n", "side"))
-            bits = np.array([folded(x, BITS // 8) for x in table.column("bits").slice(0, whole).to_pylist()], np.uint64).reshape(-1, BITS // 64)
+            bits = np.frombuffer(b"".join(table.column("coarse").slice(0, whole).to_pylist()), np.uint64).reshape(-1, BITS // 64)
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if high - low > 1:
@@ -284,20 +285,20 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     copied = own.select("doc_id", "n", "s1", "s2").join(classes.where("members > 1"), ["n", "s1", "s2"])
     held = id_filter(copied.where("doc_id <> rep").select("doc_id").distinct(), "doc_id")
     marked = own.select("doc_id", "n", "s1", "s2", "bits", "prefix", filter_slot("doc_id").alias("slot"))
-    marked = marked.mapInArrow(_representatives(held), f"{_SETS}, sure boolean")
+    marked = marked.mapInArrow(_representatives(held), f"{_SETS}, coarse binary, sure boolean")
     unsure = marked.where("NOT sure").join(classes.select("n", "s1", "s2", F.col("rep").alias("doc_id")), ["doc_id", "n", "s1", "s2"], "left_semi")
-    reps = marked.where("sure").unionByName(unsure).select(F.col("doc_id").alias("rep"), "n", "bits", "prefix")
+    reps = marked.where("sure").unionByName(unsure).select(F.col("doc_id").alias("rep"), "n", "bits", "coarse", "prefix")
     posted = reps.select("rep", "n", F.explode("prefix").alias("key"))
     keys = staged(posted.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1").select("key"), "keys")
-    sets = staged(reps.select("rep", "n", "bits"), "bitmaps")
+    sets = staged(reps.select("rep", "n", "bits", "coarse"), "bitmaps")
     # Sizes at the threshold's ratio lie in one band or in neighbours; a family is a band with the next one.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent * 1.001)))
     tiles = posted.join(keys, "key").select("rep", "n", "key", band.alias("band"))
     tiles = staged(tiles.select("rep", "n", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("family"), "key").select("rep", "n", F.xxhash64("key", "family").alias("tile")), "tiles")
     # Tiles of the same documents are one tile.
-    members = [F.count(F.lit(1)).alias("docs"), F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x2")]
+    members = [F.count(F.lit(1)).alias("docs"), F.bit_xor(F.xxhash64("rep")).alias("xor")]
     hubs = tiles.groupBy("tile").agg(F.min("rep").alias("hub"), *members).where("docs > 1")
-    hubs = staged(hubs.groupBy("hub", "docs", "x1", "x2").agg(F.min("tile").alias("tile")).select("tile", "hub", "docs"), "hubs")
+    hubs = staged(hubs.groupBy("hub", "docs", "xor").agg(F.min("tile").alias("tile")).select("tile", "hub", "docs"), "hubs")
     tiles = staged(tiles.join(hubs, "tile"), "kept-tiles")
     stars = staged(_distinct_pairs(tiles.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))), "stars")
     links = _verified(stars, docs, sets, width, percent, "stars")
@@ -307,12 +308,12 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     placed = staged(tiles.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("tile", "rep", "n", member), "placed")
     mixed_tiles = staged(placed.groupBy("tile").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("docs")).where("low < high").select("tile", "docs"), "mixed")
     blocks = F.ceil(F.col("docs") / F.lit(float(BLOCK))).cast("int")
-    dealt = placed.join(mixed_tiles, "tile").join(sets.select("rep", "bits"), "rep").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
+    dealt = placed.join(mixed_tiles, "tile").join(sets.select("rep", "coarse"), "rep").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
     # Each pair of blocks is a tile of its own: a document goes to those of its block with every other one.
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(
         F.xxhash64("tile", F.least("own", "other"), F.greatest("own", "other")).alias("tile"),
-        "rep", "component", "n", "bits", (F.col("own") > F.col("other")).cast("int").alias("side"),
+        "rep", "component", "n", "coarse", (F.col("own") > F.col("other")).cast("int").alias("side"),
     )
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rest = dealt.repartition(n_parts, "tile").sortWithinPartitions("tile", "rep").mapInArrow(_tile_pairs(percent), "a long, b long")
