@@ -256,6 +256,24 @@ def number_check(spark, d):
     return joined.select("conv_id", "turn", F.array_join(F.array_sort(checking.unsupported_numbers(F.col("text"), F.col("evidence"))), ";").alias("unsupported"))
 
 
+def verification_flags(spark, d):
+    """What is to be said of each assistant's turn: abstention, unsupported numbers, or OK."""
+    rows = _t(spark, d, "conversations")
+    heard = rows.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("evidence"))
+    joined = rows.where("role = 'assistant'").join(heard, ["conv_id", "turn"], "left")
+    flags = checking.flags(checking.abstains(F.col("text")), checking.unsupported_numbers(F.col("text"), F.col("evidence")), F.col("turn") > 5)
+    return joined.select("conv_id", "turn", F.array_join(flags, ",").alias("flags"))
+
+
+def result_shape(spark, d):
+    """The turns of each conversation as the pages of a result: ranked from 1, a score of 0 giving way to the reranker's."""
+    page = F.struct("turn", F.col("role").alias("document_name"), F.col("turn").alias("page_number"), F.when(F.col("turn") > 1, F.char_length("text").cast("double")).when(F.col("turn") == 0, 0.0).alias("score"), (F.col("turn") + 0.5).cast("double").alias("rerank_score"))
+    packed = _t(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(page)).alias("pages"))
+    both = checking.zipped(checking.safe_evidence(F.col("pages")), checking.page_scores(F.col("pages")))
+    row = F.transform(both, lambda x: F.concat_ws("|", x["a"]["rank"].cast("string"), x["a"]["document_name"], x["b"]["page_number"].cast("string"), x["b"]["score"].cast("decimal(18,1)").cast("string")))
+    return packed.select("conv_id", F.array_join(row, ";").alias("shaped"))
+
+
 def hit_at_k(spark, d):
     """How often the three nearest vectors have one of the asker's label."""
     labels = _t(spark, d, "embeddings").select("vec_id", "label")
@@ -305,7 +323,7 @@ def session_stream(spark, d):
 _FUNCTIONS = (
     normalize_text, faq_dedup_first, faq_dedup_last, faq_duplicates, counts_with_zero, split_distinct, exact_lookup, faq_match, route_decide, turn_errors,
     ref_integrity, edge_resolve, option_lists, reach_paths, evidence_enumerate, rag_gate, metadata_filter, masked_errors, marked_up, html_strip, chunk_docs,
-    char_bigrams, bm25_topk, dense_topk, rrf_fuse, small_to_big, doc_gate, rank_floor, vision_route, number_check, hit_at_k, keyword_recall, latency_summary,
+    char_bigrams, bm25_topk, dense_topk, rrf_fuse, small_to_big, doc_gate, rank_floor, vision_route, number_check, verification_flags, result_shape, hit_at_k, keyword_recall, latency_summary,
     model_calls, breadcrumbs, session_stream,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
@@ -359,6 +377,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, do
     "vision_route": "SELECT doc_id, CASE WHEN 1000.0 / (n_chars + 1) >= 0.5 OR (n_chars < 50 AND source = 'src0') THEN 'vision' ELSE 'text' END AS mode FROM documents",
     "number_check": r"""WITH n AS (SELECT conv_id, turn, role, list_transform(regexp_extract_all(text, '\d+(?:[.,]\d+)*'), lambda x: replace(x, ',', '')) AS x FROM conversations)
 SELECT a.conv_id, a.turn, coalesce(array_to_string(list_sort(list_distinct(list_filter(a.x, lambda v: NOT list_contains(coalesce(h.x, []), v)))), ';'), '') AS unsupported FROM n a LEFT JOIN n h ON h.conv_id = a.conv_id AND h.turn + 1 = a.turn WHERE a.role = 'assistant'""",
+    "verification_flags": r"""WITH n AS (SELECT conv_id, turn, role, text, list_transform(regexp_extract_all(text, '\d+(?:[.,]\d+)*'), lambda x: replace(x, ',', '')) AS x FROM conversations),
+f AS (SELECT a.conv_id, a.turn, concat_ws(',', CASE WHEN contains(lower(a.text), 'cannot be confirmed') OR contains(lower(a.text), 'no evidence') OR contains(lower(a.text), 'not found in the documents') THEN 'abstain' END,
+CASE WHEN len(list_filter(a.x, lambda v: NOT list_contains(coalesce(h.x, []), v))) > 0 THEN 'unsupported_claims' END, CASE WHEN a.turn > 5 THEN 'ocr_mismatch' END) AS flags
+FROM n a LEFT JOIN n h ON h.conv_id = a.conv_id AND h.turn + 1 = a.turn WHERE a.role = 'assistant') SELECT conv_id, turn, CASE WHEN flags = '' THEN 'OK' ELSE flags END AS flags FROM f""",
+    "result_shape": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations)
+SELECT conv_id, string_agg(k || '|' || role || '|' || turn || '|' || CAST(CAST(CASE WHEN turn > 1 AND length(text) > 0 THEN length(text) ELSE turn + 0.5 END AS DECIMAL(18,1)) AS VARCHAR), ';' ORDER BY turn) AS shaped FROM r GROUP BY conv_id""",
     "hit_at_k": """WITH p AS (SELECT q.vec_id AS query_id, q.label AS want, v.vec_id, v.label, round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM p), h AS (SELECT query_id, max(CASE WHEN k <= 3 AND label = want THEN 1 ELSE 0 END) AS hit FROM r GROUP BY query_id)
 SELECT count(*) AS queries, CAST(sum(hit) AS BIGINT) AS hits, round(avg(hit), 6) AS hit_rate FROM h""",
