@@ -22,7 +22,7 @@ from .shared import FILTER_BITS, in_filter, staged, text_mb
 #: Words of a window.
 WIDTH = 13
 #: Bytes of text hashed and sorted at a time, and megabytes of text for each range of hashes or group of documents.
-CHUNK, RANGE_MB = 8 << 20, 4
+CHUNK, RANGE_MB = 4 << 20, 4
 
 
 def packed(x: np.ndarray) -> bytes:
