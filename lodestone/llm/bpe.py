@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Symbols beyond the lookahead that a window holds, words whose tokens a worker remembers, characters read at a time.
-BLOCK, REMEMBERED, READ = 4096, 1 << 19, 1 << 16
+BLOCK, REMEMBERED, READ = 4096, 1 << 17, 1 << 16
 #: White space, fixed by the library's regular expressions: U+0085 and the Unicode space separators included.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 

@@ -23,7 +23,7 @@ SLOTS, LOOKUPS = 1 << 20, 3
 #: A language has an n-gram whose share of its text is at least ``LEAST_SHARE``, and ``NEAR`` of the largest share in any language.
 LEAST_SHARE, NEAR = 1e-6, 0.25
 #: Bytes of text at a time.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 UNKNOWN = "und"
 
 _SPACE = np.uint8(32)

@@ -17,7 +17,7 @@ import pyarrow as pa
 BYTE_BASE = np.uint64(0x9E3779B97F4A7C15)
 WORD_BASE = np.uint64(0xD6E8FEB86659FD93)
 #: Bytes hashed at a time.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -45,7 +45,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(20, int(n).bit_length())
+    size = 1 << max(16, int(n).bit_length())
     up, down = _powers(int(base), size)
     return up[:n], down[:n]
 
