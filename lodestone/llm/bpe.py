@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 #: Symbols beyond the lookahead that a window holds, words whose tokens a worker remembers, characters read at a time.
 BLOCK, REMEMBERED, READ = 4096, 1 << 17, 1 << 16
 #: White space, fixed by the library's regular expressions: U+0085 and the Unicode space separators included.
@@ -388,12 +390,14 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", doc_id: str =
     repeated ids are carried as they are.  An empty table gives an empty
     result; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(_digests(path, True), _OUT)
 
 
 def encoded_digests(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """As :func:`encode_decode`, with the SHA-256 of ids and decoded text, which are never held whole."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(_digests(path, False), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -404,6 +408,7 @@ def op4_bpe(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' columns but the text, and their tokens: number, ids, and the digests of ids and decoded text."""
+    small_batches(spark)
     kept = [c for c in docs.columns if c not in ("doc_id", "text")]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *kept)

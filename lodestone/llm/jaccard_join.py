@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .rolling import mixed, slices, string_bytes, window_hashes, word_hashes
-from .shared import filter_slot, id_filter, in_filter, staged
+from .shared import filter_slot, id_filter, in_filter, small_batches, staged
 
 #: Words of a shingle, and the least similarity in percent.
 SHINGLE, PERCENT = 4, 85
@@ -273,6 +273,7 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     gives an empty result; other columns are not read.  Shingles are told apart
     by 64-bit hashes.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     counts = docs.select("text").mapInArrow(_count_prefixes(width, percent), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
     counts = counts.toPandas()  # as many rows as the sketch has counters, at most

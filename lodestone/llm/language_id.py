@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rolling import mixed, slices, string_bytes
-from .shared import staged
+from .shared import small_batches, staged
 
 #: Bytes of the n-grams.
 LENGTHS = (3, 4)
@@ -187,6 +187,7 @@ def predict(docs: DataFrame, filters: Filters, keep: list[str], text: str = "tex
     and so does everything if nothing was learned.  ``keep`` must not hold
     ``lang_pred`` or ``score``.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # 8 MB at any size
     rows = docs.select(F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_lettered"), *keep)
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)

@@ -10,6 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch between Spark and the workers.
+BATCH = "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to :data:`BATCH`, so that long texts don't fill a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
@@ -35,6 +44,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     flight, and what was written is never computed a second time.
     """
     path = fresh_path(df.sparkSession, name)
+    small_batches(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rolling import mixed, slices, string_bytes, window_hashes, word_hashes
-from .shared import FILTER_BITS, in_filter, staged, text_mb
+from .shared import FILTER_BITS, in_filter, small_batches, staged, text_mb
 
 #: Words of a window.
 WIDTH = 13
@@ -258,6 +258,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     hashes.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    small_batches(docs.sparkSession)
     ranges = groups = int(text_mb(docs) / RANGE_MB) + 1
     sent = docs.mapInArrow(_hash_windows(width, ranges, groups), "bucket long, base long, docs binary, hashes binary")
     flags = staged(sent.groupBy("bucket").applyInArrow(_repeated(groups), "doc_group long, base long, docs binary, hashes binary"), "repeats")

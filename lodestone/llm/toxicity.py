@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 #: At most this many labelled documents of either label are fitted to.
 SAMPLE = 20_000
 #: Hashed features, those that a model may weigh, and the least evidence for one.
@@ -191,6 +193,7 @@ def scored(docs: DataFrame, model: tuple[float, dict[int, float]], keep: list[st
     score 0.  Without labels of both kinds the model scores all near 0.
     Repeated rows all come back; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most WEIGHED weights
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     rows = docs.select(F.col(text).alias("_text"), *keep)
