@@ -124,12 +124,12 @@ def _signatures(width: int, percent: int, common: np.ndarray | None):
 
 
 def _representatives(held: np.ndarray):
-    """Rows of ``found`` with the bitmap folded to ``BITS``, and marked ``sure`` if the filter of the other members of classes does not hold them."""
+    """Rows of ``found`` with the bitmap folded to half, and marked ``sure`` if the filter of the other members of classes does not hold them."""
 
     def run(batches):
         for batch in batches:
             sure = ~in_filter(held, batch.column(batch.num_columns - 1).to_numpy())
-            coarse = pa.array([folded(x, BITS // 8).tobytes() for x in batch.column(4).to_pylist()], pa.binary())
+            coarse = pa.array([folded(x, max(BITS // 8, len(x) // 2)).tobytes() for x in batch.column(4).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], coarse, pa.array(sure)], [*batch.schema.names[:-1], "coarse", "sure"])
 
     return run
@@ -190,10 +190,13 @@ def _tile_pairs(percent: int):
     """Rows ordered by tile in; pairs of different components whose bitmaps allow the threshold out.
 
     A tile's rows hold at most two blocks: ``side`` 0 is compared with ``side``
-    1, or with itself if there is no other.
+    1, or with itself if there is no other.  Two bitmaps are compared at the
+    smaller one's size.
     """
 
     def pairs(rep, comp, n, bits, side):
+        size = np.array([len(x) for x in bits])
+        at = {s: np.stack([folded(x, s) if len(x) >= s else np.zeros(s // 8, np.uint64) for x in bits]) for s in np.unique(size).tolist()}
         zero = side == 0
         left = np.flatnonzero(zero)
         right = np.flatnonzero(~zero) if not zero.all() else left
@@ -203,7 +206,10 @@ def _tile_pairs(percent: int):
             fits = rest[comp[rest] != comp[i]]
             if not len(fits):
                 continue
-            differ = np.bitwise_count(bits[fits] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            differ, shared = np.zeros(len(fits), dtype=np.int64), np.minimum(size[fits], size[i])
+            for s, folds in at.items():
+                own = shared == s
+                differ[own] = np.bitwise_count(folds[fits[own]] ^ folds[i]).sum(axis=1, dtype=np.int64)
             most = np.minimum((n[fits] + n[i] - differ) // 2, np.minimum(n[fits], n[i]))
             fits = fits[_similar(n[fits], n[i], most, percent)]
             out_a.append(np.minimum(rep[fits], rep[i]))
@@ -221,7 +227,7 @@ def _tile_pairs(percent: int):
             edges = np.r_[0, cuts, len(tile)] if batch is None else np.r_[0, cuts]
             whole = int(edges[-1])
             rep, comp, n, side = (table.column(c).to_numpy()[:whole] for c in ("rep", "component", "n", "side"))
-            bits = np.frombuffer(b"".join(table.column("coarse").slice(0, whole).to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            bits = table.column("coarse").slice(0, whole).to_pylist()
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if high - low > 1:
