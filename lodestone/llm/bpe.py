@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import lean, small_batches
 
 #: Symbols beyond the lookahead that a window holds, words whose tokens a worker remembers, characters read at a time.
 BLOCK, REMEMBERED, READ = 4096, 1 << 17, 1 << 16
@@ -392,14 +392,14 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", doc_id: str =
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_digests(path, True), _OUT)
+    return rows.mapInArrow(lean(_digests(path, True)), _OUT)
 
 
 def encoded_digests(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """As :func:`encode_decode`, with the SHA-256 of ids and decoded text, which are never held whole."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_digests(path, False), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(lean(_digests(path, False)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:
@@ -412,7 +412,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("doc_id", "text")]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *kept)
-    out = rows.mapInArrow(_digests(default_path(), True), f"doc_id long, {kinds + ', ' if kinds else ''}n_tokens long, ids binary, decoded string")
+    out = rows.mapInArrow(lean(_digests(default_path(), True)), f"doc_id long, {kinds + ', ' if kinds else ''}n_tokens long, ids binary, decoded string")
     return out.select("doc_id", *kept, "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .rolling import mixed, slices, string_bytes, window_hashes, word_hashes
-from .shared import filter_slot, id_filter, in_filter, small_batches, staged
+from .shared import filter_slot, id_filter, in_filter, lean, small_batches, staged
 
 #: Words of a shingle, and the least similarity in percent.
 SHINGLE, PERCENT = 4, 85
@@ -255,14 +255,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, pe
     """The ``pairs`` (a, b) that reach the threshold: by size, then bit counts, then sorted arrays."""
     side = lambda x: sets.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    near = staged(sized.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_bounded(percent), "a long, b long"), f"{name}-near")
+    near = staged(sized.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(lean(_bounded(percent)), "a long, b long"), f"{name}-near")
     ends = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
     held = id_filter(ends, "doc_id")
-    items = docs.select("doc_id", "text", filter_slot("doc_id").alias("slot")).mapInArrow(_full_sets(width, held), "doc_id long, items binary")
+    items = docs.select("doc_id", "text", filter_slot("doc_id").alias("slot")).mapInArrow(lean(_full_sets(width, held)), "doc_id long, items binary")
     items = staged(items.join(ends, "doc_id", "left_semi"), f"{name}-items")
     with_a = near.join(items.select(F.col("doc_id").alias("a"), F.col("items").alias("items_a")), "a")
     with_both = with_a.join(items.select(F.col("doc_id").alias("b"), F.col("items").alias("items_b")), "b")
-    return staged(with_both.select("a", "b", "items_a", "items_b").mapInArrow(_exact(percent), "a long, b long"), f"{name}-links")
+    return staged(with_both.select("a", "b", "items_a", "items_b").mapInArrow(lean(_exact(percent)), "a long, b long"), f"{name}-links")
 
 
 def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -281,18 +281,18 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    counts = docs.select("text").mapInArrow(_count_prefixes(width, percent), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(lean(_count_prefixes(width, percent)), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
     counts = counts.toPandas()  # as many rows as the sketch has counters, at most
     common = np.zeros(COUNTERS, dtype=bool)
     common[counts["counter"][counts["n"] > max(COMMON, EXCESS * int(counts["n"].sum()) // COUNTERS)].to_numpy(dtype=np.int64)] = True
-    found = staged(docs.mapInArrow(_signatures(width, percent, common if common.any() else None), _SETS), "sets")
+    found = staged(docs.mapInArrow(lean(_signatures(width, percent, common if common.any() else None)), _SETS), "sets")
     # Equal sets are one class; its smallest id stands for it.
     own = found.where("n > 0 AND doc_id IS NOT NULL")
     classes = staged(own.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members")), "classes")
     copied = own.select("doc_id", "n", "s1", "s2").join(classes.where("members > 1"), ["n", "s1", "s2"])
     held = id_filter(copied.where("doc_id <> rep").select("doc_id").distinct(), "doc_id")
     marked = own.select("doc_id", "n", "s1", "s2", "bits", "prefix", filter_slot("doc_id").alias("slot"))
-    marked = marked.mapInArrow(_representatives(held), f"{_SETS}, coarse binary, sure boolean")
+    marked = marked.mapInArrow(lean(_representatives(held)), f"{_SETS}, coarse binary, sure boolean")
     unsure = marked.where("NOT sure").join(classes.select("n", "s1", "s2", F.col("rep").alias("doc_id")), ["doc_id", "n", "s1", "s2"], "left_semi")
     reps = marked.where("sure").unionByName(unsure).select(F.col("doc_id").alias("rep"), "n", "bits", "coarse", "prefix")
     posted = reps.select("rep", "n", F.explode("prefix").alias("key"))
@@ -323,7 +323,7 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
         "rep", "component", "n", "coarse", (F.col("own") > F.col("other")).cast("int").alias("side"),
     )
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rest = dealt.repartition(n_parts, "tile").sortWithinPartitions("tile", "rep").mapInArrow(_tile_pairs(percent), "a long, b long")
+    rest = dealt.repartition(n_parts, "tile").sortWithinPartitions("tile", "rep").mapInArrow(lean(_tile_pairs(percent)), "a long, b long")
     rest = staged(_distinct_pairs(rest).join(stars, ["a", "b"], "left_anti"), "rest")
     more = _verified(rest, docs, sets, width, percent, "rest")
     of_class = connected_components(links.unionByName(more))

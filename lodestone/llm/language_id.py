@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rolling import mixed, slices, string_bytes
-from .shared import small_batches, staged
+from .shared import lean, small_batches, staged
 
 #: Bytes of the n-grams.
 LENGTHS = (3, 4)
@@ -137,7 +137,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Filters:
     and the languages, of which there may be 63.
     """
     rows = docs.where(F.col(lang).isNotNull()).select(F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"), F.col(lang).cast("string").alias("lang"))
-    counted = staged(rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    counted = staged(rows.mapInArrow(lean(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(totals)
     if len(langs) > 63:
@@ -150,7 +150,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Filters:
     largest = shares.groupBy("gram").agg(F.max("share").alias("most"), F.collect_list(F.struct("bit", "share")).alias("each")).where(F.col("most") >= LEAST_SHARE)
     bits = F.transform(F.filter("each", lambda x: x["share"] >= NEAR * F.col("most")), lambda x: x["bit"])
     masks = largest.select("gram", F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)).alias("mask"))
-    filled = masks.mapInArrow(_fill, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toPandas()
+    filled = masks.mapInArrow(lean(_fill), "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toPandas()
     table = np.zeros(SLOTS, dtype=np.uint64)
     table[filled["slot"].to_numpy(dtype=np.int64)] = filled["mask"].to_numpy(dtype=np.int64).view(np.uint64)
     return Filters(langs, table, max(langs, key=lambda x: (totals[x], x)))
@@ -191,7 +191,7 @@ def predict(docs: DataFrame, filters: Filters, keep: list[str], text: str = "tex
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # 8 MB at any size
     rows = docs.select(F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_lettered"), *keep)
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(_predict(shared), f"{kinds}, lang_pred string, score double")
+    return rows.mapInArrow(lean(_predict(shared)), f"{kinds}, lang_pred string, score double")
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5, fold: int = 0):
