@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .shared import small_batches
 
-#: At most this many labelled documents of either label are fitted to.
+#: At most this many labelled documents of either label are fitted to, weighted to the share that either has of all.
 SAMPLE = 20_000
 #: Hashed features, those that a model may weigh, and the least evidence for one.
 SLOTS, WEIGHED, LEAST_Z, LEAST_DOCS = 1 << 20, 1 << 16, 3.0, 4
@@ -81,8 +81,13 @@ def _instances(weighed: np.ndarray):
     return run
 
 
-def fit(labels: np.ndarray, slots: list[np.ndarray], start: dict[int, float]) -> tuple[float, dict[int, float]]:
-    """Bias and weights that make the noisy-or of the sentences' scores likely, by Adam."""
+def fit(labels: np.ndarray, slots: list[np.ndarray], start: dict[int, float], stands: np.ndarray | None = None) -> tuple[float, dict[int, float]]:
+    """Bias and weights that make the noisy-or of the sentences' scores likely, by Adam.
+
+    ``stands`` tells for how many labelled rows each row stands; one each if not given.
+    """
+    stands = np.ones(len(slots)) if stands is None else np.asarray(stands, dtype=np.float64)
+    all_rows = stands.sum()
     names = np.array(sorted(start), dtype=np.int64)
     flat = np.concatenate([*slots, np.zeros(0, np.int64)]).astype(np.int64)
     ends = np.flatnonzero(flat == -1)
@@ -97,18 +102,22 @@ def fit(labels: np.ndarray, slots: list[np.ndarray], start: dict[int, float]) ->
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         none = np.bincount(doc, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(slots))  # log of "no sentence is"
         any_ = np.maximum(-np.expm1(none), 1e-12)
-        slope = np.where(labels[doc] == 1, p * np.exp(none)[doc] / any_[doc], -p)
-        grad = np.append(np.bincount(column, weights=slope[row], minlength=len(w)) / len(slots) - PENALTY * w, slope.sum() / len(slots))
+        slope = np.where(labels[doc] == 1, p * np.exp(none)[doc] / any_[doc], -p) * stands[doc]
+        grad = np.append(np.bincount(column, weights=slope[row], minlength=len(w)) / all_rows - PENALTY * w, slope.sum() / all_rows)
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
         step = STEP * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
         w, b = w + step[:-1], min(b + step[-1], -3.0)
     return float(b), dict(zip(names.tolist(), w.tolist(), strict=True))
 
 
-def sample_of(labels: DataFrame, doc_id: str, label: str, most: int) -> DataFrame:
-    """At most ``most`` ids of either label, those with the least hash; an id labelled twice counts as toxic if either says so."""
+def labelled(labels: DataFrame, doc_id: str, label: str) -> DataFrame:
+    """Ids with their label; an id labelled twice counts as toxic if either says so."""
     rows = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).dropna()
-    rows = rows.where("label IN (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
+    return rows.where("label IN (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
+def sample_of(rows: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` of the labelled ids of either label, those with the least hash."""
     part = lambda k: rows.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     return part(0).unionByName(part(1))
 
@@ -117,9 +126,15 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     """Bias and weights learned from the labelled rows of ``docs``.
 
     The sample is at most ``2 * most`` ids, so its broadcast is bounded; the fit
-    runs in one task over the sample's weighed features.
+    runs in one task over the sample's weighed features.  A label of more ids
+    than ``most`` is sampled, so each of its rows stands for several in the fit
+    and the share of toxic documents stays that of all labels.  The odds of a
+    slot compare shares within either label, which sampling leaves as they are.
     """
-    sample = F.broadcast(sample_of(labels, doc_id, label, most))
+    known = labelled(labels, doc_id, label)
+    total = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    stands = {k: n / min(n, most) for k, n in total.items()}
+    sample = F.broadcast(sample_of(known, most))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(sample, "doc_id").select("doc_id", "text", "label")
     counts = rows.mapInArrow(_count, "slot long, clean long, toxic long").groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -135,7 +150,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
     def train(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("doc_id")
-        b, w = fit(group["label"].to_numpy(), [np.asarray(x, dtype=np.int64) for x in group["slots"]], start)
+        b, w = fit(group["label"].to_numpy(), [np.asarray(x, dtype=np.int64) for x in group["slots"]], start, group["label"].map(stands).to_numpy())
         return pd.DataFrame({"slot": [-1, *w], "weight": [b, *w.values()]})
 
     found = rows.mapInArrow(_instances(weighed), "doc_id long, label int, slots array<int>")

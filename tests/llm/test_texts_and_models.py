@@ -175,3 +175,24 @@ def test_toxicity(spark):
     assert all(any(w in texts_of[r["doc_id"]][s["start"] : s["end"]].lower() for w in ("idiot", "moron")) for r, s in spans)
     blank = toxicity.learn(docs, labels.limit(0))
     assert toxicity.scored(docs, blank, ["doc_id"]).where("predicted = 1").count() == 0
+
+
+def test_toxicity_keeps_the_share_of_toxic_documents(spark):
+    # "odd" is in all 100 toxic documents and in about 230 of 1,900 clean ones: three of ten such documents are toxic.
+    rows = [(i, "Some plain words. Odd." if i < 330 else "Some plain words. Even.", int(i < 100)) for i in range(2000)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    for most in (100, 5000):
+        got = {r["doc_id"]: r for r in toxicity.scored(docs, toxicity.learn(docs, labels, most=most), ["doc_id"]).collect()}
+        assert 0.15 < got[0]["score"] < 0.5
+        assert got[0]["predicted"] == 0
+
+
+def test_toxicity_fit_weighs_rows():
+    rng = np.random.default_rng(5)
+    slots = [np.array([*rng.integers(0, 4, rng.integers(1, 4)), -1]) for _ in range(30)]
+    labels, stands, start = rng.integers(0, 2, 30), rng.integers(1, 5, 30), dict.fromkeys(range(4), 0.1)
+    again = np.repeat(np.arange(30), stands)
+    b, w = toxicity.fit(labels, slots, start, stands)
+    b2, w2 = toxicity.fit(labels[again], [slots[i] for i in again], start)
+    assert np.allclose([b, *w.values()], [b2, *w2.values()], atol=1e-4)
