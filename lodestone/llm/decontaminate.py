@@ -89,7 +89,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
     documents gives an empty result, an empty benchmark no hits.  Other columns
     are not read.
     """
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    return _judged(docs, benchmark, text, doc_id, item_id, item_text).drop("text_hash")
+
+
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """What :func:`contaminated` gives, with the ``text_hash`` that tells rows of one id apart."""
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("text_hash", _text_hash(F.col("text")))
     items = benchmark.select(F.col(item_id).cast("string").alias("item_id"), words(F.col(item_text)).alias("w"))
     items = staged(items.where("size(w) > 0"), "items")
     short = sorted(r["n"] for r in items.where(F.size("w") < WINDOW).select(F.size("w").alias("n")).distinct().collect())  # at most nine numbers
@@ -128,6 +137,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
     docs = docs.select("doc_id", "text_hash", count_words(F.col("text")).alias("n_words"))
     return docs.join(found, same(found), "left").select(
         docs["doc_id"],
+        docs["text_hash"],
         "n_words",
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("hits", F.expr("cast(array() as array<struct<at:int,length:int>>)")).alias("hits"),
@@ -151,9 +161,10 @@ def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without a window of the benchmark."""
-    hit = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti").select(*docs.columns)
+    """The rows without a window of the benchmark in their own text."""
+    hit = _judged(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("n_hit > 0").select("doc_id", "text_hash").distinct()
+    same = docs["doc_id"].eqNullSafe(hit["doc_id"]) & (_text_hash(docs["text"]) == hit["text_hash"])
+    return docs.join(hit, same, "left_anti").select(*docs.columns)
 
 
 QUERIES = {"op5_decontaminate": op5_decontaminate}

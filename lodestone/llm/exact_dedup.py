@@ -115,9 +115,10 @@ def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that :func:`exact_duplicates` keeps, with all columns."""
-    keep = exact_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    """The rows that :func:`exact_duplicates` keeps, with all columns: told apart by id, null ids too, and text."""
+    keep = exact_duplicates(docs).where("kept").select("doc_id", "text_sha256").distinct()
+    same = docs["doc_id"].eqNullSafe(keep["doc_id"]) & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == keep["text_sha256"])
+    return docs.join(keep, same, "left_semi").select(*docs.columns)
 
 
 QUERIES = {"op10_exact_dedup": op10_exact_dedup}
