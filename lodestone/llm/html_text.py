@@ -4,7 +4,8 @@ Every paragraph earns points for its length and its commas and passes them to
 its ancestors, less with each level.  A container's points are discounted by
 the share of its text that is inside links.  The best container is kept with
 those siblings that score well enough; menus, notices, comments and the like
-inside it are left out.
+inside it are left out.  An element that only its name calls so stays if it
+holds what seems to be the main text, and the score decides.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ BLOCKS = frozenset(
     "header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
 #: Elements that are never main text.
-DROPPED = frozenset("script style noscript template head title nav footer aside form button select textarea input option dialog menu search iframe object svg canvas audio video map math".split())
+DROPPED = frozenset("script style noscript template head title nav footer aside button select textarea input option menu search iframe object svg canvas audio video map annotation annotation-xml".split())
+#: Elements that are main text only where they wrap it.
+WRAPS = frozenset("form dialog".split())
 #: Words of a class, id or role that mark what is not main text.
 ASIDE = frozenset(
     "ad ads advert adverts advertisement advertising adsense adslot banner banners breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus disclaimer "
@@ -30,6 +33,11 @@ ASIDE = frozenset(
     "promoted recommended related replies reply responses search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription taboola toc toolbar "
     "contentinfo complementary alert".split()
 )
+#: Those of them that name what readers wrote, which may be longer than the main text.
+THREAD = frozenset("comment comments commentlist disqus replies reply responses".split())
+#: Shares of the page's points from which a named element is judged by its score: with a name or an element that speaks for it, by
+#: its size alone, and so for readers' texts.  By size alone, at most this share of its text is in links.
+LEAST, MOST, ALMOST_ALL, LINKS = 0.2, 0.5, 0.9, 0.33
 #: Words that speak for main text.
 MAIN = frozenset("article body content entry main page post story text".split())
 #: Which open element a new one ends, and where the search for it stops.
@@ -52,7 +60,7 @@ class Page(HTMLParser):
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.tags, self.parents, self.marks, self.events = ["#root"], [0], [(False, 0)], []
+        self.tags, self.parents, self.marks, self.events = ["#root"], [0], [(False, 0, None)], []
         self.open = [0]
         self.feed(html)
         self.close()
@@ -106,64 +114,113 @@ class Page(HTMLParser):
         del self.open[depth:]
 
     def _mark(self, tag, attrs):
-        """(left out, weight) of an element by its name and attributes."""
-        found, weight, out = dict(attrs), 0, tag in DROPPED
-        words = set()
+        """(left out, weight, share) of an element by its name and attributes; with a share, it is left out unless it holds that much."""
+        found, weight, out, share = dict(attrs), 0, tag in DROPPED, MOST if tag in WRAPS else None
+        words, main = set(), False
         for name in ("class", "id", "role"):
-            if found.get(name):
-                words |= {w.lower() for w in _WORDS.findall(found[name])}
+            for part in (found.get(name) or "").split():
+                own = {w.lower() for w in _WORDS.findall(part)}
+                words |= own
+                main = main or bool(own & MAIN and not own & ASIDE)
         if words & ASIDE and tag not in ("html", "body", "article", "main", "h1", "p"):
-            out = True
+            share = ALMOST_ALL if words & THREAD else MOST
         elif words & ASIDE and tag in ("article", "p") and words & {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "promo", "notice", "cookie", "hidden", "related"}:
-            out = True
+            share = ALMOST_ALL if words & THREAD else MOST
+        if share and main:
+            share = LEAST
         if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style") or ""):
             out = True
         if words & MAIN:
             weight += 25
-        return out, weight + {"article": 30, "main": 25, "section": 5, "div": 5}.get(tag, 0)
+        return out, weight + {"article": 30, "main": 25, "section": 5, "div": 5}.get(tag, 0), share
 
 
-def main_text(html: str) -> str:
-    """The main text of a page: its blocks in order, one space between them."""
-    page = Page(html)
+class Tally:
+    """Sizes of the elements that are not left out, and the points of those that are paragraphs."""
+
+    def __init__(self, page: Page, out: list[bool], in_link: list[bool]):
+        tags, parents, n = page.tags, page.parents, len(page.tags)
+        self.length, self.linked, commas, direct = [0] * n, [0] * n, [0] * n, [0] * n
+        length, linked = self.length, self.linked
+        for i, text in page.events:
+            if text and not out[i]:
+                size = len("".join(text.split()))
+                length[i] += size
+                direct[i] += size
+                commas[i] += sum(map(text.count, (",", "，", "、")))
+                if in_link[i]:
+                    linked[i] += size
+        inline = [0] * n  # text of a block that no block within it holds
+        inline_commas = [0] * n
+        for i in range(n - 1, 0, -1):
+            up = parents[i]
+            length[up] += length[i]
+            linked[up] += linked[i]
+            inline[i] += direct[i]
+            inline_commas[i] += commas[i]
+            if tags[i] not in BLOCKS:
+                inline[up] += inline[i]
+                inline_commas[up] += inline_commas[i]
+        inline[0] += direct[0]
+        self.points = [0.0] * n
+        for i in range(n):
+            if out[i] or not inline[i] or (tags[i] not in PARAGRAPHS and i):
+                continue
+            self.points[i] = ((1 if inline[i] >= 25 else 0.2) + inline_commas[i] + min(inline[i] / 100, 3)) * (1 - self.density(i))
+
+    def density(self, i: int) -> float:
+        return self.linked[i] / self.length[i] if self.length[i] else 0.0
+
+
+def left_out(page: Page, in_link: list[bool]) -> tuple[list[bool], Tally]:
+    """Which elements are no main text, and the tally of the others.
+
+    What is never shown, or never main text, goes first.  An element that only
+    its name speaks against goes too, unless it holds a large share of the
+    points that are left; if that leaves none at all, names are not heeded.
+    """
     tags, parents, n = page.tags, page.parents, len(page.tags)
-    out = [False] * n
-    in_article = [False] * n
+    never, in_article = [False] * n, [False] * n
     for i in range(1, n):
         up = parents[i]
         in_article[i] = in_article[up] or tags[i] in ("article", "main")
         # A header is the site's, unless it is the article's own.
-        out[i] = out[up] or page.marks[i][0] or (tags[i] == "header" and not in_article[up])
-    length, linked, commas, direct = [0] * n, [0] * n, [0] * n, [0] * n
+        never[i] = never[up] or page.marks[i][0] or (tags[i] == "header" and not in_article[up])
+    tally = Tally(page, never, in_link)
+    if not any(page.marks[i][2] and not never[i] for i in range(n)):
+        return never, tally
+    held, holds, main = list(tally.points), [False] * n, [False] * n
+    for i in range(n - 1, 0, -1):
+        up = parents[i]
+        held[up] += held[i]
+        if not never[i]:
+            holds[up] = holds[up] or holds[i] or (tags[i] == "article" and not page.marks[i][2])
+            main[up] = main[up] or main[i] or tags[i] == "main"
+    out = list(never)
+    for i in range(1, n):
+        share = page.marks[i][2]
+        if out[parents[i]]:
+            out[i] = True
+        elif share and not out[i] and not main[i]:
+            share = LEAST if holds[i] else share
+            out[i] = held[i] < share * held[0] or not held[i] or (share > LEAST and tally.density(i) > LINKS)
+    named = Tally(page, out, in_link)
+    return (out, named) if any(named.points) or not held[0] else (never, tally)
+
+
+def main_text(html: str) -> str:
+    """The main text of a page: its blocks in order, one space between them."""
+    page = Page(html)
+    tags, parents, n = page.tags, page.parents, len(page.tags)
     in_link = [False] * n
     for i in range(1, n):
         in_link[i] = in_link[parents[i]] or tags[i] == "a"
-    for i, text in page.events:
-        if text and not out[i]:
-            size = len("".join(text.split()))
-            length[i] += size
-            direct[i] += size
-            commas[i] += sum(map(text.count, (",", "，", "、")))
-            if in_link[i]:
-                linked[i] += size
-    inline = [0] * n  # text of a block that no block within it holds
-    inline_commas = [0] * n
-    for i in range(n - 1, 0, -1):
-        up = parents[i]
-        length[up] += length[i]
-        linked[up] += linked[i]
-        inline[i] += direct[i]
-        inline_commas[i] += commas[i]
-        if tags[i] not in BLOCKS:
-            inline[up] += inline[i]
-            inline_commas[up] += inline_commas[i]
-    inline[0] += direct[0]
+    out, tally = left_out(page, in_link)
+    length = tally.length
     score = [0.0] * n
-    for i in range(n):
-        if out[i] or not inline[i] or (tags[i] not in PARAGRAPHS and i):
+    for i, points in enumerate(tally.points):
+        if not points:
             continue
-        density = linked[i] / length[i] if length[i] else 0.0
-        points = ((1 if inline[i] >= 25 else 0.2) + inline_commas[i] + min(inline[i] / 100, 3)) * (1 - density)
         at, level = (parents[i] if tags[i] in ("p", "pre", "blockquote", "li", "td", "dd") else i), 0
         while True:
             score[at] += points / (1, 2, 6, 9, 12, 15)[min(level, 5)]
@@ -174,8 +231,7 @@ def main_text(html: str) -> str:
     for i in range(n):
         if out[i] or not score[i]:
             continue
-        density = linked[i] / length[i] if length[i] else 0.0
-        score[i] = (score[i] + page.marks[i][1]) * (1 - density)
+        score[i] = (score[i] + page.marks[i][1]) * (1 - tally.density(i))
         if score[i] > most:
             best, most = i, score[i]
     at = best
@@ -186,7 +242,7 @@ def main_text(html: str) -> str:
     kept = {best}
     for i in range(1, n):
         if parents[i] == parents[best] and i != best and not out[i] and length[i]:
-            density = linked[i] / length[i]
+            density = tally.density(i)
             if score[i] >= max(10.0, 0.2 * most) or (tags[i] in ("p", "h1") and best and density < 0.25 and (length[i] > 80 or tags[i] == "h1")):
                 kept.add(i)
     inside = [False] * n

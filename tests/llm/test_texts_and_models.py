@@ -111,6 +111,19 @@ def test_html(spark):
     assert html_text.main_text(deep) == "deep, text"
 
 
+def test_html_names_alone_remove_nothing():
+    text = "<h1>Head</h1><p>One, two, three words in a paragraph that is long enough to count.</p><p>And another, with a comma, and more words.</p>"
+    want = "Head One, two, three words in a paragraph that is long enough to count. And another, with a comma, and more words."
+    side = "<div class=sidebar><p>Side text, short.</p></div><ul class=menu><li><a href=/>Home</a></ul>"
+    for wrap in ("div class='content has-sidebar'", "div id=main class=no-sidebar", "div class=page-header-fixed", "div class=has-comments", "form id=aspnetForm", "dialog open"):
+        tag = wrap.split()[0]
+        assert html_text.main_text(f"<body><{wrap}>{side}{text}</{tag}></body>") == want
+    article = f"<body><div class='overlay'><article>{text}</article></div><div class=comments><p>Yes, no, yes, no, yes, no, yes, no, yes, no, yes, no, yes.</p></div></body>"
+    assert html_text.main_text(article) == want
+    assert html_text.main_text(f"<body><div id=content>{text}<div class=post-comments><p>Great, thanks.</p></div><form><p>Your mail, please.</p></form></div></body>") == want
+    assert html_text.main_text("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> be true, for now.</p>") == "Let x=1 be true, for now."
+
+
 def test_warc(spark, monkeypatch):
     monkeypatch.setattr(warc_fixity, "FILE", 2000)
     rows = [(i, f"http://x/{i}", f"<p>{i * 'word '}</p>") for i in range(150)] + [(None, None, None)]
