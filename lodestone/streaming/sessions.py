@@ -1,38 +1,55 @@
-"""Session state in Structured Streaming: an epoch and a position for each session."""
+"""Session state in Structured Streaming: an epoch and a position for each session.
 
-from __future__ import annotations
+Files may come in any order and any number of batches.  The state is kept for
+each session and hour, counts alike whichever event comes first, and hours are
+put together by time at the end, so no session is gathered in one place.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-OUT = "user_id long, epoch long, depth long, n_events long"
-STATE = "epoch long, depth long, n_events long"
+#: Files of a batch.
+FILES = 1000
 
 
-def advance(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """A session's new events, in order of time and id: a reset starts an epoch, all else goes one deeper."""
-    epoch, depth, n = state.get if state.exists else (0, 0, 0)
-    rows = pd.concat(batches).sort_values(["ts", "event_id"])
-    for reset in rows["reset"]:
-        n += 1
-        epoch, depth = (epoch + 1, 0) if reset else (epoch, depth + 1)
-    state.update((epoch, depth, n))
-    yield pd.DataFrame({"user_id": [key[0]], "epoch": [epoch], "depth": [depth], "n_events": [n]})
+def session_states(events: DataFrame) -> DataFrame:
+    """A stream of events (event_id, ts, user_id, reset) to a stream of the states of each session's hours as they change.
+
+    A state has the hour's events and resets, and ``after``: the events after
+    its last reset, in order of time and id, nulls last; all, if it has none.
+    """
+    place = F.struct(F.col("ts").isNull().alias("no_ts"), "ts", F.col("event_id").isNull().alias("no_id"), "event_id")
+    reset = F.coalesce("reset", F.lit(False))
+    hours = events.groupBy("user_id", F.date_trunc("hour", "ts").alias("hour")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(reset).alias("resets"),
+        F.max(F.when(reset, place)).alias("last"),
+        F.collect_list(F.when(~reset, place)).alias("others"),
+    )
+    after = F.when(F.col("last").isNull(), F.size("others")).otherwise(F.size(F.filter("others", lambda x: x > F.col("last"))))
+    return hours.select("user_id", "hour", "n", "resets", after.cast("long").alias("after"))
 
 
-def session_states(events: DataFrame) -> DataFrame:
-    """A stream of events (event_id, ts, user_id, reset) to a stream of the sessions' states as they change."""
-    return events.groupBy("user_id").applyInPandasWithState(advance, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+def merged(states: DataFrame) -> DataFrame:
+    """The sessions' states (user_id, epoch, depth, n_events) from the last state of each of their hours."""
+    hours = states.withColumn("at", F.struct(F.col("hour").isNull().alias("no_hour"), "hour"))
+    totals = hours.groupBy(F.col("user_id").alias("user")).agg(
+        F.sum("resets").alias("epoch"), F.sum("n").alias("n_events"), F.max(F.when(F.col("resets") > 0, F.struct("at", "after"))).alias("last")
+    )
+    later = hours.join(totals, F.col("user_id").eqNullSafe(F.col("user"))).where("last IS NULL OR at > last.at")
+    later = later.groupBy("user_id").agg(F.sum("n").alias("later"))
+    depth = F.coalesce("last.after", F.lit(0)) + F.coalesce("later", F.lit(0))
+    return totals.join(later, F.col("user_id").eqNullSafe(F.col("user")), "left").select(
+        F.col("user").alias("user_id"), F.col("epoch").cast("long"), depth.cast("long").alias("depth"), F.col("n_events").cast("long")
+    )
 
 
-def run_to_end(events_path: str, spark, out_path: str, checkpoint: str) -> DataFrame:
-    """Read all files under ``events_path`` as a stream, and give the last state of every session."""
+def run_to_end(events_path: str, spark, out_path: str, checkpoint: str, files: int = FILES) -> DataFrame:
+    """Read all files under ``events_path`` as a stream, ``files`` a batch, and give the last state of every session."""
     schema = spark.read.parquet(events_path).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(events_path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(events_path)
     rows = stream.select("event_id", "ts", "user_id", (F.col("event_type") == "error").alias("reset"))
     query = (
         session_states(rows)
@@ -44,4 +61,6 @@ def run_to_end(events_path: str, spark, out_path: str, checkpoint: str) -> DataF
     )
     query.awaitTermination()
     states = spark.read.option("recursiveFileLookup", True).parquet(out_path)
-    return states.groupBy("user_id").agg(F.max_by(F.struct("epoch", "depth", "n_events"), "n_events").alias("s")).select("user_id", "s.*")
+    # An hour's events only become more, so its last state is the one with the most.
+    states = states.groupBy("user_id", "hour").agg(F.max_by(F.struct("n", "resets", "after"), "n").alias("s")).select("user_id", "hour", "s.*")
+    return merged(states)

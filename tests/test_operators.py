@@ -199,3 +199,29 @@ def test_breadcrumbs(spark):
     steps = spark.createDataFrame([(1, 0, "a", False), (1, 1, "", False), (1, 2, "b", False), (1, 3, "r", True), (1, 4, "c", False)], "s long, t long, label string, reset boolean")
     got = {r["t"]: r["path"] for r in sessions.breadcrumbs(steps, "s", "t", "label", "reset").collect()}
     assert got == {0: ["a"], 1: ["a"], 2: ["a", "b"], 3: [], 4: ["c"]}
+
+
+def test_session_stream_in_any_order_of_files(spark, tmp_path):
+    import datetime
+    import os
+    import random
+
+    from lodestone.streaming.sessions import run_to_end
+
+    rng = random.Random(6)
+    start = datetime.datetime(2024, 1, 1)
+    events = [(i, start + datetime.timedelta(minutes=10 * rng.randrange(60)), rng.choice([1, 2, None]), rng.choice(["error", "click", "view", "view", None])) for i in range(60)]
+    events += [(100 + i, start + datetime.timedelta(minutes=7 * i), 3, "view") for i in range(20)]
+    want = {}
+    for _, _, user, kind in sorted(events, key=lambda e: (e[1], e[0])):
+        epoch, depth, n = want.get(user, (0, 0, 0))
+        want[user] = (epoch + 1, 0, n + 1) if kind == "error" else (epoch, depth + 1, n + 1)
+    latest_first = sorted(events, key=lambda e: e[1], reverse=True)
+    for k in range(4):
+        path = f"{tmp_path}/events{k}.parquet"
+        spark.createDataFrame(latest_first[k * 20 : k * 20 + 20], "event_id long, ts timestamp, user_id long, event_type string").coalesce(1).write.parquet(path)
+        for name in os.listdir(path):
+            os.utime(f"{path}/{name}", (1_700_000_000 + k, 1_700_000_000 + k))
+    got = run_to_end(f"{tmp_path}/events*.parquet", spark, f"{tmp_path}/out", f"{tmp_path}/state", files=1).collect()
+    assert {r["user_id"]: (r["epoch"], r["depth"], r["n_events"]) for r in got} == want
+    assert len(os.listdir(f"{tmp_path}/out")) > 1
