@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .staging import fresh_path
+
 RESTART = "__restart__"
 
 
@@ -38,13 +40,29 @@ def options_of(edges: DataFrame) -> DataFrame:
 
 
 def paths(edges: DataFrame, root: str) -> DataFrame:
-    """``node_id``, ``depth`` and ``path`` of every way down from ``root``; restarts are left out, so it ends."""
-    edges.where(F.col("option_id") != RESTART).createOrReplaceTempView("_graph_edges")
-    return edges.sparkSession.sql(
-        """WITH RECURSIVE walk (node_id, depth, path) AS (
-             SELECT :root, 0, :root
-             UNION ALL
-             SELECT e.next_node_id, w.depth + 1, concat(w.path, '>', e.next_node_id) FROM walk w JOIN _graph_edges e ON e.node_id = w.node_id)
-           SELECT node_id, depth, path FROM walk""",
-        args={"root": root},
-    )
+    """``node_id``, ``depth`` and ``path`` of every way down from ``root``; restarts are left out.
+
+    The graph is walked level by level, each staged in the shared folder, until
+    one has no row; there is no limit to rows or levels.  A way that comes back
+    to one of its own nodes would never end and is an error.
+    """
+    spark = edges.sparkSession
+    base = fresh_path(spark, "paths")
+    edges.where(F.col("option_id") != RESTART).select("node_id", "next_node_id").write.parquet(f"{base}/edges")
+    steps = spark.read.parquet(f"{base}/edges").withColumnRenamed("node_id", "from_id")
+    level = spark.range(1).select(F.lit(root).alias("node_id"), F.lit(0).alias("depth"), F.lit(root).alias("path"), F.array(F.lit(root)).alias("nodes"))
+    depth, schema = 0, None
+    while True:
+        level.write.parquet(f"{base}/levels/{depth}")
+        schema = schema or level.schema
+        level = spark.read.schema(schema).parquet(f"{base}/levels/{depth}")
+        if level.isEmpty():
+            break
+        back = level.where(F.array_contains(F.slice("nodes", 1, F.size("nodes") - 1), F.col("node_id"))).first()
+        if back:
+            raise ValueError(f"the graph has a cycle: {back['path']}")
+        depth += 1
+        level = level.join(steps, F.col("node_id") == F.col("from_id")).select(
+            F.col("next_node_id").alias("node_id"), F.lit(depth).alias("depth"), F.concat("path", F.lit(">"), "next_node_id").alias("path"), F.concat("nodes", F.array("next_node_id")).alias("nodes")
+        )
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{base}/levels").select("node_id", "depth", "path")

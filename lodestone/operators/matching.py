@@ -14,8 +14,8 @@ from .catalogue import first_wins
 
 #: Accepted from this score, and with this lead over the second.
 THRESHOLD, MARGIN = 0.90, 0.05
-#: Keys that a task compares a question with at a time.
-BLOCK = 10_000
+#: Keys and questions of a block.
+BLOCK, ASKED = 10_000, 2_000
 
 
 def exact(questions: DataFrame, keys: DataFrame, question: str, key: str) -> DataFrame:
@@ -23,16 +23,17 @@ def exact(questions: DataFrame, keys: DataFrame, question: str, key: str) -> Dat
     return questions.join(keys, questions[question] == keys[key], "left")
 
 
-def _best_two(keys: list[list[tuple[int, str]]]):
-    prepared = [[(ordinal, text, positions(text)) for ordinal, text in block] for block in keys]
-
-    def run(batches):
-        for batch in batches:
-            out: list[tuple] = []
-            for number, text, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+def _best_two(batches):
+    """Rows of a block of keys and a block of questions in; each question's best two keys of that block out."""
+    for batch in batches:
+        out: list[tuple] = []
+        for keys, questions in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            prepared = [(k["ordinal"], k["text"], positions(k["text"])) for k in keys]
+            for question in questions:
+                number, text = question["number"], question["text"]
                 own = positions(text)
                 top: list[tuple[float, int]] = []
-                for ordinal, key, where in sorted(prepared[block], key=lambda k: -min(len(k[1]), len(text)) / (len(k[1]) + len(text) or 1)):
+                for ordinal, key, where in sorted(prepared, key=lambda k: -min(len(k[1]), len(text)) / (len(k[1]) + len(text) or 1)):
                     n = len(key) + len(text)
                     # No common subsequence is longer than the shorter text, so this key and those after it cannot enter.
                     if len(top) == 2 and ratio_of(len(key), len(text), min(len(key), len(text))) < top[0][0]:
@@ -44,30 +45,29 @@ def _best_two(keys: list[list[tuple[int, str]]]):
                     elif item > top[0]:
                         heapq.heapreplace(top, item)
                 out += [(number, -o, s) for s, o in top]
-            cols = list(zip(*out, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["number", "ordinal", "score"])
-
-    return run
+        cols = list(zip(*out, strict=True)) or [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["number", "ordinal", "score"])
 
 
-def nearest_two(questions: DataFrame, keys: DataFrame, block: int = BLOCK, most_mb: int = 64) -> DataFrame:
+def nearest_two(questions: DataFrame, keys: DataFrame, block: int = BLOCK, asked: int = ASKED) -> DataFrame:
     """For each question (number, text) its two best keys: ``best``, ``second``, ``ordinal``.
 
-    ``keys`` (ordinal, text) is the curated table, held by every task in blocks;
-    above ``most_mb`` it is refused.  Blocks are compared one by one and their
-    best two merged, so a question never meets more than two keys in a row.
-    Of equal scores the smaller ordinal wins.
+    ``keys`` (ordinal, text) is the curated table, of any size.  Both sides are
+    packed in blocks of about ``block`` keys and at most about ``asked``
+    questions, every pair of blocks is one row, and their best two are merged,
+    so a question never meets more than two keys of a block in a row.  Of equal
+    scores the smaller ordinal wins.
     """
-    size = keys.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
-    if (size[0] or 0) > most_mb << 20:
-        raise ValueError(f"{size[0]} bytes of keys; nearest_two holds {most_mb} MB")
-    rows = sorted((r["ordinal"], r["text"]) for r in keys.select("ordinal", "text").collect())
-    blocks = [rows[i : i + block] for i in range(0, len(rows), block)]
-    dealt = questions.select("number", "text", F.explode(F.sequence(F.lit(0), F.lit(max(0, len(blocks) - 1)))).alias("block"))
-    if not blocks:
-        dealt = dealt.limit(0)
     n = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = dealt.repartition(n).mapInArrow(_best_two(blocks), "number long, ordinal long, score double")
+    blocks = keys.count() // block + 1
+    parts = max(n, questions.count() // asked + 1)
+    dealt = lambda column, many: F.pmod(F.xxhash64(column), F.lit(many).cast("long"))
+    each = lambda many: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long")))
+    left = keys.select(dealt("ordinal", blocks).alias("block"), F.struct("ordinal", "text").alias("x")).groupBy("block").agg(F.collect_list("x").alias("keys"))
+    right = questions.select(dealt("number", parts).alias("part"), F.struct("number", "text").alias("x")).groupBy("part").agg(F.collect_list("x").alias("questions"))
+    left = left.withColumn("part", each(parts))
+    right = right.withColumn("block", each(blocks)).repartition(n, "part", "block")
+    found = right.join(left, ["part", "block"]).select("keys", "questions").mapInArrow(_best_two, "number long, ordinal long, score double")
     ranked = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "ordinal")))  # two for each block
     return (
         found.groupBy("number")

@@ -225,3 +225,31 @@ def test_session_stream_in_any_order_of_files(spark, tmp_path):
     got = run_to_end(f"{tmp_path}/events*.parquet", spark, f"{tmp_path}/out", f"{tmp_path}/state", files=1).collect()
     assert {r["user_id"]: (r["epoch"], r["depth"], r["n_events"]) for r in got} == want
     assert len(os.listdir(f"{tmp_path}/out")) > 1
+
+
+def test_paths_beyond_the_limits_of_recursion(spark):
+    edges = spark.createDataFrame([(str(i), "o", str(i + 1)) for i in range(6)] + [("6", graph.RESTART, "0")], "node_id string, option_id string, next_node_id string")
+    limits = {"spark.sql.cteRecursionLevelLimit": "3", "spark.sql.cteRecursionRowLimit": "4"}
+    for k, v in limits.items():
+        spark.conf.set(k, v)
+    try:
+        got = {tuple(r) for r in graph.paths(edges, "0").collect()}
+    finally:
+        for k in limits:
+            spark.conf.unset(k)
+    assert got == {(str(i), i, ">".join(map(str, range(i + 1)))) for i in range(7)}
+    with pytest.raises(ValueError, match="cycle"):
+        graph.paths(edges.withColumn("option_id", F.lit("o")), "0")
+
+
+def test_nearest_two_collects_no_keys(spark, monkeypatch):
+    keys = spark.createDataFrame([(i, f"key {i} of many") for i in range(40)], "ordinal long, text string")
+    questions = spark.createDataFrame([(i, f"key {i} of man") for i in range(40)], "number long, text string")
+    found = []
+    collect = type(keys).collect
+    monkeypatch.setattr(type(keys), "collect", lambda self: found.append(1) or collect(self))
+    frame = matching.nearest_two(questions, keys, block=7, asked=3)
+    assert not found
+    for r in frame.toPandas().itertuples():
+        best = sorted((-ratio(f"key {r.number} of man", f"key {i} of many"), i) for i in range(40))[:2]
+        assert (r.best, r.second, r.ordinal) == (-best[0][0], -best[1][0], best[0][1])
