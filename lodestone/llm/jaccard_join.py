@@ -8,8 +8,10 @@ the hashed shingles bound every overlap from above by a bit count, and what
 passes is intersected exactly as sorted arrays.
 
 Large groups of copies are not multiplied out.  Equal sets count as one.  Each
-tile first links its documents to its smallest one; only tiles that then still
-hold several components are compared in full, by blocks of fixed size.
+tile first links its documents to its smallest one, its hub; only tiles that
+then still hold several components are compared in full, by blocks of fixed
+size.  Near copies meet in many tiles; those of one hub become one tile where
+that is less work, so that a pair comes up about once and not once a tile.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from .shared import filter_slot, id_filter, in_filter, lean, small_batches, stag
 SHINGLE, PERCENT = 4, 85
 #: Least bits of a bitmap, documents of a block of a tile, bytes hashed at a time.
 BITS, BLOCK, CHUNK = 256, 1024, 4 << 20
+#: Bits of a bitmap for each element, at least: with fewer, unlike sets pass the bound.
+DENSITY = 2
 #: Counters of the sketch that finds common shingles.  A counter is common above ``COMMON`` and ``EXCESS`` times the mean.
 COUNTERS, COMMON, EXCESS = 1 << 18, 1000, 8
 #: Low bits of a shingle's hash that its key in a tile leaves out; keys that then collide meet in vain.
@@ -52,13 +56,13 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def bitmap(u: np.ndarray) -> bytes:
-    """Parities of the hashed elements, at least one bit for each of them.
+    """Parities of the hashed elements, at least :data:`DENSITY` bits for each of them.
 
     Each element flips one bit, so bits that differ are at most elements that
     differ.  The number of bits is a power of two, and a bitmap folds to half
     by exclusive or, so bitmaps of any two sizes compare.
     """
-    bits = max(BITS, 1 << max(0, len(u) - 1).bit_length())
+    bits = max(BITS, 1 << max(0, DENSITY * len(u) - 1).bit_length())
     slot = (mixed(u ^ np.uint64(0xA5A5)) % np.uint64(bits)).astype(np.int64)
     return np.packbits((np.bincount(slot, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
@@ -124,13 +128,12 @@ def _signatures(width: int, percent: int, common: np.ndarray | None):
 
 
 def _representatives(held: np.ndarray):
-    """Rows of ``found`` with the bitmap folded to half, and marked ``sure`` if the filter of the other members of classes does not hold them."""
+    """Rows of ``found``, marked ``sure`` if the filter of the other members of classes does not hold them."""
 
     def run(batches):
         for batch in batches:
             sure = ~in_filter(held, batch.column(batch.num_columns - 1).to_numpy())
-            coarse = pa.array([folded(x, max(BITS // 8, len(x) // 2)).tobytes() for x in batch.column(4).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], coarse, pa.array(sure)], [*batch.schema.names[:-1], "coarse", "sure"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sure)], [*batch.schema.names[:-1], "sure"])
 
     return run
 
@@ -227,7 +230,7 @@ def _tile_pairs(percent: int):
             edges = np.r_[0, cuts, len(tile)] if batch is None else np.r_[0, cuts]
             whole = int(edges[-1])
             rep, comp, n, side = (table.column(c).to_numpy()[:whole] for c in ("rep", "component", "n", "side"))
-            bits = table.column("coarse").slice(0, whole).to_pylist()
+            bits = table.column("bits").slice(0, whole).to_pylist()
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if high - low > 1:
@@ -265,6 +268,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, pe
     return staged(with_both.select("a", "b", "items_a", "items_b").mapInArrow(lean(_exact(percent)), "a long, b long"), f"{name}-links")
 
 
+def _by_hub(placed: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Rows (tile, rep, n, component, docs) with the tiles of one hub made one tile, where all its pairs are fewer than those of its tiles."""
+    rows = placed.join(hubs.select("tile", "hub"), "tile")
+    once = rows.select("hub", "rep", "n", "component").distinct()
+    costs = rows.groupBy("hub").agg(F.sum(F.col("docs").cast("double")).alias("pairs"))
+    sizes = once.groupBy("hub").agg(F.count(F.lit(1)).alias("members"))
+    joins = staged(sizes.join(costs, "hub").where(F.col("members").cast("double") * F.col("members") <= F.col("pairs")).select("hub", "members"), "joins")
+    apart = rows.join(joins, "hub", "left_anti").select("tile", "rep", "n", "component", "docs")
+    return apart.unionByName(once.join(joins, "hub").select(F.xxhash64(F.lit("hub"), "hub").alias("tile"), "rep", "n", "component", F.col("members").alias("docs")))
+
+
 def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row of ``docs``.
 
@@ -292,12 +306,12 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     copied = own.select("doc_id", "n", "s1", "s2").join(classes.where("members > 1"), ["n", "s1", "s2"])
     held = id_filter(copied.where("doc_id <> rep").select("doc_id").distinct(), "doc_id")
     marked = own.select("doc_id", "n", "s1", "s2", "bits", "prefix", filter_slot("doc_id").alias("slot"))
-    marked = marked.mapInArrow(lean(_representatives(held)), f"{_SETS}, coarse binary, sure boolean")
+    marked = marked.mapInArrow(lean(_representatives(held)), f"{_SETS}, sure boolean")
     unsure = marked.where("NOT sure").join(classes.select("n", "s1", "s2", F.col("rep").alias("doc_id")), ["doc_id", "n", "s1", "s2"], "left_semi")
-    reps = marked.where("sure").unionByName(unsure).select(F.col("doc_id").alias("rep"), "n", "bits", "coarse", "prefix")
+    reps = marked.where("sure").unionByName(unsure).select(F.col("doc_id").alias("rep"), "n", "bits", "prefix")
     posted = reps.select("rep", "n", F.explode("prefix").alias("key"))
     keys = staged(posted.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1").select("key"), "keys")
-    sets = staged(reps.select("rep", "n", "bits", "coarse"), "bitmaps")
+    sets = staged(reps.select("rep", "n", "bits"), "bitmaps")
     # Sizes at the threshold's ratio lie in one band or in neighbours; a family is a band with the next one.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent * 1.001)))
     tiles = posted.join(keys, "key").select("rep", "n", "key", band.alias("band"))
@@ -314,13 +328,14 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     member = F.coalesce("component", "rep").alias("component")
     placed = staged(tiles.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("tile", "rep", "n", member), "placed")
     mixed_tiles = staged(placed.groupBy("tile").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("docs")).where("low < high").select("tile", "docs"), "mixed")
+    joined = staged(_by_hub(placed.join(mixed_tiles, "tile"), hubs), "joined")
     blocks = F.ceil(F.col("docs") / F.lit(float(BLOCK))).cast("int")
-    dealt = placed.join(mixed_tiles, "tile").join(sets.select("rep", "coarse"), "rep").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
+    dealt = joined.join(sets.select("rep", "bits"), "rep").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
     # Each pair of blocks is a tile of its own: a document goes to those of its block with every other one.
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(
         F.xxhash64("tile", F.least("own", "other"), F.greatest("own", "other")).alias("tile"),
-        "rep", "component", "n", "coarse", (F.col("own") > F.col("other")).cast("int").alias("side"),
+        "rep", "component", "n", "bits", (F.col("own") > F.col("other")).cast("int").alias("side"),
     )
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rest = dealt.repartition(n_parts, "tile").sortWithinPartitions("tile", "rep").mapInArrow(lean(_tile_pairs(percent)), "a long, b long")
