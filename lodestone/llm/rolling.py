@@ -1,29 +1,35 @@
 """Vectorised word and window hashes over Arrow string columns.
 
-Words are cut at ASCII white space (0x20, 0x09-0x0D).  A word's hash is a
-polynomial over its bytes, a window's hash is a Rabin-Karp polynomial over its
-words' hashes; both come from prefix sums, so every window costs the same
-whatever its length.  Work is done a few megabytes at a time.
+Words are cut at ASCII white space (0x20, 0x09-0x0D).  A word's hash adds one
+random number for each of its bytes and their places; words longer than the
+table of these numbers have a BLAKE2 digest.  A window's hash is a Rabin-Karp
+polynomial over its words' hashes; both come from prefix sums, so every window
+costs the same whatever its length.  A polynomial modulo 2**64 over bytes would
+not do: words of 1,024 bytes can be built that share its value for every base.
+Windows are far shorter than that.  Work is done a few megabytes at a time.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-#: Odd multipliers of the two polynomials.
-BYTE_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Odd multipliers of a window's hash and of the second hash that confirms it.
 WORD_BASE = np.uint64(0xD6E8FEB86659FD93)
+CHECK_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of a word that the table of random numbers covers.
+COVERED = 64
 #: Bytes hashed at a time.
 SEGMENT = 1 << 18
 
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-SAME = np.arange(256, dtype=np.uint64) + np.uint64(1)
+SAME = np.arange(256, dtype=np.uint8)
 LOWER = SAME.copy()
-LOWER[65:91] += np.uint64(32)
+LOWER[65:91] += np.uint8(32)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -35,6 +41,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@lru_cache(maxsize=1)
+def _table() -> np.ndarray:
+    """A random number for each place in a word and byte there, a row for each place."""
+    return mixed(np.arange(1, COVERED * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 @lru_cache(maxsize=8)
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of ``base`` and of its inverse modulo 2**64, ``n`` of each."""
@@ -76,10 +88,20 @@ def _segment_words(raw: np.ndarray, opens: np.ndarray, values: np.ndarray) -> tu
     right[-1] = True
     right[:-1] = ~ink[1:] | opens[1:]
     ends = np.flatnonzero(ink & right) + 1
-    up, down = powers(BYTE_BASE, n + 1)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(values[raw] * up[:n], out=total[1:])
-    return mixed((total[ends] - total[starts]) * down[starts]), starts
+    sizes = ends - starts
+    at = np.flatnonzero(ink).astype(np.int32)
+    place = at - np.repeat(starts.astype(np.int32), sizes)
+    if len(sizes) and sizes.max() > COVERED:
+        np.minimum(place, COVERED - 1, out=place)
+    letters = values[raw[at]]
+    total = np.zeros(len(at) + 1, dtype=np.uint64)
+    np.cumsum(_table()[place * np.int32(256) + letters], out=total[1:])
+    last = np.cumsum(sizes)
+    out = mixed(total[last] - total[last - sizes] + sizes.astype(np.uint64))
+    for k in np.flatnonzero(sizes > COVERED).tolist():
+        word = letters[last[k] - sizes[k] : last[k]].tobytes()
+        out[k] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    return out, starts
 
 
 def word_hashes(raw: np.ndarray, at: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -105,12 +127,12 @@ def word_hashes(raw: np.ndarray, at: np.ndarray, lower: bool) -> tuple[np.ndarra
     return np.concatenate(hashes), np.searchsorted(starts, at, side="left")
 
 
-def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
+def window_hashes(words: np.ndarray, width: int, base: np.uint64 = WORD_BASE) -> np.ndarray:
     """The hash of every ``width`` consecutive words, rows not regarded."""
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = powers(WORD_BASE, len(words) + 1)
+    up, down = powers(base, len(words) + 1)
     total = np.zeros(len(words) + 1, dtype=np.uint64)
     np.cumsum(words * up[: len(words)], out=total[1:])
     return mixed((total[width:] - total[:-width]) * down[:n] + np.uint64(width))

@@ -5,8 +5,13 @@ the hash space; each range finds, for every hash, the smallest document that
 has it.  A window that some smaller document has too is repeated, and the
 repeated windows of a document merge into maximal intervals of words.
 
-What many documents share does not pile up: a task sends each hash once, with
-its smallest document, and settles the other copies it has seen by itself.
+A second hash of 32 bits goes with the first one of 64, so windows are told
+apart by 96 bits.
+
+What many documents share does not pile up: a task settles the copies that it
+sees within one piece of its input, and of a window that is frequent there
+(:data:`FREQUENT`) it remembers the smallest document, so that later pieces
+send it again only if they hold a smaller one.
 """
 
 from __future__ import annotations
@@ -16,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rolling import mixed, slices, string_bytes, window_hashes, word_hashes
+from .rolling import CHECK_BASE, mixed, slices, string_bytes, window_hashes, word_hashes
 from .shared import FILTER_BITS, in_filter, small_batches, staged, text_mb
 
 #: Words of a window.
 WIDTH = 13
 #: Bytes of text hashed and sorted at a time, and megabytes of text for each range of hashes or group of documents.
 CHUNK, RANGE_MB = 4 << 20, 4
+#: Documents of one piece that have a window, from which on a task remembers it.
+FREQUENT = 4
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -50,29 +57,30 @@ def unpacked_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate([unpacked(blob[:first]), unpacked(blob[first:])]), dtype=np.uint64)
 
 
-def windows(words: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, index of the row, position of the first word) of the windows that lie within one row."""
-    hashes = window_hashes(words, width)
+def windows(words: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, second hash of 32 bits, index of the row, position of the first word) of the windows that lie within one row."""
+    hashes, checks = window_hashes(words, width), window_hashes(words, width, CHECK_BASE)
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
     inside = row[: len(hashes)] == row[width - 1 : width - 1 + len(hashes)]
     where = np.flatnonzero(inside)
-    return hashes[where], row[where], where
+    return hashes[where], (checks[where] >> np.uint64(32)).astype(np.uint32), row[where], where
 
 
 def _doc_group(doc: np.ndarray, groups: int) -> np.ndarray:
     return (mixed(doc.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
 
 
-def _rows(key: np.ndarray, docs: np.ndarray, hashes: np.ndarray):
-    """(key, documents, hashes) for each run of equal keys; within a run hashes ascend."""
+def _rows(key: np.ndarray, docs: np.ndarray, hashes: np.ndarray, checks: np.ndarray | None = None):
+    """(key, documents, hashes, second hashes if given) for each run of equal keys; within a run hashes ascend."""
     cuts = np.flatnonzero(np.diff(key)) + 1
     for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(key)], strict=True):
         if b > a:
             base = int(docs[a:b].min())
-            yield int(key[a]), base, packed((docs[a:b] - base).astype(np.uint64)), packed_sorted(hashes[a:b])
+            second = () if checks is None else (checks[a:b].tobytes(),)
+            yield int(key[a]), base, packed((docs[a:b] - base).astype(np.uint64)), packed_sorted(hashes[a:b]), *second
 
 
-_SENT = pa.schema([("bucket", pa.int64()), ("base", pa.int64()), ("docs", pa.binary()), ("hashes", pa.binary())])
+_SENT = pa.schema([("bucket", pa.int64()), ("base", pa.int64()), ("docs", pa.binary()), ("hashes", pa.binary()), ("checks", pa.binary())])
 _FLAGS = pa.schema([("doc_group", pa.int64()), ("base", pa.int64()), ("docs", pa.binary()), ("hashes", pa.binary())])
 
 
@@ -92,6 +100,7 @@ def _hash_windows(width: int, ranges: int, groups: int):
     """Documents in; hashes by range, and what the task has settled (negative keys: document groups)."""
 
     def run(batches):
+        often = _Least()
         for batch in batches:
             batch = pa.Table.from_batches([batch.filter(batch.column(0).is_valid())])
             _, at = string_bytes(batch.column(1))
@@ -99,24 +108,71 @@ def _hash_windows(width: int, ranges: int, groups: int):
                 part = batch.slice(low, high - low).sort_by("doc_id")
                 ids = part.column(0).to_numpy().astype(np.int64)
                 words, rows = word_hashes(*string_bytes(part.column(1)), lower=False)
-                hashes, row, _ = windows(words, rows, width)
+                hashes, checks, row, _ = windows(words, rows, width)
                 if not len(hashes):
                     continue
-                order = np.argsort(hashes, kind="stable")
-                hashes, docs = hashes[order], ids[row[order]]
-                first = np.r_[True, hashes[1:] != hashes[:-1]]
-                least = docs[first][np.cumsum(first) - 1]
-                known = docs > least
-                sent, theirs = hashes[first], docs[first]
-                bucket = ((sent >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-                out = list(_rows(bucket, theirs, sent))
-                out += [(-1 - g, *rest) for g, *rest in _by_document(docs[known], hashes[known], groups)]
+                hashes, checks, docs, first = _grouped(hashes, checks, ids[row])
+                starts = np.flatnonzero(first)
+                sizes = np.diff(np.r_[starts, len(docs)])
+                least = np.minimum(docs[starts], often.of(hashes[starts], checks[starts]))
+                known = docs > np.repeat(least, sizes)
+                sent = starts[docs[starts] <= least]
+                often.add(hashes[starts], checks[starts], least, sizes >= FREQUENT)
+                bucket = ((hashes[sent] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+                out = list(_rows(bucket, docs[sent], hashes[sent], checks[sent]))
+                out += [(-1 - g, *rest, b"") for g, *rest in _by_document(docs[known], hashes[known], groups)]
                 for i in range(0, len(out), 512):
                     yield _batch(out[i : i + 512], _SENT)
 
     return run
 
 
+def _grouped(hashes: np.ndarray, checks: np.ndarray, docs: np.ndarray):
+    """The same, sorted by both hashes and document, and which of them begins a run of equal hashes."""
+    order = np.argsort(hashes, kind="stable")
+    hashes, checks, docs = hashes[order], checks[order], docs[order]
+    first = np.r_[True, hashes[1:] != hashes[:-1]]
+    if (~first[1:] & ((checks[1:] != checks[:-1]) | (docs[1:] < docs[:-1]))).any():
+        order = np.lexsort((docs, checks, hashes))
+        hashes, checks, docs = hashes[order], checks[order], docs[order]
+        first = np.r_[True, (hashes[1:] != hashes[:-1]) | (checks[1:] != checks[:-1])]
+    return hashes, checks, docs, first
+
+
+class _Least:
+    """The smallest document of the windows that a task has found to be frequent."""
+
+    NONE = np.iinfo(np.int64).max
+
+    def __init__(self):
+        self.hashes, self.checks, self.docs = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _at(self, hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the given hashes are, and whether they are there."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), dtype=bool)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return at, (self.hashes[at] == hashes) & (self.checks[at] == checks)
+
+    def of(self, hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        at, there = self._at(hashes, checks)
+        out = np.full(len(hashes), self.NONE)
+        out[there] = self.docs[at[there]]
+        return out
+
+    def add(self, hashes: np.ndarray, checks: np.ndarray, docs: np.ndarray, new: np.ndarray) -> None:
+        """Lower what is known; take up ``new`` ones, of windows with equal first hashes one only."""
+        at, there = self._at(hashes, checks)
+        self.docs[at[there]] = np.minimum(self.docs[at[there]], docs[there])
+        new = new & ~there
+        if len(self.hashes):
+            new &= self.hashes[at] != hashes
+        if new.any():
+            all_hashes = np.concatenate([self.hashes, hashes[new]])
+            self.hashes, first = np.unique(all_hashes, return_index=True)
+            self.checks, self.docs = np.concatenate([self.checks, checks[new]])[first], np.concatenate([self.docs, docs[new]])[first]
+
+
 def _repeated(groups: int):
     """One range of hashes in; by document group, the hashes that a smaller document has."""
 
@@ -126,11 +182,10 @@ def _repeated(groups: int):
             return pa.Table.from_batches([_batch([(-1 - r["bucket"], r["base"], r["docs"], r["hashes"]) for r in rows], _FLAGS)])
         docs = np.concatenate([unpacked(r["docs"]).astype(np.int64) + r["base"] for r in rows])
         hashes = np.concatenate([unpacked_sorted(r["hashes"]) for r in rows])
-        order = np.argsort(hashes, kind="stable")
-        hashes, docs = hashes[order], docs[order]
-        starts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
-        least = np.repeat(np.minimum.reduceat(docs, starts), np.diff(np.r_[starts, len(docs)]))
-        late = docs > least
+        checks = np.concatenate([np.frombuffer(r["checks"], np.uint32) for r in rows])
+        hashes, _, docs, first = _grouped(hashes, checks, docs)
+        starts = np.flatnonzero(first)
+        late = docs > np.repeat(docs[starts], np.diff(np.r_[starts, len(docs)]))
         return pa.Table.from_batches([_batch(list(_by_document(docs[late], hashes[late], groups)), _FLAGS)])
 
     return run
@@ -221,7 +276,7 @@ def _cut(width: int):
             part = docs.slice(low, high - low)
             ids = part.column("doc_id").to_numpy().astype(np.int64)
             words, rows = word_hashes(*string_bytes(part.column("text")), lower=False)
-            hashes, row, where = windows(words, rows, width)
+            hashes, _, row, where = windows(words, rows, width)
             hit = where[np.isin(hashes ^ mixed(ids[row].astype(np.uint64)), wanted)]
             step = np.zeros(len(words) + 1, dtype=np.int64)
             np.add.at(step, hit, 1)
@@ -254,13 +309,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     Null and empty texts have no words.  Texts shorter than a window are kept.
     Rows with a null id are neither compared nor cut.  Rows that repeat an id
     don't cut each other and both come back.  An empty table gives an empty
-    result; other columns are not read.  Windows are told apart by 64-bit
-    hashes.
+    result; other columns are not read.  Windows are told apart by hashes of 96
+    bits.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     small_batches(docs.sparkSession)
     ranges = groups = int(text_mb(docs) / RANGE_MB) + 1
-    sent = docs.mapInArrow(_hash_windows(width, ranges, groups), "bucket long, base long, docs binary, hashes binary")
+    sent = docs.mapInArrow(_hash_windows(width, ranges, groups), "bucket long, base long, docs binary, hashes binary, checks binary")
     flags = staged(sent.groupBy("bucket").applyInArrow(_repeated(groups), "doc_group long, base long, docs binary, hashes binary"), "repeats")
     held = _flagged_filter(flags)
     some = docs.mapInArrow(_maybe_flagged(held, groups), "doc_group long, doc_id long, text string")
