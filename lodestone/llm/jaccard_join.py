@@ -352,10 +352,25 @@ def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near duplicates (shingles of five words, 0.8)."""
-    found = similar_documents(docs, width=5, percent=80)
-    keep = found.where("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi").select(*docs.columns)
+    """One row of each group of near duplicates (shingles of five words, 0.8): the one with the smallest id.
+
+    Rows are judged, not ids: where ids repeat or are null, rows are numbered
+    in the order of id (null last) and text, and the first of a group stays.
+    Texts without words are near nothing and stay; an empty table stays empty.
+    All columns come back, whatever their names.
+    """
+    unlike = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1 OR doc_id IS NULL")
+    if unlike.isEmpty():
+        found = similar_documents(docs, width=5, percent=80)
+        keep = found.where("doc_id = component_id").select("doc_id")
+        return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    by = [F.col("row.doc_id").asc_nulls_last(), F.col("row.text").asc_nulls_first()]
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).repartitionByRange(n_parts, *by).sortWithinPartitions(*by)
+    rows = staged(rows.select(F.monotonically_increasing_id().alias("number"), "row"), "numbered")
+    found = similar_documents(rows.select("number", "row.text"), doc_id="number", width=5, percent=80)
+    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("number"))
+    return rows.join(keep, "number", "left_semi").select("row.*")
 
 
 QUERIES = {"op1_jaccard_join": op1_jaccard_join}
