@@ -16,6 +16,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -272,11 +273,12 @@ def extract_text(pages: DataFrame, keep: list[str], html: str = "html") -> DataF
     White space within a block is one space, blocks are joined by one space.
     Null and empty pages, and pages without text, give the empty text.  Markup
     that is cut off or badly nested is read as browsers do.  Repeated rows all
-    come back; an empty table gives an empty result.  ``keep`` must not hold
-    ``text``; columns not in it are not read.
+    come back; an empty table gives an empty result.  A column
+    ``text`` of ``keep`` gives way to the new one; columns not in ``keep`` are
+    not read.
     """
-    kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
-    return pages.select(F.col(html).alias("_html"), *keep).mapInArrow(_extract, f"{kinds + ', ' if keep else ''}text string")
+    rows = pages.select(F.col(html).alias("_html"), *[F.col(f"`{c}`") for c in keep if c != "text"])
+    return rows.mapInArrow(_extract, T.StructType([*rows.schema.fields[1:], T.StructField("text", T.StringType())]))
 
 
 def op3_html_text(spark, sf_dir: str) -> DataFrame:

@@ -12,14 +12,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .rolling import mixed, slices, string_bytes
 from .shared import lean, small_batches, staged
 
 #: Bytes of the n-grams.
 LENGTHS = (3, 4)
-#: Slots of the filter and look-ups for each n-gram; 8 MB at any size of the corpus.
+#: Slots of the filter and look-ups for each n-gram; 8 MB for each 63 languages, at any size of the corpus.
 SLOTS, LOOKUPS = 1 << 20, 3
+#: Languages in one word of a slot.
+WORD = 63
 #: A language has an n-gram whose share of its text is at least ``LEAST_SHARE``, and ``NEAR`` of the largest share in any language.
 LEAST_SHARE, NEAR = 1e-6, 0.25
 #: Bytes of text at a time.
@@ -99,60 +102,64 @@ def _slots_of(keys: np.ndarray) -> list[np.ndarray]:
 
 
 def _fill(batches):
-    """(gram, mask) in; (slot, mask) of each look-up out."""
+    """(gram, word, mask) in; (slot, word, mask) of each look-up out."""
     for batch in batches:
-        mask = batch.column(1).to_numpy()
+        word, mask = batch.column(1).to_numpy(), batch.column(2).to_numpy()
         slots = _slots_of(batch.column(0).to_numpy())
-        yield pa.RecordBatch.from_pydict({"slot": np.concatenate(slots), "mask": np.tile(mask, LOOKUPS)})
+        yield pa.RecordBatch.from_pydict({"slot": np.concatenate(slots), "word": np.tile(word, LOOKUPS), "mask": np.tile(mask, LOOKUPS)})
 
 
 class Filters:
-    """The languages, and for each slot a bit for each of them."""
+    """The languages, and for each slot a bit for each of them, :data:`WORD` bits in a word."""
 
     def __init__(self, langs: list[str], table: np.ndarray, fallback: str | None):
         self.langs, self.table, self.fallback = langs, table, fallback
-        bits = [np.uint64(1) << np.uint64(j) for j in range(len(langs))]
-        self.chance = np.array([np.count_nonzero(table & b) / len(table) for b in bits]) ** LOOKUPS
+        fill = [np.count_nonzero(table[j // WORD] & (np.uint64(1) << np.uint64(j % WORD))) / table.shape[1] for j in range(len(langs))]
+        self.chance = np.array(fill) ** LOOKUPS
 
     def corrected_counts(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         """For each row and language, the n-grams found less those expected by chance."""
         keys, rows = grams(raw, at)
-        mask = np.full(len(keys), ~np.uint64(0))
-        for slot in _slots_of(keys):
-            mask &= self.table[slot]
+        slots = _slots_of(keys)
         n_rows = len(at) - 1
         total = np.bincount(rows, minlength=n_rows)
         out = np.zeros((n_rows, len(self.langs)))
         for j in range(len(self.langs)):
-            hits = np.bincount(rows[(mask >> np.uint64(j)) & np.uint64(1) == 1], minlength=n_rows)
+            if j % WORD == 0:
+                mask = np.full(len(keys), ~np.uint64(0))
+                for slot in slots:
+                    mask &= self.table[j // WORD][slot]
+            hits = np.bincount(rows[(mask >> np.uint64(j % WORD)) & np.uint64(1) == 1], minlength=n_rows)
             out[:, j] = np.maximum(0, (hits - total * self.chance[j]) / max(1e-9, 1 - self.chance[j]))
         return out
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Filters:
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", near: float = NEAR) -> Filters:
     """Filters from the rows of ``docs`` whose ``lang`` is not null.
 
     Counts cover all rows; n-grams are counted by partition, then merged by
-    key.  The driver gets the masks of the slots (at most ``SLOTS`` of them)
-    and the languages, of which there may be 63.
+    key.  The driver gets the languages and the masks of the slots: at most
+    ``SLOTS`` of them for each 63 languages.  Null and empty texts add nothing,
+    but their ``lang`` counts as one to be learned if another row of it has an
+    n-gram.  Repeated rows count as often as they occur.  Without a labelled
+    row nothing is learned.
     """
     rows = docs.where(F.col(lang).isNotNull()).select(F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"), F.col(lang).cast("string").alias("lang"))
     counted = staged(rows.mapInArrow(lean(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(totals)
-    if len(langs) > 63:
-        raise ValueError(f"{len(langs)} languages; a mask has room for 63")
+    words = max(1, -(-len(langs) // WORD))
+    table = np.zeros((words, SLOTS), dtype=np.uint64)
     if not langs:
-        return Filters([], np.zeros(SLOTS, np.uint64), None)
-    of = F.create_map(*[x for k, v in enumerate(langs) for x in (F.lit(v), F.struct(F.lit(1 << k).cast("long").alias("bit"), F.lit(float(totals[v])).alias("total")))])
-    share = F.col("n") / of[F.col("lang")]["total"]
-    shares = counted.select("gram", of[F.col("lang")]["bit"].alias("bit"), share.alias("share"))
-    largest = shares.groupBy("gram").agg(F.max("share").alias("most"), F.collect_list(F.struct("bit", "share")).alias("each")).where(F.col("most") >= LEAST_SHARE)
-    bits = F.transform(F.filter("each", lambda x: x["share"] >= NEAR * F.col("most")), lambda x: x["bit"])
-    masks = largest.select("gram", F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)).alias("mask"))
-    filled = masks.mapInArrow(lean(_fill), "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toPandas()
-    table = np.zeros(SLOTS, dtype=np.uint64)
-    table[filled["slot"].to_numpy(dtype=np.int64)] = filled["mask"].to_numpy(dtype=np.int64).view(np.uint64)
+        return Filters([], table, None)
+    entry = lambda k, v: F.struct(F.lit(k // WORD).alias("word"), F.lit(1 << k % WORD).cast("long").alias("bit"), F.lit(float(totals[v])).alias("total"))
+    of = F.create_map(*[x for k, v in enumerate(langs) for x in (F.lit(v), entry(k, v))])
+    known = counted.select("gram", "n", of[F.col("lang")].alias("of"))
+    shares = known.select("gram", "of.word", "of.bit", (F.col("n") / F.col("of.total")).alias("share"))
+    largest = shares.groupBy("gram").agg(F.max("share").alias("most"), F.collect_list(F.struct("word", "bit", "share")).alias("each")).where(F.col("most") >= LEAST_SHARE)
+    bits = largest.select("gram", F.explode(F.filter("each", lambda x: x["share"] >= near * F.col("most"))).alias("x"))
+    filled = bits.select("gram", "x.word", "x.bit").mapInArrow(lean(_fill), "slot long, word int, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    table[filled["word"].to_numpy(dtype=np.int64), filled["slot"].to_numpy(dtype=np.int64)] = filled["mask"].to_numpy(dtype=np.int64).view(np.uint64)
     return Filters(langs, table, max(langs, key=lambda x: (totals[x], x)))
 
 
@@ -183,15 +190,18 @@ def predict(docs: DataFrame, filters: Filters, keep: list[str], text: str = "tex
 
     ``score`` is the best language's share of the counts of the two best, so 0.5
     to 1, or 0 where no n-gram is known; such texts get the most common
-    language learned.  Null texts and texts without a letter get ``und`` and 0,
-    and so does everything if nothing was learned.  ``keep`` must not hold
-    ``lang_pred`` or ``score``.
+    language learned.  Of languages with equal counts the first by name wins.
+    Null texts and texts without a letter get ``und`` and 0, and so does
+    everything if nothing was learned.  Columns of ``keep`` that are named
+    ``lang_pred`` or ``score`` give way to the new ones.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(filters)  # 8 MB at any size
-    rows = docs.select(F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_lettered"), *keep)
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(lean(_predict(shared)), f"{kinds}, lang_pred string, score double")
+    shared = docs.sparkSession.sparkContext.broadcast(filters)  # 8 MB for each 63 languages
+    keep = [c for c in keep if c not in ("lang_pred", "score")]
+    texts = [F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_lettered")]
+    rows = docs.select(*texts, *[F.col(f"`{c}`") for c in keep])
+    kinds = T.StructType([*rows.schema.fields[2:], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(lean(_predict(shared)), kinds)
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5, fold: int = 0):
@@ -204,10 +214,18 @@ def op9_language_id(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in a language that was learned; those without any letter go."""
+    """The documents in a language that was learned; those without any letter go.
+
+    If no row has a language, nothing can be learned and no language rejected:
+    then all documents with a letter stay.  Null and repeated ids play no part
+    (rows with a null id are learned from).  All columns come back, whatever
+    their names.
+    """
     filters = learn(docs.where(~held_out()))
-    keep = docs.columns
-    return predict(docs, filters, keep).where(F.col("lang_pred") != UNKNOWN).select(*keep)
+    if not filters.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return predict(rows, filters, ["row"]).where(F.col("lang_pred") != UNKNOWN).select("row.*")
 
 
 QUERIES = {"op9_language_id": op9_language_id}

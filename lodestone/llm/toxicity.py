@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import small_batches
 
@@ -206,13 +207,16 @@ def scored(docs: DataFrame, model: tuple[float, dict[int, float]], keep: list[st
     ``sentences`` lists the offending ones: character offsets (-1 if
     lower-casing changes the text's length) and score.  Null and empty texts
     score 0.  Without labels of both kinds the model scores all near 0.
-    Repeated rows all come back; an empty table gives an empty result.
+    Repeated rows all come back; an empty table gives an empty result.  Columns
+    of ``keep`` that have the names of new ones give way to them.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most WEIGHED weights
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    rows = docs.select(F.col(text).alias("_text"), *keep)
-    out = rows.mapInArrow(_score(shared), f"{kinds + ', ' if keep else ''}score double, sentences array<struct<start:long,end:long,score:double>>")
+    keep = [c for c in keep if c not in ("score", "sentences", "predicted")]
+    rows = docs.select(F.col(text).alias("_text"), *[F.col(f"`{c}`") for c in keep])
+    spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())]))
+    kinds = T.StructType([*rows.schema.fields[1:], T.StructField("score", T.DoubleType()), T.StructField("sentences", spans)])
+    out = rows.mapInArrow(_score(shared), kinds)
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
