@@ -5,8 +5,9 @@ only be kept from happening by one of smaller rank that takes its right part
 away, which in turn can only be prevented by one of still smaller rank, and so
 on.  The longest such chain bounds the lookahead.  The encoder keeps a window
 of that many symbols and a fixed block more, and emits the tokens that nothing
-to the right of the window can change.  Memory is constant, however long a
-word or a text is.
+to the right of the window can change.  The state is constant, however long a
+word or a text is; the text itself is one value of a row.  Decoding reads the
+ids again, and a state machine turns the bytes of their names into characters.
 
 A vocabulary file in the ``tokenizers`` JSON format gives the merges.
 """
@@ -27,6 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import lean, small_batches
 
@@ -56,6 +58,8 @@ NEWER = """
 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF
 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F
 """
+#: Where a word surely ends within text without white space: after an ASCII digit, or where ASCII letters end.
+_SEAM = re.compile(r"(?<=[0-9])(?=[\x00-\x7f])|(?<=[A-Za-z])(?=[\x00-\x40\x5b-\x60\x7b-\x7f])")
 _ODD = re.compile("[Σ" + "".join(NEW_CASES) + "]")
 
 
@@ -213,7 +217,7 @@ class Transducer:
         end = self.merges.end
         #: The bytes that each token stands for; a word's end stands for a space.
         self.raw = [self._bytes(names.get(i, ""), end, byte_of) for i in range(max(names) + 1)]
-        self.ids, self.spelled = _Memory(self, 0), _Memory(self, 1)
+        self.ids = _Memory(self)
 
     def _bytes(self, name: str, end: str, byte_of: dict[str, bytes]) -> bytes:
         if name in self.added:
@@ -231,18 +235,16 @@ class Transducer:
             return "".join(NEW_CASES.get(c) or c.lower() for c in text)
         return text.lower()
 
-    def remember(self, word: str) -> tuple[bytes, bytes]:
-        ids = self.merges.encode_short(word.encode())
-        out = array("I", ids).tobytes(), b" ".join([self.names[i] for i in ids])
+    def remember(self, word: str) -> bytes:
+        out = array("I", self.merges.encode_short(word.encode())).tobytes()
         if len(word) <= 64:
             if len(self.ids) >= REMEMBERED:
                 self.ids.clear()
-                self.spelled.clear()
-            self.ids[word], self.spelled[word] = out
+            self.ids[word] = out
         return out
 
     def encode(self, text: str):
-        """(ids as little-endian 32-bit integers, their names joined by spaces), piece by piece.
+        """Ids as little-endian 32-bit integers, piece by piece.
 
         A piece is the tokens of some consecutive words, or one token of a word
         that is longer than what is read at a time.
@@ -251,17 +253,14 @@ class Transducer:
         for found in self.special.finditer(text) if self.special and any(x in text for x in self.added) else ():
             yield from self._plain(text[at : found.start()])
             token = self.added[found[0]]
-            yield array("I", [token]).tobytes(), self.names[token]
+            yield array("I", [token]).tobytes()
             at = found.end()
         yield from self._plain(text[at:] if at else text)
 
     def _plain(self, text: str):
         at = 0
         while at < len(text):
-            end = at + READ
-            if end < len(text):  # words hold no white space, so nothing that is cut there changes
-                near = max(text.rfind(" ", at, end), text.rfind("\n", at, end))
-                end = near + 1 if near >= 0 else len(text)
+            end = self._word_end(text, at)
             part = self.folded(text[at:end])
             at = end
             try:
@@ -272,7 +271,7 @@ class Transducer:
             if len(part) <= 2 * READ:
                 words = pattern.findall(part)
                 if words:
-                    yield b"".join(map(self.ids.__getitem__, words)), b" ".join(map(self.spelled.__getitem__, words))
+                    yield b"".join(map(self.ids.__getitem__, words))
                 continue
             for found in pattern.finditer(part):
                 low, high = found.span()
@@ -280,7 +279,38 @@ class Transducer:
                     yield self.remember(part[low:high])
                     continue
                 for token in self.merges.encode_word(part[i : min(i + READ, high)].encode() for i in range(low, high, READ)):
-                    yield array("I", [token]).tobytes(), self.names[token]
+                    yield array("I", [token]).tobytes()
+
+    @staticmethod
+    def _word_end(text: str, at: int) -> int:
+        """Where a word ends, about ``READ`` characters after ``at``: nothing changes if the text is cut there."""
+        low = at
+        while low + READ < len(text):
+            high = low + READ
+            near = max(text.rfind(" ", low, high), text.rfind("\n", low, high))
+            if near < 0:
+                near = max(text.rfind(c, low, high) for c in SPACE)
+            if near >= 0:
+                return near + 1
+            seams = [m.start() for m in _SEAM.finditer(text, max(low, at + 1), high)]
+            if seams:
+                return seams[-1]
+            low = high
+        return len(text)
+
+    def decode(self, pieces):
+        """The text that the library's decoder gives for ids (pieces as :meth:`encode` yields), piece by piece.
+
+        A vocabulary without a decoder joins the names of its tokens by spaces.
+        """
+
+        def spelled():
+            between = b""
+            for ids in pieces:
+                yield between + b" ".join(map(self.names.__getitem__, array("I", ids)))
+                between = b" "
+
+        return decode_bytes(spelled())
 
     def text_of(self, ids):
         """The text that ids stand for, piece by piece: an incremental decoder from bytes to characters.
@@ -292,13 +322,13 @@ class Transducer:
 
 
 class _Memory(dict):
-    """The tokens of the words seen lately, or their names; a word not seen is encoded."""
+    """The ids of the words seen lately; a word not seen is encoded."""
 
-    def __init__(self, of, which: int):
-        self.of, self.which = of, which
+    def __init__(self, of):
+        self.of = of
 
     def __missing__(self, word: str) -> bytes:
-        return self.of.remember(word)[self.which]
+        return self.of.remember(word)
 
 
 def decode_bytes(pieces):
@@ -356,19 +386,22 @@ def _digests(path: str, real: bool):
                 part = batch.slice(low, len(rows))
                 cols = list(zip(*rows, strict=True)) or [[], [], []]
                 made = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
-                return pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], *made], ["doc_id", *batch.schema.names[2:], *names])
+                return pa.RecordBatch.from_arrays([part.column(0), *made], [batch.schema.names[0], *names])
 
             for text in batch.column(1).to_pylist():
-                n, between = 0, b""
-                ids, spelled = ([], []) if real else (hashlib.sha256(), hashlib.sha256())
-                keep_ids, keep_spelled = (ids.append, spelled.append) if real else (ids.update, spelled.update)
-                for blob, name in t.encode(text or ""):
-                    if blob:
+                n = 0
+                ids, decoded = ([], []) if real else (hashlib.sha256(), hashlib.sha256())
+
+                def kept(pieces, ids=ids):
+                    nonlocal n
+                    for blob in pieces:
                         n += len(blob) // 4
-                        keep_ids(blob)
-                        keep_spelled(between + name)
-                        between = b" "
-                rows.append((n, b"".join(ids), b"".join(spelled).decode()) if real else (n, ids.hexdigest(), spelled.hexdigest()))
+                        ids.append(blob) if real else ids.update(blob)
+                        yield blob
+
+                for part in t.decode(kept(t.encode(text or ""))):
+                    decoded.append(part) if real else decoded.update(part.encode())
+                rows.append((n, b"".join(ids), "".join(decoded)) if real else (n, ids.hexdigest(), decoded.hexdigest()))
                 size += len(rows[-1][1]) + len(rows[-1][2])
                 if size > HELD:
                     yield done(low, rows)
@@ -407,13 +440,17 @@ def op4_bpe(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' columns but the text, and their tokens: number, ids, and the digests of ids and decoded text."""
+    """Each row's columns but the text, and its tokens: number, ids, and the digests of ids and decoded text.
+
+    Null and repeated ids are carried as they are; null and empty texts have
+    no tokens.  Columns that have the names of the new ones give way to them.
+    """
     small_batches(spark)
-    kept = [c for c in docs.columns if c not in ("doc_id", "text")]
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *kept)
-    out = rows.mapInArrow(lean(_digests(default_path(), True)), f"doc_id long, {kinds + ', ' if kinds else ''}n_tokens long, ids binary, decoded string")
-    return out.select("doc_id", *kept, "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    kept = [c for c in docs.columns if c not in ("text", "n_tokens", "ids", "ids_sha256", "decoded_sha256")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), "text")
+    new = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
+    out = rows.mapInArrow(lean(_digests(default_path(), True)), T.StructType([rows.schema.fields[0], *new]))
+    return out.select("row.*", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 QUERIES = {"op4_bpe": op4_bpe}
