@@ -1,11 +1,13 @@
 """Fixity audit of WARC replicas by Merkle trees.
 
 Pages are written as WARC response records, one gzip member each, in files of
-bounded size.  An index lists every record's offset range.  An audit hashes the
-bytes of every range of every replica into leaves, and every ``FAN`` nodes in
-order into one above, up to one root for a replica.  Roots are compared first;
-below a pair of nodes that agree nothing is looked at, and the leaves at which
-a descent ends are the damaged records.
+bounded size.  An index lists every record's offset range.  An audit hashes
+every range of every replica, its offset, length and bytes, into a leaf; the
+leaf of a file's last record has the length of the file too.  Every ``FAN``
+nodes in order are hashed into one above, up to one root for a replica.  Roots
+are compared first; below a pair of nodes that agree nothing is looked at, and
+the leaves at which a descent ends are the damaged records.  What can't be read
+has no hash.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import struct
 import uuid
 import zlib
 from functools import reduce
@@ -147,22 +150,67 @@ def replicate(index: DataFrame, harm=None) -> DataFrame:
     return staged(_files(marked, "harm").mapInArrow(_copy(fresh_path(index.sparkSession, "replica")), "part long, seq long, path string"), "copies")
 
 
+_LEAF = pa.schema([("node", pa.int64()), ("hash", pa.binary()), ("record", pa.binary())])
+
+
+def _opened(path: str | None):
+    """The file at ``path``, or None if there is none."""
+    try:
+        fs, where = pyarrow.fs.FileSystem.from_uri(path or "")
+        return fs.open_input_file(where)
+    except (OSError, ValueError):
+        return None
+
+
+def _range(have, size: int, at: int) -> bytes | None:
+    """The bytes of a range, or None if they can't be read in full."""
+    try:
+        data = have.read_at(size, at) if have is not None else b""
+    except OSError:
+        return None
+    return data if have is not None and len(data) == size else None
+
+
+def _length(have) -> int:
+    try:
+        return have.size() if have is not None else -1
+    except OSError:
+        return -1
+
+
+def leaf_hash(at: int, size: int, data: bytes, length: int | None = None) -> bytes:
+    """The hash of a record's place and bytes, and of the file's ``length`` for its last record."""
+    place = struct.pack("<qqq", at, size, -1 if length is None else length)
+    return hashlib.sha256(place + data).digest()
+
+
 def _leaves(batches):
     for batch in batches:
         for path, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            fs, where = pyarrow.fs.FileSystem.from_uri(path)
-            with fs.open_input_file(where) as have:
-                rows = [(r["leaf"], hashlib.sha256(have.read_at(r["size"], r["at"])).digest()) for r in ranges]
-            yield _batch(rows, pa.schema([("node", pa.int64()), ("hash", pa.binary())]))
+            have, rows = _opened(path), []
+            end = ranges[-1]["leaf"]
+            for r in ranges:
+                data = _range(have, r["size"], r["at"])
+                if data is None:
+                    rows.append((r["leaf"], None, None))
+                else:
+                    rows.append((r["leaf"], leaf_hash(r["at"], r["size"], data, _length(have) if r["leaf"] == end else None), hashlib.sha256(data).digest()))
+            if have is not None:
+                have.close()
+            yield _batch(rows, _LEAF)
 
 
 def merkle(index: DataFrame, files: DataFrame) -> list[DataFrame]:
-    """The levels of the tree over a replica's ``files`` (part, seq, path): node and hash, leaves first, the root last."""
-    ranges = _files(index).drop("path").join(files, ["part", "seq"])
-    levels = [staged(ranges.select("path", "ranges").mapInArrow(_leaves, "node long, hash binary"), "leaves")]
+    """The levels of the tree over a replica's ``files`` (part, seq, path): node and hash, leaves first, the root last.
+
+    A file that is not listed, or can't be read, has leaves without a hash.
+    Leaves also have ``record``, the hash of the bytes alone.
+    """
+    ranges = _files(index).drop("path").join(files, ["part", "seq"], "left")
+    levels = [staged(ranges.select("path", "ranges").mapInArrow(_leaves, "node long, hash binary, record binary"), "leaves")]
     last = levels[0].agg(F.max("node")).first()[0] or 0
     while last > 0:
-        children = F.transform(F.sort_array(F.collect_list(F.struct("node", "hash"))), lambda x: F.hex(x["hash"]))
+        children = F.transform(F.sort_array(F.collect_list(F.struct("node", "hash"))), lambda x: F.coalesce(F.hex(x["hash"]), F.lit("-")))
         above = levels[-1].groupBy(F.expr(f"node div {FAN}").alias("up")).agg(F.unhex(F.sha2(F.array_join(children, ""), 256)).alias("hash"))
         levels.append(staged(above.select(F.col("up").alias("node"), "hash"), "nodes"))
         last //= FAN
@@ -174,8 +222,8 @@ def differing(a: list[DataFrame], b: list[DataFrame]) -> DataFrame:
     suspects = None
     for x, y in zip(reversed(a), reversed(b), strict=True):
         if suspects is not None:  # only what is below nodes that differ
-            x, y = (t.join(suspects.withColumnRenamed("node", "up"), F.expr(f"node div {FAN}") == F.col("up"), "left_semi") for t in (x, y))
-        both = x.withColumnRenamed("hash", "hash_a").join(y.withColumnRenamed("hash", "hash_b"), "node", "full")
+            x, y = (t.select("node", "hash").join(suspects.withColumnRenamed("node", "up"), F.expr(f"node div {FAN}") == F.col("up"), "left_semi") for t in (x, y))
+        both = x.select("node", F.col("hash").alias("hash_a")).join(y.select("node", F.col("hash").alias("hash_b")), "node", "full")
         suspects = staged(both.where("NOT hash_a <=> hash_b").select("node"), "suspects")
     return suspects
 
@@ -183,10 +231,12 @@ def differing(a: list[DataFrame], b: list[DataFrame]) -> DataFrame:
 def _verify(batches):
     for batch in batches:
         leaf, ok = batch.column(0), []
-        for path, at, size in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
-            fs, where = pyarrow.fs.FileSystem.from_uri(path)
-            with fs.open_input_file(where) as have:
-                ok.append(sound(have.read_at(size, at)))
+        for path, at, size, last in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+            have = _opened(path)
+            data = _range(have, size, at)
+            ok.append(data is not None and sound(data) and (not last or _length(have) == at + size))
+            if have is not None:
+                have.close()
         yield pa.RecordBatch.from_arrays([leaf, pa.array(ok, pa.bool_())], ["node", "sound"])
 
 
@@ -194,21 +244,31 @@ def audit(index: DataFrame, replicas: list[DataFrame]) -> DataFrame:
     """One row per record: ``page_id``, ``url``, ``part``, ``seq``, ``at``, ``size``, ``leaf``, ``sha256``, ``intact`` and ``bad_replicas``.
 
     ``replicas`` list their files (part, seq, path); the first one's leaves give
-    ``sha256``.  A record is ``intact`` if all replicas hold the same bytes;
-    otherwise ``bad_replicas`` has the numbers of those whose record does not
-    have the digest that it names.  An empty index gives an empty result.
+    ``sha256``, null where it lost the record.  A record is ``intact`` if all
+    replicas hold the same bytes in the same place; otherwise ``bad_replicas``
+    has the numbers of those whose record is lost, cut off or does not have the
+    digest that it names.  Bytes after a file's last record count as damage of
+    that record, and so do files that are missing or not listed of all their
+    records.  With one replica there is nothing to compare, so every record is
+    held against the digest that it names.  Repeated pages are records of their
+    own; an empty index gives an empty result.
     """
     trees = [merkle(index, files) for files in replicas]
-    suspects = reduce(DataFrame.unionByName, [differing(trees[0], t) for t in trees[1:]]).distinct()
-    suspects = staged(suspects, "all-suspects")
-    at = index.select(F.col("leaf").alias("node"), "part", "seq", "at", "size").join(suspects, "node", "left_semi")
+    # What no replica has looks the same in all trees.
+    suspects = [trees[0][0].where("hash IS NULL" if len(trees) > 1 else "TRUE").select("node")]
+    suspects += [differing(trees[0], t) for t in trees[1:]]
+    suspects = staged(reduce(DataFrame.unionByName, suspects).distinct(), "all-suspects")
+    ends = index.groupBy("part", "seq").agg(F.max("leaf").alias("end"))
+    at = index.join(suspects.withColumnRenamed("node", "leaf"), "leaf", "left_semi").join(ends, ["part", "seq"])
+    at = at.select(F.col("leaf").alias("node"), "part", "seq", "at", "size", (F.col("leaf") == F.col("end")).alias("last"))
     bad = []
     for k, files in enumerate(replicas):
-        checked = at.join(files, ["part", "seq"]).select("node", "path", "at", "size").mapInArrow(_verify, "node long, sound boolean")
+        checked = at.join(files, ["part", "seq"], "left").select("node", "path", "at", "size", "last").mapInArrow(_verify, "node long, sound boolean")
         bad.append(checked.where("NOT sound").select("node", F.lit(k).alias("replica")))
     bad = reduce(DataFrame.unionByName, bad).groupBy("node").agg(F.sort_array(F.collect_list("replica")).alias("bad"))
-    bad = suspects.join(bad, "node", "left").select(F.col("node").alias("leaf"), F.coalesce("bad", F.expr("cast(array() as array<int>)")).alias("bad"))
-    out = index.join(trees[0][0].select(F.col("node").alias("leaf"), F.lower(F.hex("hash")).alias("sha256")), "leaf").join(staged(bad, "bad"), "leaf", "left")
+    bad = suspects.join(bad, "node", "left" if len(replicas) > 1 else "inner")
+    bad = bad.select(F.col("node").alias("leaf"), F.coalesce("bad", F.expr("cast(array() as array<int>)")).alias("bad"))
+    out = index.join(trees[0][0].select(F.col("node").alias("leaf"), F.lower(F.hex("record")).alias("sha256")), "leaf").join(staged(bad, "bad"), "leaf", "left")
     return out.select("page_id", "url", "part", "seq", "at", "size", "leaf", "sha256", F.col("bad").isNull().alias("intact"), F.coalesce("bad", F.expr("cast(array() as array<int>)")).alias("bad_replicas"))
 
 
