@@ -86,6 +86,69 @@ def test_jaccard_with_common_shingles(spark, monkeypatch):
     assert got == comp
 
 
+def twins(steps=10):
+    """Two different words of 2 ** steps bytes that every polynomial modulo 2 ** 64 with an odd base takes for one."""
+    word = "a"
+    for _ in range(steps):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomials_confuse(spark):
+    for steps in (10, 11):
+        x, y = twins(steps)
+        tail = [f"w{i}" for i in range(14)]
+        rows = [(i, " ".join([*tail[:7], w, *tail[7:]]), "en", i) for i, w in enumerate((x, y))]
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup.remove_repeats(frame(spark, rows)).collect()}
+        assert got == repeats(rows, 13)
+        assert got[1][1] == 0
+        sizes, comp = near(rows)
+        found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.similar_documents(frame(spark, rows)).collect()}
+        assert found == {d: (sizes[d], comp[d]) for d in sizes}
+
+
+@pytest.mark.parametrize(("size", "percent", "width"), [(512, 80, 5), (512, 85, 4), (1024, 80, 5)])
+def test_pairs_of_a_group_come_up_about_once(spark, monkeypatch, size, percent, width):
+    """Near copies of one text, below and above the threshold to each other: few pairs leave the tiles, and no link is lost."""
+    rng = random.Random(size + percent)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.choice([2, size // 60, size // 40, size // 25])):
+            w[rng.randrange(size)] = f"v{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w), "en", i))
+    passage = [f"p{i}" for i in range(30)]  # one passage that many unlike documents share
+    rows += [(100 + i, " ".join([*(f"u{rng.randrange(10**6)}" for _ in range(size - 30)), *passage]), "en", i) for i in range(40)]
+    seen = []
+    plain = jaccard_join._distinct_pairs
+    monkeypatch.setattr(jaccard_join, "_distinct_pairs", lambda pairs: seen.append(pairs.count()) or plain(pairs))
+    sizes, comp = near(rows, width, percent)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.similar_documents(frame(spark, rows), width=width, percent=percent).collect()}
+    assert got == {d: (sizes[d], comp[d]) for d in sizes}
+    sets = [shingles(t, width) for _, t, *_ in rows[:60]]
+    close = sum(100 * len(a & b) >= (percent - 6) * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    assert seen[1] <= 4 * close + 60
+
+
+def test_near_duplicates_stage_judges_rows(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(50)}" for _ in range(60)) for _ in range(6)]
+    copy = lambda t: " ".join([*t.split()[:-1], "end"])
+    kinds = "doc_id long, text string, rep string, number int"
+    unique = [(5, texts[0]), (2, copy(texts[0])), (9, texts[1]), (4, None), (3, "")]
+    mixed = [*unique, (2, texts[2]), (2, texts[3]), (None, copy(texts[3])), (None, texts[4]), (7, copy(texts[4])), (None, None), (8, texts[5]), (8, texts[5])]
+    for rows, want in (
+        (unique, [(2, copy(texts[0])), (9, texts[1]), (4, None), (3, "")]),
+        (mixed, [(2, copy(texts[0])), (9, texts[1]), (4, None), (3, ""), (2, texts[2]), (2, texts[3]), (7, copy(texts[4])), (None, None), (8, texts[5])]),
+        ([], []),
+    ):
+        docs = spark.createDataFrame([(*r, "x", 1) for r in rows], kinds)
+        got = jaccard_join.stage(spark, docs, "")
+        assert got.columns == docs.columns
+        assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_jaccard_odd_tables(spark):
     assert jaccard_join.similar_documents(frame(spark, [])).count() == 0
     rows = [(None, "a b c d e", "en", 1), (5, "a b c d e", "en", 1), (5, "a b c d e", "en", 1), (4, "a b c d e", "en", 1), (6, None, None, None)]
@@ -141,6 +204,18 @@ def test_repeats(spark, monkeypatch):
     assert sum(n for _, n, _ in want.values()) > 1000
 
 
+def test_repeats_settled_within_a_task(spark, monkeypatch):
+    """Windows that a task remembers from earlier pieces, with smaller and larger ids coming later."""
+    rows = corpus(6, n=120)
+    want = repeats(rows, 13)
+    random.Random(1).shuffle(rows)
+    monkeypatch.setattr(substring_dedup, "CHUNK", 700)
+    monkeypatch.setattr(substring_dedup, "FREQUENT", 2)
+    monkeypatch.setattr(substring_dedup, "RANGE_MB", 0.003)
+    got = substring_dedup.remove_repeats(frame(spark, rows).coalesce(1)).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in got} == want
+
+
 def test_repeats_odd_tables(spark):
     assert substring_dedup.remove_repeats(frame(spark, [])).count() == 0
     text = " ".join(map(str, range(20)))

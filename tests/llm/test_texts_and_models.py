@@ -49,8 +49,7 @@ def test_bpe_streams_with_small_windows(monkeypatch):
         for _ in range(4):
             word = "".join(c for c in "".join(rng.choice(vocabulary) for _ in range(1500)) if c.isascii() and c.isalpha())
             t.ids.clear()
-            t.spelled.clear()
-            ids = np.frombuffer(b"".join(p[0] for p in t.encode(word)), "<u4").tolist()
+            ids = np.frombuffer(b"".join(t.encode(word)), "<u4").tolist()
             assert ids == library.encode(word, add_special_tokens=False).ids
 
 
@@ -60,7 +59,7 @@ def test_decoder_holds_back_unfinished_characters():
         assert "".join(bpe.decode_bytes(data[i : i + step] for i in range(0, len(data), step))) == data.decode()
     assert "".join(bpe.decode_bytes([b"a", b"\xe6\xbc"])) == "a�"
     t = bpe.transducer(bpe.default_path())
-    ids = np.frombuffer(b"".join(p[0] for p in t.encode("Crème 漢 brûlée")), "<u4").tolist()
+    ids = np.frombuffer(b"".join(t.encode("Crème 漢 brûlée")), "<u4").tolist()
     assert "".join(t.text_of(ids)).split() == ["crème", "漢", "brûlée"]
 
 
@@ -144,6 +143,96 @@ def test_warc(spark, monkeypatch):
     assert warc_fixity.audit(warc_fixity.write_warc(pages.limit(0)), [own.limit(0), own.limit(0)]).count() == 0
 
 
+def tree_root(leaves):
+    """The root over leaf hashes, by plain Python."""
+    while len(leaves) > 1:
+        groups = [leaves[i : i + warc_fixity.FAN] for i in range(0, len(leaves), warc_fixity.FAN)]
+        leaves = [hashlib.sha256("".join("-" if x is None else x.hex().upper() for x in g).encode()).digest() for g in groups]
+    return leaves[0]
+
+
+def test_warc_finds_lost_cut_and_longer_files(spark, monkeypatch):
+    monkeypatch.setattr(warc_fixity, "FILE", 2000)
+    rows = [(i, f"http://x/{i}", f"<p>{i * 'word '}</p>") for i in range(120)] + [(7, "http://x/7", "<p>again</p>")] * 2
+    index = warc_fixity.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    own = index.select("part", "seq", "path").distinct()
+    listed = sorted((r.asDict() for r in index.collect()), key=lambda r: r["leaf"])
+    files = {}
+    for r in listed:
+        files.setdefault((r["part"], r["seq"]), []).append(r)
+    leaves = []
+    for r in listed:
+        fs, where = pyarrow.fs.FileSystem.from_uri(r["path"])
+        have = fs.open_input_file(where)
+        length = have.size() if r is files[r["part"], r["seq"]][-1] else None
+        leaves.append(warc_fixity.leaf_hash(r["at"], r["size"], have.read_at(r["size"], r["at"]), length))
+    assert bytes(warc_fixity.merkle(index, own)[-1].first()["hash"]) == tree_root(leaves)
+    copies = {(r["part"], r["seq"]): r["path"] for r in warc_fixity.replicate(index).collect()}
+    names = sorted(copies)
+    lost, short, longer, unlisted = names[0], names[1], names[2], names[-1]
+    for key, change in ((lost, None), (short, lambda d: d[:-3]), (longer, lambda d: d + b"x")):
+        fs, where = pyarrow.fs.FileSystem.from_uri(copies[key])
+        data = fs.open_input_file(where).read()
+        fs.delete_file(where)
+        if change:
+            with fs.open_output_stream(where, compression=None) as put:
+                put.write(change(data))
+    other = spark.createDataFrame([(*k, p) for k, p in copies.items() if k != unlisted], "part long, seq long, path string")
+    want = {r["leaf"] for k in (lost, unlisted) for r in files[k]} | {files[short][-1]["leaf"], files[longer][-1]["leaf"]}
+    got = warc_fixity.audit(index, [own, other]).collect()
+    assert {r["leaf"]: r["bad_replicas"] for r in got if not r["intact"]} == dict.fromkeys(want, [1])
+    alone = warc_fixity.audit(index, [other]).collect()
+    assert len(alone) == len(rows)
+    assert {r["leaf"]: r["bad_replicas"] for r in alone if not r["intact"]} == dict.fromkeys(want, [0])
+    both = warc_fixity.audit(index, [other, other]).collect()
+    lost_in_both = {r["leaf"] for k in (lost, unlisted) for r in files[k]} | {files[short][-1]["leaf"]}
+    assert {r["leaf"]: r["bad_replicas"] for r in both if not r["intact"]} == dict.fromkeys(lost_in_both, [0, 1])
+
+
+def test_bpe_cuts_long_texts_without_white_space_at_word_ends(monkeypatch):
+    library = tokenizers.Tokenizer.from_file(bpe.default_path())
+    rng = random.Random(4)
+    t = bpe.Transducer(bpe.default_path())
+    long = ["".join(rng.choice("abcXYZ0189+/='é漢\u0301") for _ in range(n)) for n in (300, 3000)]
+    long += ["ab1" * 400_000, "\t".join(["word's"] * 5000), "漢" * 3000, "it's5're" * 500]
+    for read in (7, 100, 1 << 16):
+        monkeypatch.setattr(bpe, "READ", read)
+        for text in long if read > 100 else [*long[:2], *long[3:]]:
+            ids = library.encode(text, add_special_tokens=False).ids
+            pieces = list(t.encode(text))
+            assert np.frombuffer(b"".join(pieces), "<u4").tolist() == ids
+            assert "".join(t.decode(pieces)) == library.decode(ids, skip_special_tokens=False)
+
+
+def test_stages_with_clashing_columns_and_nothing_learned(spark):
+    kinds = "doc_id long, text string, lang string, score double, lang_pred string, _text string, row int, number int, ids string, n_tokens long, decoded string"
+    rows = [(i, t, None, 0.5, "p", "q", 1, 2, "i", 7, "d") for i, t in enumerate(["some words here", None, "12 !", "é", "some words here"])] + [(None, "a b", None, *[None] * 8)]
+    docs = spark.createDataFrame(rows, kinds)
+    kept = language_id.stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r["text"] for r in kept.collect()) == ["a b", "some words here", "some words here", "é"]
+    learned = language_id.stage(spark, docs.withColumn("lang", F.lit("xx")), "")
+    assert sorted(map(tuple, learned.drop("lang").collect()), key=str) == sorted(map(tuple, kept.drop("lang").collect()), key=str)
+    out = bpe.stage(spark, docs, "")
+    assert out.columns == ["doc_id", "lang", "score", "lang_pred", "_text", "row", "number", "decoded", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+    library = tokenizers.Tokenizer.from_file(bpe.default_path())
+    want = sorted(len(library.encode(r[1] or "", add_special_tokens=False).ids) for r in rows)
+    assert sorted(r["n_tokens"] for r in out.collect()) == want
+    assert language_id.predict(docs, language_id.learn(docs), []).columns == ["lang_pred", "score"]
+    for stage in (language_id.stage, bpe.stage):
+        assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_more_languages_than_bits_in_a_word(spark):
+    letters = [chr(0x4E00 + 50 * k) for k in range(70)]
+    rows = [(f"l{k:02d}", "".join(chr(ord(c) + j % 9) for j in range(40))) for k, c in enumerate(letters)]
+    docs = spark.createDataFrame([(i, t, n) for i, (n, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    filters = language_id.learn(docs)
+    assert len(filters.langs) == 70
+    assert filters.table.shape[0] == 2
+    assert all(r["lang"] == r["lang_pred"] for r in language_id.predict(docs, filters, ["lang"]).collect())
+
+
 def labelled(n, seed):
     rng = random.Random(seed)
     sounds = {"aa": "tion ing the and of", "bb": "ich ein und sch keit", "cc": "que ción de la os"}
