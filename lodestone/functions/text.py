@@ -15,6 +15,10 @@ EDGE = " \t\r\n?!.,~·…\"'()[]{}"
 TRUE_WORDS = ("1", "true", "yes", "on", "y", "t")
 #: Keys that never leave the process: fixed values.
 SECRET_KEYS = ("api_key", "password", "secret", "token", "authorization")
+#: What is masked in an error, and by what: fixed values.
+MASKS = ((r"[A-Za-z]:\\[^\s'\"]+", "<path>"), (r"/[^\s'\"]+/[^\s'\"]+", "<path>"), (r"[A-Za-z0-9_\-]{20,}", "<redacted>"))
+#: Names of runs: a fixed value.
+RUN_ID = r"\A[A-Za-z0-9_\-]{1,64}\z"
 #: Unicode white space, which a plain trim does not know.
 WHITE = r"(?U)\s"
 
@@ -72,9 +76,9 @@ def text_or(text: Column, default: str) -> Column:
 
 def masked_error(kind: Column, message: Column) -> Column:
     """The first line of an error without paths and long tokens, at most 300 characters."""
-    line = F.regexp_extract(F.coalesce(message, F.lit("")), r"\A[^\r\n]*", 0)
+    line = F.regexp_extract(F.coalesce(message, F.lit("")), r"\A[^\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]*", 0)
     line = F.when(line == "", kind).otherwise(line)
-    for pattern, put in ((r"[A-Za-z]:\\[^\s'\"]+", "<path>"), (r"/[^\s'\"]+/[^\s'\"]+", "<path>"), (r"[A-Za-z0-9_\-]{20,}", "<redacted>")):
+    for pattern, put in MASKS:
         line = F.regexp_replace(line, pattern, put)
     return F.substring(F.concat(kind, F.lit(": "), line), 1, 300)
 
@@ -85,7 +89,7 @@ def safe_map(m: Column) -> Column:
 
 
 def is_run_id(text: Column) -> Column:
-    return F.coalesce(text.rlike(r"\A[A-Za-z0-9_\-]{1,64}\z"), F.lit(False))
+    return F.coalesce(text.rlike(RUN_ID), F.lit(False))
 
 
 def evidence_name(rank: Column, page: Column, table: Column, suffix: Column) -> Column:
@@ -98,14 +102,6 @@ def last_part(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-def marked_up(text: Column) -> Column:
-    """HTML of one line of light markup: escapes, bold, headings and bullets."""
-    x = F.replace(F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    x = F.regexp_replace(x, r"\*\*(.+?)\*\*", "<strong>$1</strong>")
-    x = F.regexp_replace(x, r"\A#{1,6}\s+(.*)\z", "<h4>$1</h4>")
-    return F.regexp_replace(x, r"\A\s*[-*]\s+(.*)\z", "<li>$1</li>")
-
-
 def characters(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), ""), "")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean, file_names, header_name, integer, normalized
 
-#: Header names, without spaces, and the columns they stand for.
+#: Header names, without spaces, and the columns they stand for: fixed values.
 HEADERS = {"No": "no", "질문유형": "question_type", "장애유형": "fault_type", "질문": "question", "답변": "answer", "질문답변생성근거파일명": "source_files"}
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import numbers
+from ..functions.text import numbers, terms
 
 #: Phrases by which an answer owns up to not knowing.  The surveyed list is unknown; this one is ours.
 ABSTAINING = ("cannot be confirmed", "no evidence", "not found in the documents")
@@ -84,3 +84,43 @@ def zipped(a: Column, b: Column) -> Column:
     """Pairs by position, as many as the shorter array has."""
     n = F.least(F.size(a), F.size(b))
     return F.arrays_zip(F.slice(a, F.lit(1), n).alias("a"), F.slice(b, F.lit(1), n).alias("b"))
+
+
+def answer_rates(rows: DataFrame, group: str) -> DataFrame:
+    """How often answers refuse, misread, make things up or fail, by group.
+
+    ``rows`` has ``refused``, ``irrelevant`` (the question should be refused),
+    ``by_sight``, ``wrong``, ``unsupported`` (a number without evidence),
+    ``has_evidence`` and ``calls``.  A rate over no row is null.
+    """
+    share = lambda good, of: F.round(F.sum(F.when(of & good, 1).otherwise(0)) / F.nullif(F.sum(F.when(of, 1).otherwise(0)), F.lit(0)), 6)
+    c = {name: F.coalesce(F.col(name), F.lit(False)) for name in ("refused", "irrelevant", "by_sight", "wrong", "unsupported", "has_evidence")}
+    return rows.groupBy(group).agg(
+        F.count(F.lit(1)).alias("n"), share(c["refused"], c["irrelevant"]).alias("refusal_rate"), share(c["wrong"], c["by_sight"]).alias("misread_rate"),
+        F.sum(F.when(c["unsupported"] & ~c["refused"], 1).otherwise(0)).alias("hallucinations"), share(c["wrong"], c["has_evidence"]).alias("failure_rate"), F.round(F.avg("calls"), 6).alias("mean_calls"),
+    )
+
+
+def token_costs(calls: DataFrame, group: str, in_price: float, out_price: float) -> DataFrame:
+    """Tokens read and written by group, and their cost at prices for a million of either; a missing count is 0."""
+    read, written = (F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("tokens_in", "tokens_out"))
+    cost = (F.sum(read) * in_price + F.sum(written) * out_price) / 1e6
+    return calls.groupBy(group).agg(F.count(F.lit(1)).alias("calls"), F.sum(read).alias("tokens_in"), F.sum(written).alias("tokens_out"), F.round(cost, 9).alias("cost"))
+
+
+def sentences(text: Column) -> Column:
+    """The sentences of a text, without the marks that end them; the rule is ours."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"[.!?\n]+"), lambda x: F.btrim(x)), lambda x: x != "")
+
+
+def citations(answers: DataFrame, least: float) -> DataFrame:
+    """For each sentence of each answer (id columns, answer, evidence), the share of its distinct words that the evidence has.
+
+    ``cited`` tells whether that share is at least ``least``; a sentence without
+    words is not.
+    """
+    ids = [c for c in answers.columns if c not in ("answer", "evidence")]
+    rows = answers.select(*ids, F.array_distinct(terms(F.col("evidence"))).alias("_known"), F.posexplode(sentences(F.col("answer"))).alias("ord", "_sentence"))
+    rows = rows.withColumn("_words", F.array_distinct(terms(F.col("_sentence"))))
+    share = F.round(F.size(F.array_intersect("_words", "_known")) / F.nullif(F.size("_words"), F.lit(0)), 6)
+    return rows.select(*ids, "ord", F.coalesce(share, F.lit(0.0)).alias("share")).withColumn("cited", F.col("share") >= least)

@@ -123,3 +123,33 @@ def floor(found: DataFrame, least: float) -> DataFrame:
 def answer_mode(figures: Column, scanned: Column, has_table: Column) -> Column:
     """How a page is read: by sight if it is mostly figures, or scanned with a table."""
     return F.when((figures >= 0.5) | (scanned & has_table), "vision").otherwise("text")
+
+
+def reranked(found: DataFrame, scorer, k: int, least: float | None = None) -> DataFrame:
+    """``found`` (query_id, doc_id, and what the scorer reads) in the order of a scorer of choice.
+
+    ``scorer`` is a column, or a function of ``found`` that gives one: an
+    expression, or a pandas UDF around a model.  Ties go by id.  With ``least``,
+    rows below it are left out.
+    """
+    score = scorer(found) if callable(scorer) else scorer
+    rows = found.drop("score", "rank").withColumn("score", score)
+    return top(rows if least is None else rows.where(F.col("score") >= least), "query_id", "doc_id", k)
+
+
+def with_retries(questions: DataFrame, attempts: list, resolved: Column) -> DataFrame:
+    """``questions`` answered by the first of ``attempts`` that resolves them.
+
+    Each attempt is a function from the questions still open to the same rows
+    with its answer columns; ``resolved`` judges them.  A question meets an
+    attempt only if all before it failed, and keeps the last one's row if none
+    succeeds.  ``attempt`` counts from 1, so the loop is as long as the list.
+    """
+    done, left = None, questions
+    for n, attempt in enumerate(attempts, 1):
+        tried = attempt(left).withColumn("attempt", F.lit(n))
+        good = F.coalesce(resolved, F.lit(False))
+        kept = tried if n == len(attempts) else tried.where(good)
+        done = kept if done is None else done.unionByName(kept)
+        left = tried.where(~good).select(*questions.columns)
+    return done

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import rendering
 from ..functions import text as T
 from ..operators import catalogue, checking, graph, matching, retrieval, routing, sessions
 
@@ -77,7 +78,7 @@ def faq_match(spark, d):
 
 def route_decide(spark, d):
     """Matched turns sent on, and the final shape of their answers; without a retrieval engine the rest abstain."""
-    got = matching.match(_questions(spark, d), _faq(spark, d).drop("answer")).join(_faq(spark, d).select(F.col("id").alias("matched_id"), "answer"), "matched_id", "left")
+    got = matching.match(_questions(spark, d), _faq(spark, d).drop("answer")).join(catalogue.last_wins(_faq(spark, d), "id", "ordinal").select(F.col("id").alias("matched_id"), "answer"), "matched_id", "left")
     first = routing.first_route(F.lit("text"), F.col("decision"))
     none = F.lit(None).cast("string")
     gate = routing.after_rag(none, none, none, F.lit(False), False, "in_domain_unresolved")
@@ -89,10 +90,10 @@ def route_decide(spark, d):
 
 
 def turn_errors(spark, d):
-    """Which turns are no valid input; system turns stand for button presses, with missing parts."""
+    """Which turns are no valid input; system turns stand for button presses, some of them without an option."""
     rows = _t(spark, d, "conversations")
     action = F.col("role") == "system"
-    error = routing.input_error(F.when(~action, F.substring("text", 1, F.col("turn").cast("int") * 5)), action, F.when(F.col("turn") == 0, "scenario_option"), F.col("conv_id").cast("string"), F.nullif(F.substring("text", 1, 1), F.lit("a")))
+    error = routing.input_error(F.when(~action, F.col("text")), action, F.when(F.col("turn") == 0, "scenario_option"), F.col("conv_id").cast("string"), F.when(F.col("conv_id") % 3 != 0, F.col("text")))
     return rows.select("conv_id", "turn", routing.input_kind(F.when(action, "action").otherwise("text")).alias("kind"), F.coalesce(error, F.lit("ok")).alias("error"))
 
 
@@ -166,7 +167,7 @@ def masked_errors(spark, d):
 
 def marked_up(spark, d):
     lines = _t(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.select("conv_id", "turn", "pos", T.marked_up(F.concat(F.lit("- **"), "line", F.lit("**"))).alias("html"))
+    return lines.select("conv_id", "turn", "pos", rendering.line_html(F.concat(F.lit("- **"), "line", F.lit("**"))).alias("html"))
 
 
 def html_strip(spark, d):
@@ -341,9 +342,9 @@ ORACLE_SQL = {
     "counts_with_zero": "SELECT source, count(l.doc_id) AS n FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1 AND quality = 0) l USING (doc_id) GROUP BY source",
     "split_distinct": "SELECT page_id, (SELECT list(x ORDER BY i) FROM (SELECT trim(x) AS x, min(i) AS i FROM (SELECT unnest(regexp_split_to_array(url, '[\\n;,/]')) AS x, generate_subscripts(regexp_split_to_array(url, '[\\n;,/]'), 1) AS i) GROUP BY trim(x)) WHERE x <> '') AS parts FROM pages",
     "exact_lookup": f"WITH {_ASKED}, k AS (SELECT {NORM_SQL} AS key, CAST(min(item_id) AS VARCHAR) AS id FROM benchmark GROUP BY 1) SELECT number, id AS matched_id FROM (SELECT number, {NORM_SQL} AS key FROM asked) LEFT JOIN k USING (key)",
-    "turn_errors": """WITH t AS (SELECT *, role = 'system' AS a, substr(text, 1, CAST(turn * 5 AS INT)) AS m FROM conversations)
+    "turn_errors": """WITH t AS (SELECT *, role = 'system' AS a FROM conversations)
 SELECT conv_id, turn, CASE WHEN a THEN 'action' ELSE 'text' END AS kind,
-CASE WHEN a THEN CASE WHEN turn = 0 AND substr(text, 1, 1) NOT IN ('a', '') THEN 'ok' ELSE 'invalid_action' END WHEN trim(regexp_replace(m, '\\s+', ' ', 'g')) <> '' THEN 'ok' ELSE 'empty_input' END AS error FROM t""",
+CASE WHEN a THEN CASE WHEN turn = 0 AND conv_id % 3 <> 0 AND text <> '' THEN 'ok' ELSE 'invalid_action' END WHEN trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '' THEN 'ok' ELSE 'empty_input' END AS error FROM t""",
     "ref_integrity": """SELECT 'order_customer' AS rule, o_custkey AS key FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey)
 UNION ALL SELECT 'label_document', doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'document_label', doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
     "edge_resolve": f"WITH {TREE_SQL} SELECT s_suppkey, next_node_id, CASE WHEN next_node_id IS NULL THEN 'invalid_action' ELSE 'ok' END AS error FROM supplier LEFT JOIN edges ON node_id = 'n' || s_nationkey AND option_id = 'o' || s_suppkey",
@@ -394,3 +395,8 @@ SELECT user_id, a + v AS calls, concat_ws(',', CASE WHEN a > 0 THEN 'answer' END
     "breadcrumbs": f"WITH {_ISLANDS} SELECT event_id, epoch, depth FROM dep",
     "session_stream": f"WITH {_ISLANDS} SELECT user_id, epoch, depth, n_events FROM dep WHERE back = 1",
 }
+
+from . import dialogue  # noqa: E402  (its queries use the helpers above)
+
+QUERIES |= dialogue.QUERIES
+ORACLE_SQL |= dialogue.ORACLE_SQL
