@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rendering
 from ..functions import text as T
 from ..operators import catalogue, checking, graph, matching, retrieval, routing, sessions
+from ..operators.staging import fresh_path
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -311,13 +310,7 @@ def session_stream(spark, d):
     """The same state at the end of a stream over the event files."""
     from ..streaming.sessions import run_to_end
 
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        import tempfile
-
-        shared = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    base = f"{shared.rstrip('/')}/sessions-{uuid.uuid4().hex}"
+    base = fresh_path(spark, "sessions")
     return run_to_end(f"{d}/events*.parquet", spark, f"{base}/out", f"{base}/state")
 
 
