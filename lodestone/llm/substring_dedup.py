@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rolling import CHECK_BASE, mixed, slices, string_bytes, window_hashes, word_hashes
-from .shared import FILTER_BITS, in_filter, small_batches, staged, text_mb
+from .shared import FILTER_BITS, in_filter, partitions, small_batches, staged, text_mb
 
 #: Words of a window.
 WIDTH = 13
 #: Bytes of text hashed and sorted at a time, and megabytes of text for each range of hashes or group of documents.
 CHUNK, RANGE_MB = 4 << 20, 4
-#: Documents of one piece that have a window, from which on a task remembers it.
+#: How often one piece has a window, from which on a task remembers it.
 FREQUENT = 4
 
 
@@ -114,12 +114,14 @@ def _hash_windows(width: int, ranges: int, groups: int):
                 hashes, checks, docs, first = _grouped(hashes, checks, ids[row])
                 starts = np.flatnonzero(first)
                 sizes = np.diff(np.r_[starts, len(docs)])
-                least = np.minimum(docs[starts], often.of(hashes[starts], checks[starts]))
+                own = np.minimum.reduceat(docs, starts)
+                least = np.minimum(own, often.of(hashes[starts], checks[starts]))
                 known = docs > np.repeat(least, sizes)
-                sent = starts[docs[starts] <= least]
                 often.add(hashes[starts], checks[starts], least, sizes >= FREQUENT)
+                new = own <= least
+                sent, theirs = starts[new], own[new]
                 bucket = ((hashes[sent] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-                out = list(_rows(bucket, docs[sent], hashes[sent], checks[sent]))
+                out = list(_rows(bucket, theirs, hashes[sent], checks[sent]))
                 out += [(-1 - g, *rest, b"") for g, *rest in _by_document(docs[known], hashes[known], groups)]
                 for i in range(0, len(out), 512):
                     yield _batch(out[i : i + 512], _SENT)
@@ -128,12 +130,12 @@ def _hash_windows(width: int, ranges: int, groups: int):
 
 
 def _grouped(hashes: np.ndarray, checks: np.ndarray, docs: np.ndarray):
-    """The same, sorted by both hashes and document, and which of them begins a run of equal hashes."""
+    """The same, ordered by both hashes, and which of them begins a run of equal ones."""
     order = np.argsort(hashes, kind="stable")
     hashes, checks, docs = hashes[order], checks[order], docs[order]
     first = np.r_[True, hashes[1:] != hashes[:-1]]
-    if (~first[1:] & ((checks[1:] != checks[:-1]) | (docs[1:] < docs[:-1]))).any():
-        order = np.lexsort((docs, checks, hashes))
+    if (~first[1:] & (checks[1:] != checks[:-1])).any():
+        order = np.lexsort((checks, hashes))
         hashes, checks, docs = hashes[order], checks[order], docs[order]
         first = np.r_[True, (hashes[1:] != hashes[:-1]) | (checks[1:] != checks[:-1])]
     return hashes, checks, docs, first
@@ -185,7 +187,7 @@ def _repeated(groups: int):
         checks = np.concatenate([np.frombuffer(r["checks"], np.uint32) for r in rows])
         hashes, _, docs, first = _grouped(hashes, checks, docs)
         starts = np.flatnonzero(first)
-        late = docs > np.repeat(docs[starts], np.diff(np.r_[starts, len(docs)]))
+        late = docs > np.repeat(np.minimum.reduceat(docs, starts), np.diff(np.r_[starts, len(docs)]))
         return pa.Table.from_batches([_batch(list(_by_document(docs[late], hashes[late], groups)), _FLAGS)])
 
     return run
@@ -314,11 +316,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     small_batches(docs.sparkSession)
-    ranges = groups = int(text_mb(docs) / RANGE_MB) + 1
+    mb = text_mb(docs)
+    ranges = groups = int(mb / RANGE_MB) + 1
+    tasks = partitions(docs.sparkSession, mb)
     sent = docs.mapInArrow(_hash_windows(width, ranges, groups), "bucket long, base long, docs binary, hashes binary, checks binary")
-    flags = staged(sent.groupBy("bucket").applyInArrow(_repeated(groups), "doc_group long, base long, docs binary, hashes binary"), "repeats")
+    flags = staged(sent.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_repeated(groups), "doc_group long, base long, docs binary, hashes binary"), "repeats")
     held = _flagged_filter(flags)
     some = docs.mapInArrow(_maybe_flagged(held, groups), "doc_group long, doc_id long, text string")
+    some, flags = some.repartition(tasks, "doc_group"), flags.repartition(tasks, "doc_group")
     cut = some.groupBy("doc_group").cogroup(flags.groupBy("doc_group")).applyInArrow(_cut(width), _OUT)
     return docs.mapInArrow(_keep_all(held), _OUT).unionByName(cut)
 
