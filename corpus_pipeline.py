@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import bpe, decontaminate, exact_dedup, jaccard_join, language_id
-from lodestone.llm.shared import staged
+from lodestone.llm.shared import clearing, delete, fresh_path
 
 STAGES = [
     ("language_id", language_id.stage),
@@ -25,7 +25,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        path = fresh_path(spark, name)
+        with clearing(spark):  # a stage's own tables go once its result is written
+            kept = stage(spark, docs, sf_dir)
+            kept.write.parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
+        if last:
+            delete(spark, last)
+        last = path
     return docs

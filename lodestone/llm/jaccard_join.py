@@ -31,8 +31,10 @@ SHINGLE, PERCENT = 4, 85
 BITS, BLOCK, CHUNK = 256, 1024, 4 << 20
 #: Bits of a bitmap for each element, at least: with fewer, unlike sets pass the bound.
 DENSITY = 2
-#: Counters of the sketch that finds common shingles.  A counter is common above ``COMMON`` and ``EXCESS`` times the mean.
-COUNTERS, COMMON, EXCESS = 1 << 18, 1000, 8
+#: Counters of the sketch that finds common shingles, one for every ``DOCS_EACH`` documents within these bounds.
+COUNTERS, MOST_COUNTERS, DOCS_EACH = 1 << 18, 1 << 24, 4
+#: A counter is common above ``COMMON`` and ``EXCESS`` times the mean.
+COMMON, EXCESS = 1000, 8
 #: Low bits of a shingle's hash that its key in a tile leaves out; keys that then collide meet in vain.
 SHORTER = 16
 
@@ -73,31 +75,34 @@ def folded(bits: bytes, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(words.reshape(-1, size // 8), axis=0) if len(bits) > size else words
 
 
-def _counter(u: np.ndarray) -> np.ndarray:
-    return (mixed(u ^ np.uint64(0x33)) % np.uint64(COUNTERS)).astype(np.int64)
+def _counter(u: np.ndarray, counters: int) -> np.ndarray:
+    return (mixed(u ^ np.uint64(0x33)) % np.uint64(counters)).astype(np.int64)
 
 
 def _prefix(u: np.ndarray, percent: int, common: np.ndarray | None) -> np.ndarray:
-    """The first elements of a set: common ones last, else by hash."""
+    """The first elements of a set: common ones last, else by hash.  ``common`` holds a bit for each counter."""
     if common is not None:
-        late = common[_counter(u)]
+        at = _counter(u, 8 * len(common))
+        late = (common[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & np.uint8(1)).astype(bool)
         u = np.concatenate([u[~late], u[late]])
     return u[: prefix_length(len(u), percent)]
 
 
-def _count_prefixes(width: int, percent: int):
+def _count_prefixes(width: int, percent: int, counters: int):
     """A sketch of how many documents have each shingle in their prefix: one counter for many shingles."""
 
     def run(batches):
-        total = np.zeros(COUNTERS, dtype=np.int64)
+        total = np.zeros(counters, dtype=np.int32)
         for batch in batches:
             raw, at = string_bytes(batch.column(0))
             for low, high in slices(np.diff(at), CHUNK):
                 sets = shingle_sets(raw[at[low] : at[high]], at[low : high + 1] - at[low], width)
-                total += np.bincount(np.concatenate([_counter(_prefix(u, percent, None)) for u in sets if len(u)] or [np.zeros(0, np.int64)]), minlength=COUNTERS)
+                met = np.concatenate([_counter(_prefix(u, percent, None), counters) for u in sets if len(u)] or [np.zeros(0, np.int64)])
+                found, n = np.unique(met, return_counts=True)
+                total[found] += n.astype(np.int32)
         used = np.flatnonzero(total)
         for i in range(0, len(used), 50_000):
-            yield pa.RecordBatch.from_pydict({"counter": used[i : i + 50_000], "n": total[used[i : i + 50_000]]})
+            yield pa.RecordBatch.from_pydict({"counter": used[i : i + 50_000], "n": total[used[i : i + 50_000]].astype(np.int64)})
 
     return run
 
@@ -279,6 +284,19 @@ def _by_hub(placed: DataFrame, hubs: DataFrame) -> DataFrame:
     return apart.unionByName(once.join(joins, "hub").select(F.xxhash64(F.lit("hub"), "hub").alias("tile"), "rep", "n", "component", F.col("members").alias("docs")))
 
 
+def _common_counters(docs: DataFrame, width: int, percent: int) -> np.ndarray | None:
+    """Which counters of the sketch are common, a bit for each, or None if none is: at most 2 MB."""
+    counters = min(MOST_COUNTERS, max(COUNTERS, 1 << (docs.count() // DOCS_EACH).bit_length()))
+    counts = docs.select("text").mapInArrow(lean(_count_prefixes(width, percent, counters)), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+    counts = staged(counts, "counters")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    most = max(COMMON, EXCESS * total // counters)
+    found = counts.where(F.col("n") > most).select("counter").toPandas()  # fewer than counters / EXCESS
+    out = np.zeros(counters, dtype=bool)
+    out[found["counter"].to_numpy(dtype=np.int64)] = True
+    return np.packbits(out) if len(found) else None
+
+
 def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row of ``docs``.
 
@@ -295,11 +313,8 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    counts = docs.select("text").mapInArrow(lean(_count_prefixes(width, percent)), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
-    counts = counts.toPandas()  # as many rows as the sketch has counters, at most
-    common = np.zeros(COUNTERS, dtype=bool)
-    common[counts["counter"][counts["n"] > max(COMMON, EXCESS * int(counts["n"].sum()) // COUNTERS)].to_numpy(dtype=np.int64)] = True
-    found = staged(docs.mapInArrow(lean(_signatures(width, percent, common if common.any() else None)), _SETS), "sets")
+    common = _common_counters(docs, width, percent)
+    found = staged(docs.mapInArrow(lean(_signatures(width, percent, common)), _SETS), "sets")
     # Equal sets are one class; its smallest id stands for it.
     own = found.where("n > 0 AND doc_id IS NOT NULL")
     classes = staged(own.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members")), "classes")
@@ -355,7 +370,8 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates (shingles of five words, 0.8): the one with the smallest id.
 
     Rows are judged, not ids: where ids repeat or are null, rows are numbered
-    in the order of id (null last) and text, and the first of a group stays.
+    in the order of id (null last) and text, and the first of a group stays,
+    with the rows that repeat both its id and its text: they are one document.
     Texts without words are near nothing and stay; an empty table stays empty.
     All columns come back, whatever their names.
     """
@@ -370,7 +386,9 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = staged(rows.select(F.monotonically_increasing_id().alias("number"), "row"), "numbered")
     found = similar_documents(rows.select("number", "row.text"), doc_id="number", width=5, percent=80)
     keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("number"))
-    return rows.join(keep, "number", "left_semi").select("row.*")
+    digest = F.sha2(F.coalesce("row.text", F.lit("")), 256)
+    keep = rows.join(keep, "number", "left_semi").select(F.col("row.doc_id").alias("id"), digest.alias("digest")).distinct()
+    return rows.join(keep, F.col("row.doc_id").eqNullSafe(F.col("id")) & (digest == F.col("digest")), "left_semi").select("row.*")
 
 
 QUERIES = {"op1_jaccard_join": op1_jaccard_join}

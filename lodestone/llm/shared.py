@@ -5,6 +5,8 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +39,14 @@ def lean(run):
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    ``spark.checkpoint.dir`` is read from the session.  Where it is unset (a
-    local session, as in tests) a temporary folder is made and set.
+    ``spark.checkpoint.dir`` is read from the session.  Where it is unset, a
+    local session, as in tests, gets a temporary folder; on a cluster, whose
+    executors would not see that folder, this fails.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -52,6 +57,29 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a table that this subpackage has made."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: The tables that the current :func:`clearing` has to delete.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def clearing(spark: SparkSession):
+    """Deletes, at its end, the tables staged within it; what is returned from it must have been written elsewhere by then."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        for path in made:
+            delete(spark, path)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it again.
 
@@ -60,6 +88,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     path = fresh_path(df.sparkSession, name)
     small_batches(df.sparkSession)
+    made = _made.get()
+    if made is not None:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

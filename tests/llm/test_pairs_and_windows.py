@@ -140,7 +140,7 @@ def test_near_duplicates_stage_judges_rows(spark):
     mixed = [*unique, (2, texts[2]), (2, texts[3]), (None, copy(texts[3])), (None, texts[4]), (7, copy(texts[4])), (None, None), (8, texts[5]), (8, texts[5])]
     for rows, want in (
         (unique, [(2, copy(texts[0])), (9, texts[1]), (4, None), (3, "")]),
-        (mixed, [(2, copy(texts[0])), (9, texts[1]), (4, None), (3, ""), (2, texts[2]), (2, texts[3]), (7, copy(texts[4])), (None, None), (8, texts[5])]),
+        (mixed, [(2, copy(texts[0])), (9, texts[1]), (4, None), (3, ""), (2, texts[2]), (2, texts[3]), (7, copy(texts[4])), (None, None), (8, texts[5]), (8, texts[5])]),
         ([], []),
     ):
         docs = spark.createDataFrame([(*r, "x", 1) for r in rows], kinds)
