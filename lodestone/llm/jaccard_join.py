@@ -297,22 +297,8 @@ def _common_counters(docs: DataFrame, width: int, percent: int) -> np.ndarray |
     return np.packbits(out) if len(found) else None
 
 
-def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` of every row of ``docs``.
-
-    Words are runs of characters other than ASCII white space, A-Z lower-cased.
-    A set holds the distinct shingles of ``width`` words; a shorter text is one
-    shingle.  Documents link when their Jaccard similarity is at least
-    ``percent`` / 100; ``component_id`` is the smallest id reachable by links.
-
-    Null, empty and blank texts have no shingles and link with nothing, so
-    they are their own component.  A null id gives a null component.  Rows that
-    repeat an id are one node of the graph and all come back.  An empty table
-    gives an empty result; other columns are not read.  Shingles are told apart
-    by 64-bit hashes.
-    """
-    small_batches(docs.sparkSession)
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+def _prepared(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Of ``docs`` (doc_id, text): the signature of every row, classes of equal sets, and their representatives' bitmaps, tiles and hubs."""
     common = _common_counters(docs, width, percent)
     found = staged(docs.mapInArrow(lean(_signatures(width, percent, common)), _SETS), "sets")
     # Equal sets are one class; its smallest id stands for it.
@@ -336,14 +322,11 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     hubs = tiles.groupBy("tile").agg(F.min("rep").alias("hub"), *members).where("docs > 1")
     hubs = staged(hubs.groupBy("hub", "docs", "xor").agg(F.min("tile").alias("tile")).select("tile", "hub", "docs"), "hubs")
     tiles = staged(tiles.join(hubs, "tile"), "kept-tiles")
-    stars = staged(_distinct_pairs(tiles.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))), "stars")
-    links = _verified(stars, docs, sets, width, percent, "stars")
-    labels = staged(connected_components(links), "labels")
-    # Tiles that still hold more than one component are compared in full.
-    member = F.coalesce("component", "rep").alias("component")
-    placed = staged(tiles.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("tile", "rep", "n", member), "placed")
-    mixed_tiles = staged(placed.groupBy("tile").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("docs")).where("low < high").select("tile", "docs"), "mixed")
-    joined = staged(_by_hub(placed.join(mixed_tiles, "tile"), hubs), "joined")
+    return found, classes, sets, tiles, hubs
+
+
+def _compared(joined: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components in the tiles ``joined`` (tile, rep, n, component, docs) whose bitmaps allow the threshold."""
     blocks = F.ceil(F.col("docs") / F.lit(float(BLOCK))).cast("int")
     dealt = joined.join(sets.select("rep", "bits"), "rep").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
     # Each pair of blocks is a tile of its own: a document goes to those of its block with every other one.
@@ -352,9 +335,36 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
         F.xxhash64("tile", F.least("own", "other"), F.greatest("own", "other")).alias("tile"),
         "rep", "component", "n", "bits", (F.col("own") > F.col("other")).cast("int").alias("side"),
     )
-    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rest = dealt.repartition(n_parts, "tile").sortWithinPartitions("tile", "rep").mapInArrow(lean(_tile_pairs(percent)), "a long, b long")
-    rest = staged(_distinct_pairs(rest).join(stars, ["a", "b"], "left_anti"), "rest")
+    n_parts = int(joined.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n_parts, "tile").sortWithinPartitions("tile", "rep").mapInArrow(lean(_tile_pairs(percent)), "a long, b long")
+
+
+def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id`` of every row of ``docs``.
+
+    Words are runs of characters other than ASCII white space, A-Z lower-cased.
+    A set holds the distinct shingles of ``width`` words; a shorter text is one
+    shingle.  Documents link when their Jaccard similarity is at least
+    ``percent`` / 100; ``component_id`` is the smallest id reachable by links.
+
+    Null, empty and blank texts have no shingles and link with nothing, so
+    they are their own component.  A null id gives a null component.  Rows that
+    repeat an id are one node of the graph and all come back.  An empty table
+    gives an empty result; other columns are not read.  Shingles are told apart
+    by 64-bit hashes.
+    """
+    small_batches(docs.sparkSession)
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    found, classes, sets, tiles, hubs = _prepared(docs, width, percent)
+    stars = staged(_distinct_pairs(tiles.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))), "stars")
+    links = _verified(stars, docs, sets, width, percent, "stars")
+    labels = staged(connected_components(links), "labels")
+    # Tiles that still hold more than one component are compared in full.
+    member = F.coalesce("component", "rep").alias("component")
+    placed = staged(tiles.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("tile", "rep", "n", member), "placed")
+    mixed_tiles = staged(placed.groupBy("tile").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("docs")).where("low < high").select("tile", "docs"), "mixed")
+    joined = staged(_by_hub(placed.join(mixed_tiles, "tile"), hubs), "joined")
+    rest = staged(_distinct_pairs(_compared(joined, sets, percent)).join(stars, ["a", "b"], "left_anti"), "rest")
     more = _verified(rest, docs, sets, width, percent, "rest")
     of_class = connected_components(links.unionByName(more))
     classes = classes.join(of_class.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
@@ -362,6 +372,38 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
+def similar_pairs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """The links themselves, as (pairs, members).
+
+    ``pairs`` has every link between different sets once, as ``a`` < ``b``: the
+    smallest ids of two classes of equal sets.  ``members`` has ``doc_id``,
+    ``n_shingles``, ``rep`` (that smallest id of the row's own class) and
+    ``n_links`` of every row: the other rows that it links with, copies too.
+    So no link is lost, and copies are not multiplied out.
+
+    Documents, sets and links are those of :func:`similar_documents`, but no
+    pair is left out because links reach it already, so a group of D unlike
+    near copies has up to D * D / 2 of them.  Rows without shingles or without
+    an id have no links, and ``rep`` is their own id.  Ids are expected once;
+    where one repeats, its rows' sets count as one class.
+    """
+    small_batches(docs.sparkSession)
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    found, classes, sets, tiles, hubs = _prepared(docs, width, percent)
+    placed = tiles.select("tile", "rep", "n", F.col("rep").alias("component"), "docs")
+    pairs = staged(_distinct_pairs(_compared(_by_hub(placed, hubs), sets, percent)), "pairs")
+    pairs = _verified(pairs, docs, sets, width, percent, "pairs")
+    rows = classes.groupBy("rep").agg(F.sum("members").alias("rows"))
+    ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = ends.join(rows.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("rows").alias("near"))
+    links = rows.join(near, "rep", "left").select("rep", (F.col("rows") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    own = classes.select("n", "s1", "s2", "rep").join(links, "rep")
+    members = found.select("doc_id", "n", "s1", "s2").join(own, ["n", "s1", "s2"], "left")
+    known = F.col("doc_id").isNotNull()
+    out = members.select("doc_id", F.col("n").alias("n_shingles"), F.when(known, F.coalesce("rep", "doc_id")).alias("rep"), F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"))
+    return pairs, out
+
+
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

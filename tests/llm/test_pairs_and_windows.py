@@ -77,6 +77,34 @@ def test_jaccard(spark, monkeypatch, block):
     assert len(set(comp.values())) < len(comp) - 10
 
 
+@pytest.mark.parametrize("block", [1024, 3])
+def test_jaccard_links(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rng = random.Random(block)
+    rows = corpus(block)
+    base = [f"n{i}" for i in range(90)]
+    for i in range(12):  # near copies of each other, of which a component needs only some links
+        w = list(base)
+        w[rng.randrange(90)] = f"m{i % 9}"
+        rows.append((1000 + i, " ".join(w), "en", i))
+    sets = {d: shingles(t, 4) for d, t, *_ in rows}
+    rep = {d: min(x for x in sets if sets[x] == s) if s else d for d, s in sets.items()}
+    similar = {(a, b) for a in sets for b in sets if a != b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    pairs, members = jaccard_join.similar_pairs(frame(spark, rows))
+    assert sorted(map(tuple, pairs.collect())) == sorted({(rep[a], rep[b]) for a, b in similar if rep[a] < rep[b]})
+    want = {d: (len(s), rep[d], sum(a == d for a, _ in similar)) for d, s in sets.items()}
+    assert {r["doc_id"]: (r["n_shingles"], r["rep"], r["n_links"]) for r in members.collect()} == want
+    assert any(n > 8 for *_, n in want.values())
+
+
+def test_jaccard_links_odd_tables(spark):
+    pairs, members = jaccard_join.similar_pairs(frame(spark, []))
+    assert pairs.count() == members.count() == 0
+    pairs, members = jaccard_join.similar_pairs(frame(spark, [(None, "a b", "en", 1), (2, "A b", "en", 2), (3, None, "en", 3), (4, "a b", "en", 4)]))
+    assert pairs.count() == 0
+    assert sorted(map(tuple, members.collect()), key=str) == [(2, 1, 2, 1), (3, 0, 3, 0), (4, 1, 2, 1), (None, 1, None, 0)]
+
+
 def test_jaccard_with_common_shingles(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "COMMON", 3)
     monkeypatch.setattr(jaccard_join, "EXCESS", 0)
