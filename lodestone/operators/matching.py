@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-import heapq
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import common_length, positions, ratio_of
+from ..functions.similarity import Lanes, ratios_of
 from ..functions.text import normalized
 from .catalogue import first_wins
+from .staging import staged
 
 #: Accepted from this score, and with this lead over the second.
 THRESHOLD, MARGIN = 0.90, 0.05
 #: Keys and questions of a block.
 BLOCK, ASKED = 10_000, 2_000
+#: Bits of the keys that are compared with a question at once.
+LANES = 1 << 15
 
 
 def exact(questions: DataFrame, keys: DataFrame, question: str, key: str) -> DataFrame:
@@ -23,28 +25,40 @@ def exact(questions: DataFrame, keys: DataFrame, question: str, key: str) -> Dat
     return questions.join(keys, questions[question] == keys[key], "left")
 
 
+def _groups(keys: list[dict]):
+    """Keys of like lengths in lanes, with their ordinals."""
+    group, bits = [], 0
+    for key in sorted(keys, key=lambda k: len(k["text"])):
+        group.append(key)
+        bits += len(key["text"]) + 64
+        if bits >= LANES:
+            yield Lanes([k["text"] for k in group]), np.array([k["ordinal"] for k in group], dtype=np.int64)
+            group, bits = [], 0
+    if group:
+        yield Lanes([k["text"] for k in group]), np.array([k["ordinal"] for k in group], dtype=np.int64)
+
+
 def _best_two(batches):
     """Rows of a block of keys and a block of questions in; each question's best two keys of that block out."""
     for batch in batches:
         out: list[tuple] = []
         for keys, questions in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            prepared = [(k["ordinal"], k["text"], positions(k["text"])) for k in keys]
+            groups = list(_groups(keys))
+            low, high = (np.array([lanes.sizes[end] for lanes, _ in groups]) for end in (0, -1))
             for question in questions:
-                number, text = question["number"], question["text"]
-                own = positions(text)
+                text = question["text"]
+                # No common subsequence is longer than the shorter text, so a group is bounded by its length nearest to the question's.
+                nearest = np.clip(len(text), low, high)
+                bounds = ratios_of(nearest, len(text), np.minimum(nearest, len(text)))
                 top: list[tuple[float, int]] = []
-                for ordinal, key, where in sorted(prepared, key=lambda k: -min(len(k[1]), len(text)) / (len(k[1]) + len(text) or 1)):
-                    n = len(key) + len(text)
-                    # No common subsequence is longer than the shorter text, so this key and those after it cannot enter.
-                    if len(top) == 2 and ratio_of(len(key), len(text), min(len(key), len(text))) < top[0][0]:
+                for g in np.argsort(-bounds, kind="stable").tolist():
+                    if len(top) == 2 and bounds[g] < -top[1][0]:
                         break
-                    common = common_length(key, own, len(text)) if len(key) <= len(text) else common_length(text, where, len(key))
-                    item = (ratio_of(len(key), len(text), common) if n else 1.0, -ordinal)
-                    if len(top) < 2:
-                        heapq.heappush(top, item)
-                    elif item > top[0]:
-                        heapq.heapreplace(top, item)
-                out += [(number, -o, s) for s, o in top]
+                    lanes, ordinals = groups[g]
+                    scores = lanes.ratios(text)
+                    best = np.lexsort((ordinals, -scores))[:2]
+                    top = sorted([*top, *zip((-scores[best]).tolist(), ordinals[best].tolist(), strict=True)])[:2]
+                out += [(question["number"], ordinal, -score) for score, ordinal in top]
         cols = list(zip(*out, strict=True)) or [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["number", "ordinal", "score"])
 
@@ -81,23 +95,26 @@ def decision(best: Column, second: Column, threshold: float = THRESHOLD, margin:
     return F.when(best < threshold, "reject_low_score").when(best - second < margin, "reject_ambiguous").otherwise("accept")
 
 
-def match(questions: DataFrame, faq: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
+def match(questions: DataFrame, faq: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN, keyless: bool = False) -> DataFrame:
     """Every question (number, question) matched to the table ``faq`` (ordinal, id, question_normalized).
 
     Equal normalised questions match exactly, with constant scores; the first of
     equal keys stands for all.  A question that is empty once normalised and has
     no equal key is rejected with scores of 0 and no match.  The rest meet all
-    keys; rejected ones keep the nearest key.
+    keys; rejected ones keep the nearest key.  If ``faq`` has no key at all,
+    ``keyless`` tells whether all questions are rejected like empty ones;
+    without it they give no row.
     """
-    keys = first_wins(faq.select("ordinal", "id", "question_normalized"), "question_normalized", "ordinal")
+    keys = staged(first_wins(faq.select("ordinal", "id", "question_normalized"), "question_normalized", "ordinal"), "keys")
     asked = questions.select("number", "question", normalized(F.col("question")).alias("text"))
     # Exact first; only what it leaves goes to the costly stage.
-    equal = asked.join(keys.select(F.col("question_normalized").alias("text"), F.col("id").alias("matched_id"), F.col("ordinal").alias("matched_ordinal")), "text", "left")
+    equal = staged(asked.join(keys.select(F.col("question_normalized").alias("text"), F.col("id").alias("matched_id")), "text", "left").select("number", "text", "matched_id"), "equal")
     direct = equal.where("matched_id IS NOT NULL").select("number", F.lit("exact").alias("decision"), F.lit(1.0).alias("best"), F.lit(0.0).alias("second"), F.lit(1.0).alias("margin"), "matched_id")
-    empty = equal.where("matched_id IS NULL AND text = ''").select(
+    far = F.lit(keyless and keys.isEmpty())
+    empty = equal.where(F.col("matched_id").isNull() & ((F.col("text") == "") | far)).select(
         "number", F.lit("reject_low_score").alias("decision"), F.lit(0.0).alias("best"), F.lit(0.0).alias("second"), F.lit(0.0).alias("margin"), F.lit(None).cast("string").alias("matched_id")
     )
-    near = nearest_two(equal.where("matched_id IS NULL AND text <> ''").select("number", "text"), keys.select("ordinal", F.col("question_normalized").alias("text")))
+    near = nearest_two(equal.where("matched_id IS NULL AND text <> ''").where(~far).select("number", "text"), keys.select("ordinal", F.col("question_normalized").alias("text")))
     scored = near.join(keys.select("ordinal", "id"), "ordinal").select(
         "number", decision(F.col("best"), F.col("second"), threshold, margin).alias("decision"), "best", "second", (F.col("best") - F.col("second")).alias("margin"), F.col("id").alias("matched_id")
     )

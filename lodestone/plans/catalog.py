@@ -72,12 +72,12 @@ def exact_lookup(spark, d):
 
 
 def faq_match(spark, d):
-    return matching.match(_questions(spark, d), _faq(spark, d).drop("answer")).withColumns({c: F.round(c, 6) for c in ("best", "second", "margin")})
+    return matching.match(_questions(spark, d), _faq(spark, d).drop("answer"), keyless=True).withColumns({c: F.round(c, 6) for c in ("best", "second", "margin")})
 
 
 def route_decide(spark, d):
     """Matched turns sent on, and the final shape of their answers; without a retrieval engine the rest abstain."""
-    got = matching.match(_questions(spark, d), _faq(spark, d).drop("answer")).join(catalogue.last_wins(_faq(spark, d), "id", "ordinal").select(F.col("id").alias("matched_id"), "answer"), "matched_id", "left")
+    got = matching.match(_questions(spark, d), _faq(spark, d).drop("answer"), keyless=True).join(catalogue.last_wins(_faq(spark, d), "id", "ordinal").select(F.col("id").alias("matched_id"), "answer"), "matched_id", "left")
     first = routing.first_route(F.lit("text"), F.col("decision"))
     none = F.lit(None).cast("string")
     gate = routing.after_rag(none, none, none, F.lit(False), False, "in_domain_unresolved")

@@ -9,7 +9,7 @@ from lodestone.functions.similarity import ratio
 from lodestone.operators import catalogue, checking, graph, matching, retrieval, routing, sessions
 from lodestone.sources import faq
 
-KEYS = ["스쿨넷이 뭐예요?", "인터넷이 15분 넘게 안 돼요", "와이파이 목록에 학교 SSID가 안 보여요"]
+KEYS = ["도서관은 몇 시에 여나요?", "프린터 종이가 자꾸 걸려요", "강의실 창문이 닫히지 않아요"]
 
 
 def table(spark, keys):
@@ -28,18 +28,18 @@ def matched(spark, keys, texts, **limits):
 
 
 def test_exact_and_low(spark):
-    got = matched(spark, KEYS, [KEYS[0], "  스쿨넷이   뭐예요??  ", "오늘 점심 메뉴 추천해줘", "???"])
+    got = matched(spark, KEYS, [KEYS[0], "  도서관은   몇 시에  여나요??  ", "내일 비가 올지 궁금합니다", "???"])
     assert [got[i]["decision"] for i in range(4)] == ["exact", "exact", "reject_low_score", "reject_low_score"]
     assert (got[0]["best"], got[0]["second"], got[0]["margin"], got[0]["matched_id"]) == (1.0, 0.0, 1.0, "s:2")
-    assert (round(got[2]["best"], 4), round(got[2]["second"], 4)) == (0.2069, 0.1667)
+    assert (round(got[2]["best"], 4), round(got[2]["second"], 4)) == (0.2857, 0.2759)
     assert got[2]["matched_id"] is not None
     assert (got[3]["best"], got[3]["matched_id"]) == (0.0, None)
 
 
 def test_accept_and_ambiguous(spark):
-    got = matched(spark, KEYS, ["스쿨넷이 뭔가요"], threshold=0.70, margin=0.05)[0]
-    assert (got["decision"], got["matched_id"], got["best"]) == ("accept", "s:2", 0.75)
-    got = matched(spark, ["인터넷이 안 돼요", "인터넷이 안 되요"], ["인터넷이 안 됩니다"], threshold=0.5, margin=0.3)[0]
+    got = matched(spark, KEYS, ["도서관은 몇 시에 닫나요"], threshold=0.70, margin=0.05)[0]
+    assert (got["decision"], got["matched_id"], round(got["best"], 4)) == ("accept", "s:2", 0.9231)
+    got = matched(spark, ["문이 잠겨 있어요", "문이 잠겨 있나요"], ["문이 잠겨 있습니다"], threshold=0.5, margin=0.3)[0]
     assert (got["decision"], round(got["best"], 4)) == ("reject_ambiguous", 0.7368)
 
 
@@ -51,6 +51,13 @@ def test_one_key_repeated_keys_and_none(spark):
     assert matching.match(asked(spark, "x"), table(spark, KEYS).limit(0)).count() == 0
 
 
+def test_without_keys_questions_are_rejected(spark):
+    got = matching.match(asked(spark, "x", "", "y"), table(spark, KEYS).limit(0), keyless=True).collect()
+    assert {(r["number"], r["decision"], r["best"], r["second"], r["margin"], r["matched_id"]) for r in got} == {(i, "reject_low_score", 0.0, 0.0, 0.0, None) for i in range(3)}
+    with_keys = [matching.match(asked(spark, "abcd", "", "zz"), table(spark, ["abce", "q"]), keyless=k).collect() for k in (False, True)]
+    assert sorted(with_keys[0]) == sorted(with_keys[1]) and len(with_keys[0]) == 3
+
+
 def test_limits_pass_when_equal(spark):
     got = spark.createDataFrame([(0.9, 0.85), (0.95, 0.90), (0.9, 0.5), (0.89, 0.0)], "b double, s double").select(matching.decision(F.col("b"), F.col("s"))).collect()
     assert [r[0] for r in got] == ["accept" if 0.9 - 0.85 >= 0.05 else "reject_ambiguous", "reject_ambiguous", "accept", "reject_low_score"]
