@@ -22,6 +22,7 @@ import struct
 import uuid
 import zlib
 from bisect import bisect_right
+from decimal import Decimal
 from functools import lru_cache
 
 import numpy as np
@@ -41,6 +42,8 @@ BITS, LOOKUPS = 10, 7
 END = 0
 MAGIC = b"SSTTOK01"
 FOOTER = struct.Struct("<QQQQQQQ8s")
+#: Ranges of keys that a look-up is dealt over, at most.
+RANGES = 1000
 #: Pieces of text whose ids a worker remembers.
 REMEMBERED = 1 << 19
 
@@ -82,8 +85,8 @@ def _bloom_slots(key: bytes, bits: int):
 class ShardWriter:
     """Writes one shard to a stream; keys must not descend."""
 
-    def __init__(self, stream, width: int):
-        self.stream, self.width = stream, width
+    def __init__(self, stream, width: int, block_size: int = BLOCK):
+        self.stream, self.width, self.block_size = stream, width, block_size
         self.block, self.last, self.at = bytearray(), b"", 0
         self.index: list[tuple[bytes, int, int]] = []
         self.keys: list[bytes] = []
@@ -103,7 +106,7 @@ class ShardWriter:
         self.last = key
         self.keys.append(key)
         self.n_ids += len(value) // self.width
-        if len(self.block) >= BLOCK:
+        if len(self.block) >= self.block_size:
             self._flush()
 
     def _flush(self) -> None:
@@ -246,7 +249,7 @@ def encoder(path: str) -> Encoder:
 _MANIFEST = "part long, seq long, path string, first_key binary, n_docs long, n_ids long"
 
 
-def _write(tokenizer: str, folder: str):
+def _write(tokenizer: str, folder: str, block: int, shard: int):
     def run(batches):
         coder = encoder(tokenizer)
         end = np.array([END], dtype=coder.kind).tobytes()
@@ -260,9 +263,9 @@ def _write(tokenizer: str, folder: str):
                 if writer is None:
                     # A task that runs again writes other files; only those of the one that succeeds are listed.
                     name = f"{part:08d}-{len(rows):06d}-{uuid.uuid4().hex}.sst"
-                    writer = ShardWriter(fs.open_output_stream(f"{where}/{name}"), coder.width)
+                    writer = ShardWriter(fs.open_output_stream(f"{where}/{name}"), coder.width, block)
                 writer.add(key_of(doc_id), coder.encode(text or "") + end)
-                if writer.at >= SHARD:
+                if writer.at >= shard:
                     writer.close()
                     rows.append((part, len(rows), f"{folder}/{name}", writer.keys[0], len(writer.keys), writer.n_ids))
                     writer = None
@@ -276,9 +279,10 @@ def _write(tokenizer: str, folder: str):
     return run
 
 
-def write_shards(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK, shard: int = SHARD) -> DataFrame:
     """Write the ids of all rows, in ascending order of ``doc_id``, to shards in the shared folder.
 
+    ``block`` and ``shard`` are the bytes after which the next block or shard begins.
     The result, itself a table there, lists the shards in order: ``part``,
     ``seq``, ``path``, ``first_key``, ``n_docs``, ``n_ids`` and ``start`` (ids
     in all shards before).  Each row's ids end with the id 0; null and empty
@@ -290,7 +294,7 @@ def write_shards(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: st
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     n = partitions(spark, text_mb(rows))
     ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    manifest = staged(ordered.mapInArrow(_write(tokenizer, fresh_path(spark, "shards")), _MANIFEST), "manifest")
+    manifest = staged(ordered.mapInArrow(_write(tokenizer, fresh_path(spark, "shards"), block, shard), _MANIFEST), "manifest")
     # One row for each 16 MB of ids, so the running sum is over few rows.
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))
@@ -323,6 +327,49 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     return manifest.select("path", "start").repartition(n).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids binary")
 
 
+def _get(batches):
+    """(doc_id, path, start) in, those of a shard together; the ids of the documents that are there out."""
+    path, shard = None, None
+    for batch in batches:
+        out, size = [], 0
+        for doc_id, where, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if where != path:
+                path, shard = where, ShardReader(where)
+            ids = shard.get(doc_id)
+            if ids is not None:
+                out.append((doc_id, start, len(ids), ids.tobytes()))
+                size += len(out[-1][3])
+            if size > 4 << 20:
+                yield _documents(out)
+                out, size = [], 0
+        yield _documents(out)
+
+
+def look_up(manifest: DataFrame, wanted: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The documents of ``wanted`` that the shards have: ``doc_id``, ``n_tokens`` and ``ids``, each once.
+
+    An id is joined with the shards whose keys go around it, within ranges of
+    keys of about as many shards each; a shard is opened once, by one task,
+    which reads only the blocks that filter and index call for.  Ids that no
+    shard has give no row; null is an id like others.  Of documents that share
+    an id, the first that was written is found.
+    """
+    number = lambda c: F.coalesce(c.cast("decimal(20,0)"), F.lit(Decimal(-(1 << 63) - 1)).cast("decimal(20,0)"))
+    first = (F.conv(F.hex(F.substring("first_key", 2, 8)), 16, 10).cast("decimal(20,0)") - F.lit(Decimal(1 << 63)).cast("decimal(20,0)")).cast("decimal(20,0)")
+    known = F.when(F.hex(F.substring("first_key", 1, 1)) == "01", first)
+    shards = manifest.select("path", "start", number(known).alias("low"), number(F.lead(known).over(Window.orderBy("part", "seq"))).alias("high"), F.lead("path").over(Window.orderBy("part", "seq")).isNull().alias("last"))
+    shards = shards.withColumn("high", F.when(F.col("last"), F.lit(Decimal(1 << 63)).cast("decimal(20,0)")).otherwise(F.col("high")))
+    cuts = shards.agg(F.percentile_approx("low", [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("c")).first()["c"] or []
+    cuts = sorted(set(cuts))  # fewer than RANGES numbers
+    within = F.array(*[F.lit(c).cast("decimal(20,0)") for c in cuts]) if cuts else F.array().cast("array<decimal(20,0)>")
+    place = lambda c: F.size(F.filter(within, lambda x: x < c))
+    dealt = shards.select("path", "start", "low", "high", F.explode(F.sequence(place(F.col("low")), place(F.col("high")))).alias("place"))
+    asked = wanted.select(F.col(doc_id).cast("long").alias("doc_id")).distinct().withColumn("key", number(F.col("doc_id")))
+    met = asked.withColumn("place", place(F.col("key"))).join(dealt, "place").where("key BETWEEN low AND high").select("doc_id", "path", "start")
+    found = met.repartition("path").sortWithinPartitions("path", "doc_id").mapInArrow(_get, "doc_id long, start long, n_tokens long, ids binary")
+    return found.groupBy("doc_id").agg(F.min_by(F.struct("n_tokens", "ids"), "start").alias("x")).select("doc_id", "x.*")
+
+
 def default_path() -> str:
     import public_tokenizers
 

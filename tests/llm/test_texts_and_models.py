@@ -63,13 +63,12 @@ def test_decoder_holds_back_unfinished_characters():
     assert "".join(t.text_of(ids)).split() == ["crème", "漢", "brûlée"]
 
 
-def test_shards(spark, monkeypatch):
-    monkeypatch.setattr(token_shards, "BLOCK", 200)
-    monkeypatch.setattr(token_shards, "SHARD", 3000)
+def test_shards(spark):
     library = tokenizers.Tokenizer.from_file(token_shards.default_path())
     values = texts(2)
     frame = docs_of(spark, values).withColumn("doc_id", F.col("doc_id") * 5 - 100)
-    manifest = token_shards.write_shards(frame, token_shards.default_path())
+    manifest = token_shards.write_shards(frame, token_shards.default_path(), block=200, shard=3000)
+    assert manifest.count() > 4  # more shards than partitions
     got = token_shards.read_shards(manifest).orderBy("doc_id").collect()
     start = 0
     for i, (t, r) in enumerate(zip(values, got, strict=True)):
@@ -91,6 +90,25 @@ def test_shards_with_null_and_repeated_ids(spark):
     assert got == [(None, 0, 2), (-1, 2, 1), (3, 3, 2), (3, 5, 3)]
 
 
+def test_shards_look_up(spark, monkeypatch):
+    rows = [(3 * i - 90, f"text {i} " * (i % 5)) for i in range(200)] + [(None, "none"), (30, "again"), (-(1 << 63), "least"), ((1 << 63) - 1, "most")] + [(60, f"many {i:03d}") for i in range(80)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    manifest = token_shards.write_shards(frame, token_shards.default_path(), block=40, shard=100)
+    assert manifest.count() > 20
+    first = {}
+    for r in token_shards.read_shards(manifest).orderBy("start").collect():
+        first.setdefault(r["doc_id"], (r["n_tokens"], bytes(r["ids"])))
+    ids = [None, 0, 0, 1, 30, 60, 61, -90, -91, 507, 508, 10**12, -(10**12), -(1 << 63), (1 << 63) - 1, *range(90, 300)]
+    asked = spark.createDataFrame([(i, "x") for i in ids], "doc_id long, path string")
+    for ranges in (1000, 3):
+        monkeypatch.setattr(token_shards, "RANGES", ranges)
+        got = token_shards.look_up(manifest, asked).collect()
+        assert len(got) == len({r["doc_id"] for r in got})
+        assert {r["doc_id"]: (r["n_tokens"], bytes(r["ids"])) for r in got} == {i: first[i] for i in ids if i in first}
+    assert token_shards.look_up(manifest.limit(0), asked).count() == 0
+    assert token_shards.look_up(manifest, asked.limit(0)).count() == 0
+
+
 PAGES = {
     "<html><head><title>T</title><style>p{}</style><script>var a='</p>'</script></head><body><nav><a href=/>Home</a></nav><div class=ad>Buy, buy, buy now, it is cheap.</div>"
     "<article><h1>A title</h1><p><b>Bold start<br>next<p>Second &amp; third,\n with&nbsp;space.</p></article><footer>c</footer>": "A title Bold start next Second & third, with space.",
