@@ -25,6 +25,33 @@ def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
     return docs.select("doc_id", F.posexplode(cut).alias("ord", "text"))
 
 
+def block_chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
+    """``doc_id``, ``start``, ``is_table`` and ``text`` of chunks of whole lines.
+
+    Lines that begin in the same stretch of ``size`` characters make one chunk,
+    so a chunk has less than twice ``size``; longer lines are cut first.  Rows
+    of a table (lines that begin with ``|``) are apart from other lines, and so
+    are two tables with text between them.  Chunks without visible text are
+    left out, and so are null texts.  ``doc_id`` must tell documents apart.
+    """
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    many = F.greatest(F.lit(1), F.ceil(F.char_length("line") / F.lit(float(size)))).cast("int")
+    cuts = lines.select("doc_id", "pos", "line", F.col("line").startswith("|").alias("is_table"), F.explode(F.sequence(F.lit(0), many - 1)).alias("i"))
+    broken = F.when((F.col("i") == 0) & (F.col("pos") > 0), "\n").otherwise("")
+    pieces = cuts.select("doc_id", "pos", "i", "is_table", broken.alias("br"), F.substring(F.col("line"), F.col("i") * size + 1, F.lit(size)).alias("piece"))
+    order = Window.partitionBy("doc_id").orderBy("pos", "i")
+    changes = (F.col("is_table") != F.lag("is_table").over(order)).cast("int")
+    placed = pieces.select(
+        "*",
+        (F.sum(F.char_length("br") + F.char_length("piece")).over(order) - F.char_length("piece")).alias("at"),
+        F.coalesce(changes, F.lit(0)).alias("change"),
+    ).withColumn("run", F.sum("change").over(order))
+    parts = F.sort_array(F.collect_list(F.struct("pos", "i", "br", "piece")))
+    joined = F.array_join(F.transform(parts, lambda x: F.concat(x["br"], x["piece"])), "")
+    grouped = placed.groupBy("doc_id", "run", F.floor(F.col("at") / size).alias("stretch"), "is_table").agg(F.min("at").alias("start"), joined.alias("text"))
+    return grouped.select("doc_id", "start", "is_table", F.regexp_replace("text", r"\A\n", "").alias("text")).where(F.col("text").rlike(r"\S"))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``query_id``, ``doc_id``, ``score`` and ``rank`` of the ``k`` best documents of each query (query_id, text).
 

@@ -293,9 +293,15 @@ def envelope_round_trip(spark, d):
     return faq.read_entries(spark, path).select("id", F.col("ordinal").cast("long").alias("ordinal"), F.md5("answer").alias("answer_md5"))
 
 
+def block_chunks(spark, d):
+    """Documents cut into chunks of whole lines."""
+    found = retrieval.block_chunks(_t(spark, d, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "start", "is_table", F.char_length("text").cast("long").alias("chars"), F.md5("text").alias("text_md5"))
+
+
 _FUNCTIONS = (
     turn_state, breadcrumb_paths, turn_status, scenario_answers, turn_responses, route_reasons, faq_ingest, ingest_summary, graph_violations, answer_html, shown_fields,
-    answer_rates, token_costs, sentence_citations, rerank_topk, retry_once, incremental_add, page_store, text_dump, results_report, envelope_round_trip,
+    answer_rates, token_costs, sentence_citations, rerank_topk, retry_once, incremental_add, page_store, text_dump, results_report, envelope_round_trip, block_chunks,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -305,6 +311,13 @@ _NUMBERS = r"list_transform(regexp_extract_all({0}, '\d+(?:[.,]\d+)*'), lambda x
 _RUN = "PARTITION BY user_id, epoch ORDER BY ts, event_id"
 
 ORACLE_SQL = {
+    "block_chunks": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+c AS (SELECT doc_id, pos, line, starts_with(line, '|') AS is_table, unnest(generate_series(0, CAST(greatest(1, ceil(length(line) / 700.0)) AS BIGINT) - 1)) AS i FROM l),
+p AS (SELECT doc_id, pos, i, is_table, CASE WHEN i = 0 AND pos > 1 THEN chr(10) ELSE '' END AS br, substr(line, i * 700 + 1, 700) AS piece FROM c),
+a AS (SELECT *, CAST(sum(length(br) + length(piece)) OVER w - length(piece) AS BIGINT) AS begins, CASE WHEN is_table <> lag(is_table) OVER w THEN 1 ELSE 0 END AS change FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY pos, i)),
+r AS (SELECT *, sum(change) OVER (PARTITION BY doc_id ORDER BY pos, i) AS run FROM a),
+g AS (SELECT doc_id, is_table, min(begins) AS start, regexp_replace(string_agg(br || piece, '' ORDER BY pos, i), '^\n', '') AS text FROM r GROUP BY doc_id, run, begins // 700, is_table)
+SELECT doc_id, start, is_table, length(text) AS chars, md5(text) AS text_md5 FROM g WHERE regexp_matches(text, '\S')""",
     "turn_state": f"""WITH {PRESS_SQL}
 SELECT event_id, CASE WHEN NOT is_text AND nxt IS NULL THEN 'invalid_action' ELSE 'ok' END AS error, last_value(CASE WHEN moved THEN nxt END IGNORE NULLS) OVER ({_RUN}) AS position,
 coalesce(last_value(CASE WHEN moved THEN nxt LIKE 'c%' END IGNORE NULLS) OVER ({_RUN}), false) AS completed, CAST(epoch AS BIGINT) AS epoch FROM i""",

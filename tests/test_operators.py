@@ -260,3 +260,21 @@ def test_nearest_two_collects_no_keys(spark, monkeypatch):
     for r in frame.toPandas().itertuples():
         best = sorted((-ratio(f"key {r.number} of man", f"key {i} of many"), i) for i in range(40))[:2]
         assert (r.best, r.second, r.ordinal) == (-best[0][0], -best[1][0], best[0][1])
+
+
+def test_block_chunks_keep_lines_and_tables(spark):
+    rows = [(1, "aaaa\nbbb\n| x\n| y\ncc\n| z\n"), (2, "a" * 25), (3, ""), (4, None), (5, "ab\n\ncd\n" + "e" * 7), (6, " \n ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["start"], r["is_table"], r["text"]) for r in retrieval.block_chunks(docs, 10).collect())
+    assert got == [
+        (1, 0, False, "aaaa\nbbb"),
+        (1, 9, True, "| x"),
+        (1, 13, True, "| y"),
+        (1, 17, False, "cc"),
+        (1, 20, True, "| z"),
+        (2, 0, False, "a" * 10),
+        (2, 10, False, "a" * 10),
+        (2, 20, False, "a" * 5),
+        (5, 0, False, "ab\n\ncd\n" + "e" * 7),
+    ]
+    assert retrieval.block_chunks(docs.limit(0)).count() == 0
