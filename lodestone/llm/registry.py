@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, html_text, jaccard_join, language_id, substring_dedup, token_shards, toxicity, warc_fixity
+from . import bpe, decontaminate, exact_dedup, html_text, jaccard_join, language_id, source_mix, substring_dedup, token_shards, toxicity, warc_fixity
 
-MODULES = (jaccard_join, substring_dedup, html_text, bpe, decontaminate, warc_fixity, toxicity, token_shards, language_id, exact_dedup)
+MODULES = (jaccard_join, substring_dedup, html_text, bpe, decontaminate, warc_fixity, toxicity, token_shards, language_id, exact_dedup, source_mix)
 
 
 def queries() -> dict:
