@@ -74,12 +74,13 @@ def _copies(rows: DataFrame, table: DataFrame, most: float, few: bool) -> DataFr
     plain = table.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     if "boost" not in rows.columns:
         return plain
+    plain = plain.withColumn("rate", F.lit(0.0))  # rises until no further document is lifted to its most
     while True:
         at_most = F.col("rate") * F.col("boost") >= most
         sums = _with(rows, plain.select("source", "rate"), few).groupBy("source").agg(
             F.sum(F.when(at_most, F.col("size")).otherwise(0)).alias("fixed"), F.sum(F.when(at_most, 0.0).otherwise(F.col("size") * F.col("boost"))).alias("rest")
         )
-        better = F.when(F.col("rest") > 0, (F.col("target") - F.col("fixed") * most) / F.col("rest")).otherwise(F.col("rate"))
+        better = F.when(F.col("rest") > 0, (F.col("target") - F.col("fixed") * most) / F.col("rest")).otherwise(F.col("before"))
         last = plain.withColumnRenamed("rate", "before")
         table = staged(_with(last, sums, few).select(*last.columns, F.greatest(better, F.col("before")).alias("rate")), "rates")
         done = table.where(F.col("rate") > F.col("before") * (1 + 1e-12)).isEmpty()
