@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .rolling import mixed, slices, string_bytes, window_hashes, word_hashes
+from .rolling import fresh_key, mixed, slices, string_bytes, window_hashes, word_hashes
 from .shared import filter_slot, id_filter, in_filter, lean, small_batches, staged
 
 #: Words of a shingle, and the least similarity in percent.
@@ -39,9 +39,9 @@ COMMON, EXCESS = 1000, 8
 SHORTER = 16
 
 
-def shingle_sets(raw: np.ndarray, at: np.ndarray, width: int):
+def shingle_sets(raw: np.ndarray, at: np.ndarray, width: int, key: bytes):
     """The sorted distinct shingle hashes of each row."""
-    words, rows = word_hashes(raw, at, lower=True)
+    words, rows = word_hashes(raw, at, lower=True, key=key)
     full = window_hashes(words, width)
     for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
         if b - a >= width:
@@ -88,7 +88,7 @@ def _prefix(u: np.ndarray, percent: int, common: np.ndarray | None) -> np.ndarra
     return u[: prefix_length(len(u), percent)]
 
 
-def _count_prefixes(width: int, percent: int, counters: int):
+def _count_prefixes(width: int, percent: int, counters: int, key: bytes):
     """A sketch of how many documents have each shingle in their prefix: one counter for many shingles."""
 
     def run(batches):
@@ -96,7 +96,7 @@ def _count_prefixes(width: int, percent: int, counters: int):
         for batch in batches:
             raw, at = string_bytes(batch.column(0))
             for low, high in slices(np.diff(at), CHUNK):
-                sets = shingle_sets(raw[at[low] : at[high]], at[low : high + 1] - at[low], width)
+                sets = shingle_sets(raw[at[low] : at[high]], at[low : high + 1] - at[low], width, key)
                 met = np.concatenate([_counter(_prefix(u, percent, None), counters) for u in sets if len(u)] or [np.zeros(0, np.int64)])
                 found, n = np.unique(met, return_counts=True)
                 total[found] += n.astype(np.int32)
@@ -110,14 +110,14 @@ def _count_prefixes(width: int, percent: int, counters: int):
 _SETS = "doc_id long, n long, s1 long, s2 long, bits binary, prefix array<long>"
 
 
-def _signatures(width: int, percent: int, common: np.ndarray | None):
+def _signatures(width: int, percent: int, common: np.ndarray | None, key: bytes):
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_pylist()
             raw, at = string_bytes(batch.column(1))
             for low, high in slices(np.diff(at), CHUNK):
                 out = []
-                for u in shingle_sets(raw[at[low] : at[high]], at[low : high + 1] - at[low], width):
+                for u in shingle_sets(raw[at[low] : at[high]], at[low : high + 1] - at[low], width, key):
                     if not len(u):
                         out.append((0, 0, 0, b"", np.zeros(0, np.int64)))
                         continue
@@ -143,7 +143,7 @@ def _representatives(held: np.ndarray):
     return run
 
 
-def _full_sets(width: int, held: np.ndarray):
+def _full_sets(width: int, held: np.ndarray, key: bytes):
     """The sorted arrays of the documents that the filter holds."""
 
     def run(batches):
@@ -152,7 +152,7 @@ def _full_sets(width: int, held: np.ndarray):
             batch = batch.filter(pa.array(in_filter(held, batch.column(2).to_numpy())))
             raw, at = string_bytes(batch.column(1))
             for low, high in slices(np.diff(at), CHUNK):
-                sets = [u.tobytes() for u in shingle_sets(raw[at[low] : at[high]], at[low : high + 1] - at[low], width)]
+                sets = [u.tobytes() for u in shingle_sets(raw[at[low] : at[high]], at[low : high + 1] - at[low], width, key)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], pa.array(sets, pa.binary())], ["doc_id", "items"])
 
     return run
@@ -259,14 +259,14 @@ def _distinct_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, percent: int, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, percent: int, key: bytes, name: str) -> DataFrame:
     """The ``pairs`` (a, b) that reach the threshold: by size, then bit counts, then sorted arrays."""
     side = lambda x: sets.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     near = staged(sized.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(lean(_bounded(percent)), "a long, b long"), f"{name}-near")
     ends = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
     held = id_filter(ends, "doc_id")
-    items = docs.select("doc_id", "text", filter_slot("doc_id").alias("slot")).mapInArrow(lean(_full_sets(width, held)), "doc_id long, items binary")
+    items = docs.select("doc_id", "text", filter_slot("doc_id").alias("slot")).mapInArrow(lean(_full_sets(width, held, key)), "doc_id long, items binary")
     items = staged(items.join(ends, "doc_id", "left_semi"), f"{name}-items")
     with_a = near.join(items.select(F.col("doc_id").alias("a"), F.col("items").alias("items_a")), "a")
     with_both = with_a.join(items.select(F.col("doc_id").alias("b"), F.col("items").alias("items_b")), "b")
@@ -284,10 +284,10 @@ def _by_hub(placed: DataFrame, hubs: DataFrame) -> DataFrame:
     return apart.unionByName(once.join(joins, "hub").select(F.xxhash64(F.lit("hub"), "hub").alias("tile"), "rep", "n", "component", F.col("members").alias("docs")))
 
 
-def _common_counters(docs: DataFrame, width: int, percent: int) -> np.ndarray | None:
+def _common_counters(docs: DataFrame, width: int, percent: int, key: bytes) -> np.ndarray | None:
     """Which counters of the sketch are common, a bit for each, or None if none is: at most 2 MB."""
     counters = min(MOST_COUNTERS, max(COUNTERS, 1 << (docs.count() // DOCS_EACH).bit_length()))
-    counts = docs.select("text").mapInArrow(lean(_count_prefixes(width, percent, counters)), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(lean(_count_prefixes(width, percent, counters, key)), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
     counts = staged(counts, "counters")
     total = counts.agg(F.sum("n")).first()[0] or 0
     most = max(COMMON, EXCESS * total // counters)
@@ -297,10 +297,10 @@ def _common_counters(docs: DataFrame, width: int, percent: int) -> np.ndarray |
     return np.packbits(out) if len(found) else None
 
 
-def _prepared(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+def _prepared(docs: DataFrame, width: int, percent: int, key: bytes) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """Of ``docs`` (doc_id, text): the signature of every row, classes of equal sets, and their representatives' bitmaps, tiles and hubs."""
-    common = _common_counters(docs, width, percent)
-    found = staged(docs.mapInArrow(lean(_signatures(width, percent, common)), _SETS), "sets")
+    common = _common_counters(docs, width, percent, key)
+    found = staged(docs.mapInArrow(lean(_signatures(width, percent, common, key)), _SETS), "sets")
     # Equal sets are one class; its smallest id stands for it.
     own = found.where("n > 0 AND doc_id IS NOT NULL")
     classes = staged(own.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members")), "classes")
@@ -355,9 +355,10 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found, classes, sets, tiles, hubs = _prepared(docs, width, percent)
+    key = fresh_key()
+    found, classes, sets, tiles, hubs = _prepared(docs, width, percent, key)
     stars = staged(_distinct_pairs(tiles.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))), "stars")
-    links = _verified(stars, docs, sets, width, percent, "stars")
+    links = _verified(stars, docs, sets, width, percent, key, "stars")
     labels = staged(connected_components(links), "labels")
     # Tiles that still hold more than one component are compared in full.
     member = F.coalesce("component", "rep").alias("component")
@@ -365,7 +366,7 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     mixed_tiles = staged(placed.groupBy("tile").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("docs")).where("low < high").select("tile", "docs"), "mixed")
     joined = staged(_by_hub(placed.join(mixed_tiles, "tile"), hubs), "joined")
     rest = staged(_distinct_pairs(_compared(joined, sets, percent)).join(stars, ["a", "b"], "left_anti"), "rest")
-    more = _verified(rest, docs, sets, width, percent, "rest")
+    more = _verified(rest, docs, sets, width, percent, key, "rest")
     of_class = connected_components(links.unionByName(more))
     classes = classes.join(of_class.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
     out = found.select("doc_id", "n", "s1", "s2").join(staged(classes, "named"), ["n", "s1", "s2"], "left")
@@ -389,10 +390,11 @@ def similar_pairs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found, classes, sets, tiles, hubs = _prepared(docs, width, percent)
+    key = fresh_key()
+    found, classes, sets, tiles, hubs = _prepared(docs, width, percent, key)
     placed = tiles.select("tile", "rep", "n", F.col("rep").alias("component"), "docs")
     pairs = staged(_distinct_pairs(_compared(_by_hub(placed, hubs), sets, percent)), "pairs")
-    pairs = _verified(pairs, docs, sets, width, percent, "pairs")
+    pairs = _verified(pairs, docs, sets, width, percent, key, "pairs")
     rows = classes.groupBy("rep").agg(F.sum("members").alias("rows"))
     ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = ends.join(rows.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("rows").alias("near"))

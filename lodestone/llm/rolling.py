@@ -2,7 +2,9 @@
 
 Words are cut at ASCII white space (0x20, 0x09-0x0D).  A word's hash adds one
 random number for each of its bytes and their places; words longer than the
-table of these numbers have a BLAKE2 digest.  A window's hash is a Rabin-Karp
+table of these numbers have a keyed BLAKE2 digest.  The table and the digests
+come from a key that the driver draws for each run (:func:`fresh_key`), so any
+two words share a hash with a chance of 2**-64 and none can be built to.  A window's hash is a Rabin-Karp
 polynomial over its words' hashes; both come from prefix sums, so every window
 costs the same whatever its length.  A polynomial modulo 2**64 over bytes would
 not do: words of 1,024 bytes can be built that share its value for every base.
@@ -12,6 +14,7 @@ Windows are far shorter than that.  Work is done a few megabytes at a time.
 from __future__ import annotations
 
 import hashlib
+import secrets
 from functools import lru_cache
 
 import numpy as np
@@ -41,10 +44,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
-def _table() -> np.ndarray:
+def fresh_key() -> bytes:
+    """A key of word hashes; hashes of one key only may be compared, so a run has one for all its tasks."""
+    return secrets.token_bytes(16)
+
+
+@lru_cache(maxsize=4)
+def _table(key: bytes) -> np.ndarray:
     """A random number for each place in a word and byte there, a row for each place."""
-    return mixed(np.arange(1, COVERED * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return np.frombuffer(hashlib.shake_256(key).digest(8 * COVERED * 256), dtype="<u8").astype(np.uint64)
 
 
 @lru_cache(maxsize=8)
@@ -75,7 +83,7 @@ def string_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def _segment_words(raw: np.ndarray, opens: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _segment_words(raw: np.ndarray, opens: np.ndarray, values: np.ndarray, key: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and start positions of the words of ``raw``; ``opens`` marks where a row begins."""
     n = len(raw)
     ink = ~WHITE[raw]
@@ -95,16 +103,16 @@ def _segment_words(raw: np.ndarray, opens: np.ndarray, values: np.ndarray) -> tu
         np.minimum(place, COVERED - 1, out=place)
     letters = values[raw[at]]
     total = np.zeros(len(at) + 1, dtype=np.uint64)
-    np.cumsum(_table()[place * np.int32(256) + letters], out=total[1:])
+    np.cumsum(_table(key)[place * np.int32(256) + letters], out=total[1:])
     last = np.cumsum(sizes)
     out = mixed(total[last] - total[last - sizes] + sizes.astype(np.uint64))
     for k in np.flatnonzero(sizes > COVERED).tolist():
         word = letters[last[k] - sizes[k] : last[k]].tobytes()
-        out[k] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        out[k] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=key).digest(), "little")
     return out, starts
 
 
-def word_hashes(raw: np.ndarray, at: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(raw: np.ndarray, at: np.ndarray, lower: bool, key: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, offsets of the rows in that list)."""
     values = LOWER if lower else SAME
     opens = np.zeros(len(raw) + 1, dtype=bool)
@@ -117,7 +125,7 @@ def word_hashes(raw: np.ndarray, at: np.ndarray, lower: bool) -> tuple[np.ndarra
             high = high + int(free[0]) if len(free) else min(len(raw), high + SEGMENT)
             if len(free):
                 break
-        h, s = _segment_words(raw[low:high], opens[low:high], values)
+        h, s = _segment_words(raw[low:high], opens[low:high], values, key)
         hashes.append(h)
         starts.append(s + low)
         low = high

@@ -5,8 +5,9 @@ the hash space; each range finds, for every hash, the smallest document that
 has it.  A window that some smaller document has too is repeated, and the
 repeated windows of a document merge into maximal intervals of words.
 
-A second hash of 32 bits goes with the first one of 64, so windows are told
-apart by 96 bits.
+A second hash of 32 bits goes with the first one of 64, so windows of different
+words are told apart by 96 bits; the words themselves have 64, of a key that is
+new in each run.
 
 What many documents share does not pile up: a task settles the copies that it
 sees within one piece of its input, and of a window that is frequent there
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rolling import CHECK_BASE, mixed, slices, string_bytes, window_hashes, word_hashes
+from .rolling import CHECK_BASE, fresh_key, mixed, slices, string_bytes, window_hashes, word_hashes
 from .shared import FILTER_BITS, in_filter, partitions, small_batches, staged, text_mb
 
 #: Words of a window.
@@ -96,7 +97,7 @@ def _by_document(docs: np.ndarray, hashes: np.ndarray, groups: int):
     return _rows(group[order], docs[order], hashes[order])
 
 
-def _hash_windows(width: int, ranges: int, groups: int):
+def _hash_windows(width: int, ranges: int, groups: int, key: bytes):
     """Documents in; hashes by range, and what the task has settled (negative keys: document groups)."""
 
     def run(batches):
@@ -107,7 +108,7 @@ def _hash_windows(width: int, ranges: int, groups: int):
             for low, high in slices(np.diff(at), CHUNK):
                 part = batch.slice(low, high - low).sort_by("doc_id")
                 ids = part.column(0).to_numpy().astype(np.int64)
-                words, rows = word_hashes(*string_bytes(part.column(1)), lower=False)
+                words, rows = word_hashes(*string_bytes(part.column(1)), lower=False, key=key)
                 hashes, checks, row, _ = windows(words, rows, width)
                 if not len(hashes):
                     continue
@@ -263,7 +264,7 @@ def _maybe_flagged(held: np.ndarray, groups: int):
     return run
 
 
-def _cut(width: int):
+def _cut(width: int, key: bytes):
     """The documents of a group and their repeated hashes in; documents without the repeated words out."""
 
     def run(docs: pa.Table, flags: pa.Table) -> pa.Table:
@@ -277,7 +278,7 @@ def _cut(width: int):
         for low, high in slices(np.diff(at), CHUNK):
             part = docs.slice(low, high - low)
             ids = part.column("doc_id").to_numpy().astype(np.int64)
-            words, rows = word_hashes(*string_bytes(part.column("text")), lower=False)
+            words, rows = word_hashes(*string_bytes(part.column("text")), lower=False, key=key)
             hashes, _, row, where = windows(words, rows, width)
             hit = where[np.isin(hashes ^ mixed(ids[row].astype(np.uint64)), wanted)]
             step = np.zeros(len(words) + 1, dtype=np.int64)
@@ -311,20 +312,23 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     Null and empty texts have no words.  Texts shorter than a window are kept.
     Rows with a null id are neither compared nor cut.  Rows that repeat an id
     don't cut each other and both come back.  An empty table gives an empty
-    result; other columns are not read.  Windows are told apart by hashes of 96
-    bits.
+    result; other columns are not read.  Texts of any length are hashed whole,
+    a few megabytes of words at a time; a task holds its longest text.  Windows
+    are told apart by 96 bits, words by 64 of a key drawn for each run: no two
+    words can be built to share them.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     small_batches(docs.sparkSession)
     mb = text_mb(docs)
     ranges = groups = int(mb / RANGE_MB) + 1
+    key = fresh_key()
     tasks = partitions(docs.sparkSession, mb)
-    sent = docs.mapInArrow(_hash_windows(width, ranges, groups), "bucket long, base long, docs binary, hashes binary, checks binary")
+    sent = docs.mapInArrow(_hash_windows(width, ranges, groups, key), "bucket long, base long, docs binary, hashes binary, checks binary")
     flags = staged(sent.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_repeated(groups), "doc_group long, base long, docs binary, hashes binary"), "repeats")
     held = _flagged_filter(flags)
     some = docs.mapInArrow(_maybe_flagged(held, groups), "doc_group long, doc_id long, text string")
     some, flags = some.repartition(tasks, "doc_group"), flags.repartition(tasks, "doc_group")
-    cut = some.groupBy("doc_group").cogroup(flags.groupBy("doc_group")).applyInArrow(_cut(width), _OUT)
+    cut = some.groupBy("doc_group").cogroup(flags.groupBy("doc_group")).applyInArrow(_cut(width, key), _OUT)
     return docs.mapInArrow(_keep_all(held), _OUT).unionByName(cut)
 
 

@@ -4,10 +4,11 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import components, decontaminate, exact_dedup, jaccard_join, substring_dedup
+from lodestone.llm import components, decontaminate, exact_dedup, jaccard_join, rolling, substring_dedup
 
 SCHEMA = "doc_id long, text string, lang string, n long"
 
@@ -135,6 +136,20 @@ def test_words_that_polynomials_confuse(spark):
         assert found == {d: (sizes[d], comp[d]) for d in sizes}
 
 
+def test_words_built_for_one_table(spark):
+    """Two words that shared all 64 bits while the table of random numbers was the same in every run."""
+    x, y = "rnmjzgzhuvlgwkypzxukdvktiljfkirenawwvkzpqgwksyiftimmussgkedtfetv", "ledhjtwlipppwmbtggugdmehfymbilucnruwjopxkzrvwenrcxbbzghwixvmgrfx"
+    rows = [(i, " ".join([w, *(f"w{k}" for k in range(12))]), "en", i) for i, w in ((1, x), (2, y))]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup.remove_repeats(frame(spark, rows)).collect()}
+    assert got == repeats(rows, 13) and got[2][1] == 0
+    pairs, members = jaccard_join.similar_pairs(frame(spark, rows))
+    assert len({r["rep"] for r in members.collect()}) == 2  # two classes, whether they link or not
+    for key in (b"a" * 16, b"b" * 16):
+        raw = np.frombuffer(f"{x} {y}".encode(), np.uint8)
+        h, _ = rolling.word_hashes(raw, np.array([0, len(raw)]), lower=False, key=key)
+        assert h[0] != h[1]
+
+
 @pytest.mark.parametrize(("size", "percent", "width"), [(512, 80, 5), (512, 85, 4), (1024, 80, 5)])
 def test_pairs_of_a_group_come_up_about_once(spark, monkeypatch, size, percent, width):
     """Near copies of one text, below and above the threshold to each other: few pairs leave the tiles, and no link is lost."""
