@@ -29,6 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import normalizers
 
 from .shared import lean, small_batches
 
@@ -47,6 +48,27 @@ def byte_symbols() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+def library_nfc(_, text: str) -> str:
+    """NFC by the tables of the library, which are older than Python's."""
+    return normalizers.NFC().normalize_str(text)
+
+
+@lru_cache(maxsize=1)
+def odd_marks() -> re.Pattern:
+    """The characters that the library and Python compose or order differently: found by asking both about every one that could be."""
+    own, odd = unicodedata.normalize, []
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]):
+        if unicodedata.combining(c):
+            tries = (f"a\u0315{c}", f"a{c}\u0327", f"a{c}\u0301", f"a\u0334{c}")
+        elif unicodedata.decomposition(c) and not unicodedata.decomposition(c).startswith("<"):
+            tries = (c, own("NFD", c))
+        else:
+            continue
+        if any(own("NFC", x) != library_nfc("NFC", x) for x in tries):
+            odd += {c, *own("NFD", c)}
+    return re.compile("[" + "".join(map(re.escape, odd)) + "]" if odd else r"(?!)")
+
+
 #: Lower case of letters that the library knows and Python may not: fixed values.
 NEW_CASES = {"\u1c89": "\u1c8a", "\ua7cb": "\u0264", "\ua7cc": "\ua7cd", "\ua7ce": "\ua7cf", "\ua7d2": "\ua7d3", "\ua7d4": "\ua7d5", "\ua7da": "\ua7db", "\ua7dc": "\u019b"}
 NEW_CASES |= {chr(c): chr(c + 32) for c in range(0x10D50, 0x10D66)} | {chr(c): chr(c + 27) for c in range(0x16EA0, 0x16EB9)}
@@ -229,7 +251,7 @@ class Transducer:
     def folded(text: str) -> str:
         """NFC, then each character lower-cased by itself: a final sigma is no exception."""
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
+            text = (unicodedata.normalize if odd_marks().search(text) is None else library_nfc)("NFC", text)
             if text.isascii() or _ODD.search(text) is None:
                 return text.lower()
             return "".join(NEW_CASES.get(c) or c.lower() for c in text)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -38,6 +39,18 @@ def test_bpe_is_the_library(spark):
     assert bpe.encode_decode(docs_of(spark, []), bpe.default_path()).count() == 0
 
 
+def test_bpe_composes_and_orders_marks_as_the_library():
+    library = tokenizers.Tokenizer.from_file(bpe.default_path())
+    t = bpe.transducer(bpe.default_path())
+    marks = [c for c in map(chr, [*range(0x300, 0xD800), *range(0xE000, 0x110000)]) if unicodedata.combining(c)]
+    whole = [c for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]) if unicodedata.decomposition(c)[:1] not in ("", "<")]
+    tries = ["a\u0315\u08d3", "\U00011935\U00011930", *(f"a\u0315{m}\u0327 {m}b" for m in marks), *(f"{c} {unicodedata.normalize('NFD', c)}\u0301" for c in whole[::3])]
+    rng = random.Random(3)
+    tries += ["".join(rng.choice([rng.choice(marks), rng.choice(whole), rng.choice("ae1 ."), unicodedata.normalize("NFD", rng.choice(whole))]) for _ in range(9)) for _ in range(2000)]
+    for text in tries:
+        assert np.frombuffer(b"".join(t.encode(text)), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_bpe_streams_with_small_windows(monkeypatch):
     library = tokenizers.Tokenizer.from_file(bpe.default_path())
     t = bpe.Transducer(bpe.default_path())
