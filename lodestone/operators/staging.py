@@ -6,17 +6,30 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder (``spark.checkpoint.dir``) that nothing has used before."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return shared.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used before."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def path_for(spark: SparkSession, name: str, table: str) -> str:
+    """A path in the shared folder for what is made from the files of ``table`` as they are now: others once one of them changes."""
+    files = spark.read.format("binaryFile").load(table).select("path", "modificationTime", "length")
+    one = files.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("path", "modificationTime", "length"))).first()
+    return f"{shared_dir(spark)}/{name}-{one[0]}-{(one[1] or 0) % (1 << 64):016x}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

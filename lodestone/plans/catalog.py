@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rendering
 from ..functions import text as T
-from ..operators import catalogue, checking, graph, matching, retrieval, routing, sessions
-from ..operators.staging import fresh_path
+from ..operators import catalogue, checking, graph, inverted, matching, retrieval, routing, sessions
+from ..operators.staging import fresh_path, path_for
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -185,15 +185,32 @@ def char_bigrams(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.size(g).cast("long").alias("bigrams"), F.size(F.array_distinct(g)).cast("long").alias("distinct_bigrams"))
 
 
+def _index(spark, d):
+    """The stored index of the documents, built by the first query that asks for it."""
+    path = path_for(spark, "bm25", f"{d}/documents.parquet")
+    if not inverted.exists(spark, path):
+        inverted.add_documents(_t(spark, d, "documents").select("doc_id", "text"), path)
+    return path
+
+
 def _bm25(spark, d, k):
     queries = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return retrieval.bm25(_t(spark, d, "documents").select("doc_id", "text"), queries, k)
+    return inverted.search(spark, _index(spark, d), queries, k)
 
 
 def bm25_topk(spark, d):
     return _bm25(spark, d, 20)
 
 
+def bm25_after_adds(spark, d):
+    """The same by an index to which every third document is added later."""
+    path, docs = fresh_path(spark, "bm25"), _t(spark, d, "documents").select("doc_id", "text")
+    for part in (docs.where("doc_id % 3 <> 0"), docs):
+        inverted.add_documents(part, path)
+    queries = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return inverted.search(spark, path, queries, 20)
+
+
 BM25_SQL = r"""
 d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
 q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term FROM benchmark),
@@ -317,7 +334,7 @@ def session_stream(spark, d):
 _FUNCTIONS = (
     normalize_text, faq_dedup_first, faq_dedup_last, faq_duplicates, counts_with_zero, split_distinct, exact_lookup, faq_match, route_decide, turn_errors,
     ref_integrity, edge_resolve, option_lists, reach_paths, evidence_enumerate, rag_gate, metadata_filter, masked_errors, marked_up, html_strip, chunk_docs,
-    char_bigrams, bm25_topk, dense_topk, rrf_fuse, small_to_big, doc_gate, rank_floor, vision_route, number_check, verification_flags, result_shape, hit_at_k, keyword_recall, latency_summary,
+    char_bigrams, bm25_topk, bm25_after_adds, dense_topk, rrf_fuse, small_to_big, doc_gate, rank_floor, vision_route, number_check, verification_flags, result_shape, hit_at_k, keyword_recall, latency_summary,
     model_calls, breadcrumbs, session_stream,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
@@ -356,6 +373,7 @@ SELECT conv_id, turn, pos, '<li>' || regexp_replace('**' || y || '**', '\\*\\*(.
     "html_strip": """SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\\b.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages""",
     "chunk_docs": "WITH c AS (SELECT doc_id, unnest(generate_series(0, CAST(ceil(length(text) / 700.0) AS BIGINT) - 1)) AS ord, text FROM documents) SELECT doc_id, ord, length(substr(text, ord * 700 + 1, 700)) AS chars, md5(substr(text, ord * 700 + 1, 700)) AS text_md5 FROM c",
     "char_bigrams": "WITH g AS (SELECT doc_id, unnest(generate_series(1, length(text) - 1)) AS i, text FROM documents), b AS (SELECT doc_id, count(*) AS bigrams, count(DISTINCT substr(text, i, 2)) AS distinct_bigrams FROM g GROUP BY doc_id) SELECT d.doc_id, coalesce(bigrams, 0) AS bigrams, coalesce(distinct_bigrams, 0) AS distinct_bigrams FROM documents d LEFT JOIN b USING (doc_id)",
+    "bm25_after_adds": f"WITH {BM25_SQL} SELECT query_id, doc_id, score, rank FROM bm WHERE rank <= 20",
     "bm25_topk": f"WITH {BM25_SQL} SELECT query_id, doc_id, score, rank FROM bm WHERE rank <= 20",
     "dense_topk": """WITH p AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM p) SELECT query_id, vec_id, round(score, 4) AS score FROM r WHERE k <= 10""",

@@ -31,13 +31,17 @@ GRAPH_SQL = f"""{catalog.TREE_SQL}, g AS (SELECT * FROM edges UNION ALL SELECT '
 
 
 def _presses(spark, d):
+    return _presses_of(_t(spark, d, "events"))
+
+
+def _presses_of(events):
     """Events as turns: every fourth is free text, the others press options at the root, a region or a nation; some don't exist."""
     e, k = F.col("event_id"), F.col("event_id") % 4
     node = F.when(k == 1, "root").when(k == 2, F.concat(F.lit("r"), (e % 5).cast("string"))).when(k == 3, F.concat(F.lit("n"), (e % 25).cast("string")))
     option = F.when(k == 1, F.concat(F.lit("o"), (e % 7).cast("string"))).when(k == 2, F.concat(F.lit("o"), (e % 25).cast("string")))
     option = option.when(k == 3, F.when(e % 3 == 0, graph.RESTART).otherwise(F.concat(F.lit("o"), (e % 150).cast("string"))))
     label = F.when((k != 0) & (e % 11 != 0), F.concat(F.lit("press "), option))
-    return _t(spark, d, "events").select("event_id", "user_id", "ts", F.when(k == 0, "text").otherwise("action").alias("kind"), node.alias("node_id"), option.alias("option_id"), label.alias("label"))
+    return events.select("event_id", "user_id", "ts", F.when(k == 0, "text").otherwise("action").alias("kind"), node.alias("node_id"), option.alias("option_id"), label.alias("label"))
 
 
 PRESS_SQL = f"""{GRAPH_SQL}, p AS (SELECT event_id, user_id, ts, event_id % 4 = 0 AS is_text,
@@ -59,6 +63,21 @@ def turn_state(spark, d):
     return _states(spark, d).select("event_id", F.coalesce("error", F.lit("ok")).alias("error"), "position", "completed", "epoch")
 
 
+def turn_state_stream(spark, d):
+    """The same states from a stream: the events land in four files by time, each a batch."""
+    from ..streaming.turns import run_turns
+
+    base, events = fresh_path(spark, "turns"), _t(spark, d, "events")
+    cuts = events.agg(F.percentile_approx("ts", [0.25, 0.5, 0.75])).first()[0] or []
+    part = sum([(F.col("ts") > F.lit(c)).cast("int") for c in cuts], F.lit(0))
+    for k in range(4):
+        events.where(part == k).coalesce(1).write.mode("append").parquet(f"{base}/landed")
+    shaped = lambda rows: _presses_of(rows).select(F.col("user_id").cast("string").alias("session"), "ts", F.col("event_id").alias("turn_id"), "kind", "node_id", "option_id", "label")
+    ends = _t(spark, d, "customer").select(F.concat(F.lit("c"), _text("c_custkey")).alias("node_id"))
+    found = run_turns(spark, f"{base}/landed", events.schema, shaped, _graph(spark, d), ends, "root", f"{base}/out", f"{base}/state", files=1)
+    return found.select(F.col("turn_id").alias("event_id"), F.coalesce("error", F.lit("ok")).alias("error"), "position", "completed", "epoch")
+
+
 def breadcrumb_paths(spark, d):
     """The labels pressed since the session was last cleared."""
     return _states(spark, d).select("event_id", F.array_join("labels", ">").alias("path"), F.size("labels").cast("long").alias("depth"))
@@ -84,7 +103,7 @@ def _nodes(spark, d):
     )
     faq_rows = _t(spark, d, "benchmark").select(F.lit("curated").alias("ref_sheet"), F.col("item_id").alias("ref_row"), F.concat(F.lit("Answer "), _text("item_id")).alias("curated"))
     ends = ends.join(faq_rows, ["ref_sheet", "ref_row"], "left").select("node_id", "type", "text", F.coalesce("answer_text", "curated").alias("answer_text"), "answer_source", "ref_sheet", "ref_row")
-    roots = menu(_t(spark, d, "region").limit(1), F.lit("root"), F.lit("Where?"))
+    roots = menu(spark.range(1), F.lit("root"), F.lit("Where?"))
     return roots.unionByName(menu(_t(spark, d, "region"), F.concat(F.lit("r"), _text("r_regionkey")), F.col("r_name"))).unionByName(menu(_t(spark, d, "nation"), F.concat(F.lit("n"), _text("n_nationkey")), F.col("n_name"))).unionByName(ends)
 
 
@@ -300,7 +319,7 @@ def block_chunks(spark, d):
 
 
 _FUNCTIONS = (
-    turn_state, breadcrumb_paths, turn_status, scenario_answers, turn_responses, route_reasons, faq_ingest, ingest_summary, graph_violations, answer_html, shown_fields,
+    turn_state, turn_state_stream, breadcrumb_paths, turn_status, scenario_answers, turn_responses, route_reasons, faq_ingest, ingest_summary, graph_violations, answer_html, shown_fields,
     answer_rates, token_costs, sentence_citations, rerank_topk, retry_once, incremental_add, page_store, text_dump, results_report, envelope_round_trip, block_chunks,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
@@ -391,3 +410,5 @@ SELECT number, coalesce(x.id, y.id) AS matched_id, CASE WHEN x.id IS NULL THEN 2
     "results_report": f"WITH {catalog._ASKED}, k AS (SELECT {catalog.NORM_SQL} AS key, CAST(min(item_id) AS VARCHAR) AS id FROM benchmark GROUP BY 1) SELECT number, id AS matched_id FROM (SELECT number, {catalog.NORM_SQL} AS key FROM asked) LEFT JOIN k USING (key)",
     "envelope_round_trip": f"""WITH {INGEST_SQL} SELECT sheet || ':' || row AS id, row_number() OVER (ORDER BY CASE sheet WHEN 'user' THEN 0 ELSE 1 END, row) - 1 AS ordinal, md5(answer) AS answer_md5 FROM y WHERE question <> '' AND answer IS NOT NULL""",
 }
+
+ORACLE_SQL["turn_state_stream"] = ORACLE_SQL["turn_state"]
