@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.grounding import SuffixAutomaton, supported
 from ..functions.text import numbers, terms
 
 #: Phrases by which an answer owns up to not knowing.  The surveyed list is unknown; this one is ours.
@@ -124,3 +126,36 @@ def citations(answers: DataFrame, least: float) -> DataFrame:
     rows = rows.withColumn("_words", F.array_distinct(terms(F.col("_sentence"))))
     share = F.round(F.size(F.array_intersect("_words", "_known")) / F.nullif(F.size("_words"), F.lit(0)), 6)
     return rows.select(*ids, "ord", F.coalesce(share, F.lit(0.0)).alias("share")).withColumn("cited", F.col("share") >= least)
+
+
+#: Words in a row that evidence must have for them to count as supported.
+RUN = 3
+
+
+def _support(least: int):
+    @F.pandas_udf("array<struct<covered:long,longest:long>>")
+    def of(answers: pd.Series, evidence: pd.Series) -> pd.Series:
+        out = []
+        for told, known in zip(answers, evidence, strict=True):
+            automaton = SuffixAutomaton(list(known))
+            out.append([dict(zip(("covered", "longest"), supported(automaton, list(words), least), strict=True)) for words in told])
+        return pd.Series(out)
+
+    return of
+
+
+def grounded(answers: DataFrame, least: int = RUN) -> DataFrame:
+    """For each sentence of each answer (id columns, answer, evidence), how much of it the evidence says in the same words.
+
+    ``words`` are the sentence's, ``covered`` those within a run of at least
+    ``least`` words that the evidence has in a row, ``longest`` the longest
+    such run of any length, ``share`` the part that is covered.  Null evidence
+    supports nothing; sentences without words have no row.  The texts of one
+    row are in a task's memory, no more.
+    """
+    ids = [c for c in answers.columns if c not in ("answer", "evidence")]
+    told = F.filter(F.transform(sentences(F.col("answer")), terms), lambda w: F.size(w) > 0)
+    rows = answers.select(*ids, told.alias("_told"), terms(F.col("evidence")).alias("_known"))
+    both = rows.select(*ids, F.posexplode(F.arrays_zip(F.col("_told").alias("told"), _support(least)("_told", "_known").alias("found"))).alias("ord", "_x"))
+    words = F.size("_x.told").cast("long")
+    return both.select(*ids, "ord", words.alias("words"), F.col("_x.found.covered").alias("covered"), F.col("_x.found.longest").alias("longest"), F.round(F.col("_x.found.covered") / words, 6).alias("share"))

@@ -113,9 +113,10 @@ def _blocks(spark: SparkSession, path: str, wanted: DataFrame, done: DataFrame,
 
 
 class Search:
-    """A search of the index at ``path`` for ``queries`` (query_id, text).
+    """A search of the index at ``path`` for ``queries`` (query_id, text, or query_id, term and factor: what a term counts).
 
-    ``bounds`` has, for each question and range with one of its terms, the most
+    ``n`` and ``mean`` are the number of documents and their mean length,
+    ``known`` has the asked terms that occur and their ``df``.  ``bounds`` has, for each question and range with one of its terms, the most
     that a document there can score.
     """
 
@@ -125,16 +126,23 @@ class Search:
             raise ValueError(f"no index at {path}")
         stats = done.agg(F.sum("n"), F.sum("total"), F.max("buckets")).first()
         self.n, self.mean = stats[0] or 0, (stats[1] or 0) / max(stats[0] or 0, 1) or 1.0
-        self.asked = staged(queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).distinct(), "asked")
-        self.blocks = _blocks(spark, path, self.asked.select("term").distinct(), done, stats[2] or BUCKETS)
+        if "factor" not in queries.columns:
+            queries = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).distinct().withColumn("factor", F.lit(1.0))
+        self.asked = staged(queries.select("query_id", "term", "factor"), "asked")
+        self.spark, self.path, self.done, self.buckets = spark, path, done, stats[2] or BUCKETS
+        self.blocks = _blocks(spark, path, self.asked.select("term").distinct(), done, self.buckets)
         # Only the bounds of the blocks: a scan without the postings.
         heads = staged(self.blocks.select("term", "range", "n", "peaks"), "heads")
-        df = heads.groupBy("term").agg(F.sum("n").alias("df"))
+        self.known = heads.groupBy("term").agg(F.sum("n").alias("df"))
         idf = F.log(1 + (F.lit(float(self.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        self.terms = staged(self.asked.join(df, "term").select("query_id", "term", idf.alias("idf")), "terms")
+        self.terms = staged(self.asked.join(self.known, "term").select("query_id", "term", (F.col("factor") * idf).alias("idf")), "terms")
         most = F.array_max(F.transform("peaks", lambda x: _weight(F.col("idf"), x["tf"], x["len"], self.mean)))
         self.bounds = staged(self.terms.join(heads, "term").groupBy("query_id", "range").agg(F.sum(most).alias("most"), F.count(F.lit(1)).alias("blocks")), "bounds")
 
+    def frequencies(self, words: DataFrame) -> DataFrame:
+        """``term`` and ``df`` of other ``words`` (term)."""
+        return _blocks(self.spark, self.path, words, self.done, self.buckets).groupBy("term").agg(F.sum("n").alias("df"))
+
     def scored(self, places: DataFrame) -> DataFrame:
         """``query_id``, ``doc_id`` and ``score`` of the documents in ``places`` (query_id, range)."""
         wanted = self.terms.join(places.select("query_id", "range"), "query_id")

@@ -411,3 +411,8 @@ from . import dialogue  # noqa: E402  (its queries use the helpers above)
 
 QUERIES |= dialogue.QUERIES
 ORACLE_SQL |= dialogue.ORACLE_SQL
+
+from . import answers  # noqa: E402
+
+QUERIES |= answers.QUERIES
+ORACLE_SQL |= answers.ORACLE_SQL
