@@ -30,6 +30,28 @@ def _graph(spark, d):
 GRAPH_SQL = f"""{catalog.TREE_SQL}, g AS (SELECT * FROM edges UNION ALL SELECT 'n' || n_nationkey, -1, '__restart__', 'Start over', 'root' FROM nation)"""
 
 
+def _ways(spark, d):
+    """The decision graph with its restarts, and suppliers, from which a way leads to their nation but none back."""
+    more = _t(spark, d, "supplier").select(F.concat(F.lit("s"), _text("s_suppkey")).alias("node_id"), F.concat(F.lit("n"), _text("s_nationkey")).alias("next_node_id"))
+    return _graph(spark, d).select("node_id", "next_node_id").unionByName(more)
+
+
+WAYS_SQL = f"{GRAPH_SQL}, ways AS (SELECT DISTINCT node_id AS a, next_node_id AS b FROM g UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier)"
+
+
+def graph_findings(spark, d):
+    """How far every node is from the root, which cannot be reached, and which menus lead nowhere: every third customer is no end."""
+    ways = _ways(spark, d)
+    nodes = ways.select("node_id").union(ways.select("next_node_id")).distinct()
+    ends = _t(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.concat(F.lit("c"), _text("c_custkey")).alias("node_id"))
+    return graph.findings(nodes, ways, spark.range(1).select(F.lit("root").alias("node_id")), ends)
+
+
+def graph_cycles(spark, d):
+    """The nodes that restarts put on cycles, and their components."""
+    return graph.cycles(_ways(spark, d))
+
+
 def _presses(spark, d):
     return _presses_of(_t(spark, d, "events"))
 
@@ -319,7 +341,7 @@ def block_chunks(spark, d):
 
 
 _FUNCTIONS = (
-    turn_state, turn_state_stream, breadcrumb_paths, turn_status, scenario_answers, turn_responses, route_reasons, faq_ingest, ingest_summary, graph_violations, answer_html, shown_fields,
+    turn_state, turn_state_stream, graph_findings, graph_cycles, breadcrumb_paths, turn_status, scenario_answers, turn_responses, route_reasons, faq_ingest, ingest_summary, graph_violations, answer_html, shown_fields,
     answer_rates, token_costs, sentence_citations, rerank_topk, retry_once, incremental_add, page_store, text_dump, results_report, envelope_round_trip, block_chunks,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
@@ -412,3 +434,8 @@ SELECT number, coalesce(x.id, y.id) AS matched_id, CASE WHEN x.id IS NULL THEN 2
 }
 
 ORACLE_SQL["turn_state_stream"] = ORACLE_SQL["turn_state"]
+ORACLE_SQL["graph_findings"] = f"""WITH RECURSIVE {WAYS_SQL}, walk AS (SELECT 'root' AS node_id, 0 AS depth UNION SELECT b, depth + 1 FROM walk JOIN ways ON a = node_id WHERE depth < 12),
+far AS (SELECT node_id, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY node_id), nodes AS (SELECT a AS node_id FROM ways UNION SELECT b FROM ways)
+SELECT node_id, depth, node_id NOT IN (SELECT a FROM ways) AND node_id NOT IN (SELECT 'c' || c_custkey FROM customer WHERE c_custkey % 3 <> 0) AS dead_end FROM nodes LEFT JOIN far USING (node_id)"""
+ORACLE_SQL["graph_cycles"] = f"""WITH RECURSIVE {WAYS_SQL}, far AS (SELECT a, b FROM ways WHERE a NOT LIKE 's%' UNION SELECT far.a, ways.b FROM far JOIN ways ON far.b = ways.a),
+mutual AS (SELECT x.a, x.b FROM far x JOIN far y ON x.a = y.b AND x.b = y.a) SELECT a AS node_id, min(b) AS component FROM mutual GROUP BY a"""
