@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import answering, catalogue, checking, matching, routing
+from ..operators import answering, catalogue, checking, matching, names, routing
 from ..operators.staging import staged
 from . import catalog
 
@@ -71,7 +71,15 @@ def grounded_sentences(spark, d):
     return checking.grounded(said.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer")).join(heard, ["conv_id", "turn"], "left"), 2)
 
 
-QUERIES = {f.__name__: f for f in (rag_rounds, cascade, grounded_sentences)}
+def file_catalog(spark, d):
+    """The hosts of all pages matched to a catalogue of hosts: those of every third page, without their first label."""
+    host = F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1)
+    pages = _t(spark, d, "pages").select("page_id", host.alias("name"))
+    entries = pages.where("page_id % 3 = 0").select(F.regexp_replace("name", r"^[^.]*\.", "").alias("entry"))
+    return names.catalogued(pages, entries)
+
+
+QUERIES = {f.__name__: f for f in (rag_rounds, cascade, grounded_sentences, file_catalog)}
 
 _SPLIT = r"list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
@@ -132,4 +140,13 @@ c AS (SELECT conv_id, turn, ord, count(DISTINCT i) AS covered FROM (SELECT conv_
 l AS (SELECT conv_id, turn, ord, max(n) AS longest FROM r GROUP BY ALL)
 SELECT conv_id, turn, ord, len(w) AS words, coalesce(covered, 0) AS covered, coalesce(longest, 0) AS longest, round(coalesce(covered, 0) / len(w), 6) AS share
 FROM s LEFT JOIN c USING (conv_id, turn, ord) LEFT JOIN l USING (conv_id, turn, ord)""",
+    "file_catalog": """
+WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS name FROM pages),
+f AS (SELECT DISTINCT name FROM p), e AS (SELECT DISTINCT regexp_replace(name, '^[^.]*\\.', '') AS entry FROM p WHERE page_id % 3 = 0),
+s AS (SELECT name, entry, len(name) + len(entry) AS n, string_split(entry, '') AS b,
+  list_reduce(string_split(name, ''), lambda before, c: list_reduce(range(1, len(entry) + 1), lambda now, j: list_append(now, CASE WHEN string_split(entry, '')[j] = c THEN before[j] + 1 ELSE greatest(before[j + 1], now[j]) END), [0]), list_transform(range(len(entry) + 1), lambda z: 0))[-1] AS common
+  FROM f, e WHERE name <> '' AND entry <> '' AND abs(len(name) - len(entry)) <= 0.15 * (len(name) + len(entry)) + 0.001),
+k AS (SELECT name, entry, ((1.0::DOUBLE - (n - 2 * common)::DOUBLE / n) * 100.0::DOUBLE) / 100.0::DOUBLE AS score FROM s),
+r AS (SELECT *, count(*) OVER (PARTITION BY name) - 1 AS rivals FROM k WHERE score >= 0.85 QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, entry) = 1)
+SELECT name, entry, round(score, 6) AS score, coalesce(rivals, 0) AS rivals FROM f LEFT JOIN r USING (name)""",
 }
