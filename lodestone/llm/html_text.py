@@ -63,6 +63,7 @@ class Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.tags, self.parents, self.marks, self.events = ["#root"], [0], [(False, 0, None)], []
         self.open = [0]
+        self.depths: dict[str, list[int]] = {}  # of the open elements of each name
         self.feed(html)
         self.close()
 
@@ -80,6 +81,7 @@ class Page(HTMLParser):
         if tag in BLOCKS:
             self.events.append((len(self.tags) - 1, None))
         if tag not in VOID:
+            self.depths.setdefault(tag, []).append(len(self.open))
             self.open.append(len(self.tags) - 1)
 
     def handle_startendtag(self, tag, attrs):
@@ -88,10 +90,8 @@ class Page(HTMLParser):
     def handle_endtag(self, tag):
         if tag == "br":
             self.events.append((self.open[-1], " "))
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.tags[self.open[depth]] == tag:
-                self._close(depth)
-                return
+        if self.depths.get(tag):
+            self._close(self.depths[tag][-1])
 
     def handle_data(self, data):
         self.events.append((self.open[-1], data))
@@ -101,17 +101,16 @@ class Page(HTMLParser):
             self.events.append((self.open[-1], data[6:]))
 
     def _end(self, tags, stop):
-        for depth in range(len(self.open) - 1, 0, -1):
-            tag = self.tags[self.open[depth]]
-            if tag in tags:
-                self._close(depth)
-                return
-            if tag in stop:
-                return
+        last = lambda names: max((self.depths[x][-1] for x in names if self.depths.get(x)), default=0)
+        depth = last(tags)
+        if depth and depth >= last(stop):
+            self._close(depth)
 
     def _close(self, depth):
         if any(self.tags[i] in BLOCKS for i in self.open[depth:]):
             self.events.append((self.open[depth], None))
+        for i in self.open[depth:]:
+            self.depths[self.tags[i]].pop()
         del self.open[depth:]
 
     def _mark(self, tag, attrs):
@@ -218,16 +217,20 @@ def main_text(html: str) -> str:
         in_link[i] = in_link[parents[i]] or tags[i] == "a"
     out, tally = left_out(page, in_link)
     length = tally.length
-    score = [0.0] * n
+    score, far = [0.0] * n, [0.0] * n
     for i, points in enumerate(tally.points):
         if not points:
             continue
-        at, level = (parents[i] if tags[i] in ("p", "pre", "blockquote", "li", "td", "dd") else i), 0
-        while True:
-            score[at] += points / (1, 2, 6, 9, 12, 15)[min(level, 5)]
+        at = parents[i] if tags[i] in ("p", "pre", "blockquote", "li", "td", "dd") else i
+        far[at] += points / 15
+        for share in (1, 2, 6, 9, 12):
+            score[at] += points * (1 / share - 1 / 15)
             if not at:
                 break
-            at, level = parents[at], level + 1
+            at = parents[at]
+    for i in range(n - 1, 0, -1):  # however deep, each element passes its points on once
+        far[parents[i]] += far[i]
+    score = [near + deep for near, deep in zip(score, far, strict=True)]
     best, most = 0, 0.0
     for i in range(n):
         if out[i] or not score[i]:
@@ -240,11 +243,22 @@ def main_text(html: str) -> str:
         if tags[at] == "article":
             best = at
         at = parents[at]
+    # Siblings of the best container; if neither an article nor a main element bounds the text, those of its ancestors too.
+    bounded = any(tags[i] in ("article", "main") and length[i] and not out[i] for i in range(n))
+    path = {best}
+    while not bounded and parents[at := min(path)]:
+        path.add(parents[at])
+    above = {parents[i] for i in path}
+    inner = list(score)  # the best container within each element: an ancestor's sibling counts for what it wraps
+    for i in range(n - 1, 0, -1):
+        if not out[i]:
+            inner[parents[i]] = max(inner[parents[i]], inner[i])
     kept = {best}
     for i in range(1, n):
-        if parents[i] == parents[best] and i != best and not out[i] and length[i]:
+        if parents[i] in above and i not in path and not out[i] and length[i]:
             density = tally.density(i)
-            if score[i] >= max(10.0, 0.2 * most) or (tags[i] in ("p", "h1") and best and density < 0.25 and (length[i] > 80 or tags[i] == "h1")):
+            worth = score[i] if parents[i] == parents[best] else inner[i] * (1 - density)
+            if worth >= max(10.0, 0.2 * most) or (tags[i] in ("p", "h1") and best and density < 0.25 and (length[i] > 80 or tags[i] == "h1")):
                 kept.add(i)
     inside = [False] * n
     for i in range(n):
@@ -271,8 +285,11 @@ def extract_text(pages: DataFrame, keep: list[str], html: str = "html") -> DataF
     """The columns ``keep`` of every row of ``pages`` and ``text``, the page's main text.
 
     White space within a block is one space, blocks are joined by one space.
-    Null and empty pages, and pages without text, give the empty text.  Markup
-    that is cut off or badly nested is read as browsers do.  Repeated rows all
+    Without an article or main element, sections under different parents are
+    kept alike.  A page of any length or depth takes time in proportion to its
+    size.  Null and empty pages, and pages without text, give the empty text.  Markup
+    that is cut off is read to its end; an end tag closes the last open element
+    of its name with all in it, and means nothing without one.  Repeated rows all
     come back; an empty table gives an empty result.  A column
     ``text`` of ``keep`` gives way to the new one; columns not in ``keep`` are
     not read.

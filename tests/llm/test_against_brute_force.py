@@ -2,10 +2,12 @@
 
 import math
 import random
+import time
 import zlib
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 from lodestone.llm import html_text, language_id, toxicity
 
@@ -117,10 +119,14 @@ def brute_main_text(root):
     best = max((x for x in nodes if not out[x]), key=lambda x: score[x], default=root)
     most = score[best]
     best = next((a for a in reversed(list(best.above())) if a.tag == "article"), best) if most > 0 else root
-    kept = {best}
+    kept, path = {best}, {best}
+    if not any(x.tag in ("article", "main") and sizes.length[x] and not out[x] for x in nodes):
+        path |= {a for a in best.above() if a.parent is not None}
+    above = {x.parent for x in path} - {None}
     for x in nodes:
-        if x.parent is not None and x.parent is best.parent and not out[x] and sizes.length[x]:
-            if score[x] >= max(10.0, 0.2 * most) or (x.tag in ("p", "h1") and sizes.density[x] < 0.25 and (sizes.length[x] > 80 or x.tag == "h1")):
+        if x.parent in above and x not in path and not out[x] and sizes.length[x]:
+            wraps = max(score[y] for y in x.below() if y is x or not out[y]) * (1 - sizes.density[x])
+            if (score[x] if x.parent is best.parent else wraps) >= max(10.0, 0.2 * most) or (x.tag in ("p", "h1") and sizes.density[x] < 0.25 and (sizes.length[x] > 80 or x.tag == "h1")):
                 kept.add(x)
     found = [""]
 
@@ -137,6 +143,28 @@ def brute_main_text(root):
     return " ".join(" ".join(b.split()) for b in found if b.strip())
 
 
+def test_known_main_texts():
+    say = lambda x, n=3: "".join(f"<p>{x}{k} is a sentence, with some words, that goes on for a while so that it is read as text, and ends.</p>" for k in range(n))
+    text = lambda *xs: " ".join(f"{x}{k} is a sentence, with some words, that goes on for a while so that it is read as text, and ends." for x in xs for k in range(3))
+    menu = "<ul class=menu><li><a href=1>Home</a><li><a href=2>News</a></ul>"
+    foot = "<div class=footer>Copyright, all rights reserved</div>"
+    aside = "<div class=sidebar><a href=3>One more, and more</a> <a href=4>and another link, to follow</a></div>"
+    nested = "".join(f"<div><div>{say(x)}</div></div>" for x in "ABC")
+    rows = "".join(f"<div class=row><div class=col><div class=content>{say(x)}</div></div></div>" for x in "ABC")
+    thread = f"<div class=comments>{say('R', 9)}</div>"
+    assert html_text.main_text(f"<body>{nested}</body>") == text("A", "B", "C")
+    assert html_text.main_text(f"<body>{menu}<div>{rows}</div>{aside}{foot}</body>") == text("A", "B", "C")
+    assert html_text.main_text(f"<body>{menu}<article>{say('A')}</article>{thread}{foot}</body>") == text("A")
+    assert html_text.main_text(f"<body><main><section>{say('A')}</section><div><div>{say('B')}</div></div></main>{aside}</body>") == text("A", "B")
+
+
+@pytest.mark.parametrize("html", ["<b>" * 20_000 + "some text" + "</i>" * 20_000, "<p><table>" + "<b>" * 20_000 + "<div></div>" * 20_000, "".join(f"<div>{'word, ' * 10}" for _ in range(20_000))])
+def test_nesting_takes_linear_time(html):
+    began = time.process_time()
+    html_text.main_text(html)
+    assert time.process_time() - began < 5
+
+
 def test_html_query_is_brute_force(spark, tmp_path):
     rng = random.Random(11)
     trees = []
