@@ -11,6 +11,8 @@ from .text import strip
 BADGES = {"high": "badge high", "low": "badge low", "unknown": "badge low", "abstain": "badge abstain", "none": "badge abstain"}
 #: Patterns of light markup: fixed values.
 BULLET, BOLD, HEADING = r"\A[*\-]\s+(.*)\z", r"\*\*(.+?)\*\*", r"\A\*\*(.+?)\*\*[:：]?\z"
+#: Names of files that are served: a fixed value.
+FILE_NAME = r"\A[A-Za-z0-9._\-]{1,128}\z"
 
 
 def escaped(text: Column) -> Column:
@@ -75,5 +77,5 @@ def tags(base: list[str], extra: Column, conditional: Column, when: Column) -> C
 
 def is_file_name(text: Column) -> Column:
     """A plain name of a picture, without folders or steps up."""
-    safe = text.rlike(r"\A[A-Za-z0-9_.\-]{1,128}\z") & ~F.contains(text, F.lit(".."))
+    safe = text.rlike(FILE_NAME) & ~F.contains(text, F.lit(".."))
     return F.coalesce(safe, F.lit(False))
