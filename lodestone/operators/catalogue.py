@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import clean, file_names, header_name, integer, normalized
@@ -11,12 +11,11 @@ from ..functions.text import clean, file_names, header_name, integer, normalized
 HEADERS = {"No": "no", "질문유형": "question_type", "장애유형": "fault_type", "질문": "question", "답변": "answer", "질문답변생성근거파일명": "source_files"}
 
 
-def entries_of(rows: DataFrame, sheets: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(entries, dropped) of workbook ``rows`` (sheet, row, cells).
+def body_of(rows: DataFrame, sheets: list[str]) -> DataFrame:
+    """The rows below the headers, with named columns, of workbook ``rows`` (sheet, row, cells); ``whole`` if they have question and answer.
 
     The first row of a sheet names its columns: spaces don't count, the first of
-    equal names wins, unknown ones are passed over.  Rows without question or
-    answer are dropped, but keep their numbers.  A sheet that is missing, or
+    equal names wins, unknown ones are passed over.  A sheet that is missing, or
     lacks either column, fails.
     """
     head = rows.where(F.col("row") == 1).select("sheet", F.transform("cells", lambda c: header_name(c)).alias("names"))
@@ -32,14 +31,38 @@ def entries_of(rows: DataFrame, sheets: list[str]) -> tuple[DataFrame, DataFrame
         at = F.element_at(F.create_map(*[F.lit(x) for s in sheets for x in (s, found[s].index(header) if header in found[s] else -1)]), F.col("sheet"))
         cell[column] = clean(F.when(at >= 0, F.get("cells", at)))
     body = rows.where((F.col("row") > 1) & F.col("sheet").isin(*sheets)).select("sheet", "row", *[v.alias(k) for k, v in cell.items()])
+    return body.withColumn("whole", F.col("question").isNotNull() & F.col("answer").isNotNull())
+
+
+def entries_in(body: DataFrame, sheets: list[str]) -> DataFrame:
+    """The entries of the whole rows of ``body``, in the order of ``sheets`` and rows."""
     order = F.element_at(F.create_map(*[F.lit(x) for k, s in enumerate(sheets) for x in (s, k)]), F.col("sheet")).cast("long")
-    whole = F.col("question").isNotNull() & F.col("answer").isNotNull()
-    entries = body.where(whole).select(
+    return body.where("whole").select(
         F.shiftleft(order, 32).bitwiseOR(F.col("row").cast("long")).alias("ordinal"),
         F.concat_ws(":", "sheet", F.col("row").cast("string")).alias("id"), "sheet", "row", integer(F.col("no")).alias("no"),
         "question_type", "fault_type", "question", normalized(F.col("question")).alias("question_normalized"), "answer", file_names(F.col("source_files")).alias("source_files"),
     )
-    return entries, body.where(~whole).select("sheet", "row")
+
+
+def entries_of(rows: DataFrame, sheets: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(entries, dropped) of workbook ``rows``, as :func:`body_of` reads them: rows without question or answer are dropped, but keep their numbers."""
+    body = body_of(rows, sheets)
+    return entries_in(body, sheets), body.where("NOT whole").select("sheet", "row")
+
+
+def ingest(rows: DataFrame, sheets: list[str], path: str) -> tuple[DataFrame, dict[str, int]]:
+    """Write the entries of workbook ``rows`` to ``path``; they, and what the one pass over the rows has counted.
+
+    The counts are ``entries:`` and ``dropped:`` with the sheet's name, and
+    ``files``, the named source files.  They come from the write itself, so
+    nothing is read a second time for them.
+    """
+    run, named = Observation(), F.size(file_names(F.col("source_files")))
+    counts = [F.count_if((F.col("sheet") == s) & (F.col("whole") == kept)).alias(f"{name}:{s}") for s in sheets for name, kept in (("entries", True), ("dropped", False))]
+    body = body_of(rows, sheets).observe(run, *counts, F.coalesce(F.sum(F.when(F.col("whole"), named)), F.lit(0)).alias("files"))
+    stored = entries_in(body, sheets)
+    stored.write.parquet(path)
+    return rows.sparkSession.read.schema(stored.schema).parquet(path), run.get
 
 
 def counts_with_zero(keys: DataFrame, rows: DataFrame, key: str) -> DataFrame:

@@ -19,7 +19,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..functions.text import terms
 from .retrieval import K1, B, top
@@ -36,10 +35,10 @@ _DOCUMENTS = "doc_id long, len int, batch long"
 
 
 def _batches(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.schema(_BATCH).parquet(f"{path}/batches")
-    except AnalysisException:  # no batch was ever added
-        return None
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batches")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None  # no batch was ever added
+    return spark.read.schema(_BATCH).parquet(f"{path}/batches")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -143,6 +142,11 @@ class Search:
         """``term`` and ``df`` of other ``words`` (term)."""
         return _blocks(self.spark, self.path, words, self.done, self.buckets).groupBy("term").agg(F.sum("n").alias("df"))
 
+    def held(self) -> DataFrame:
+        """``query_id``, ``doc_id`` and ``score``: how many of a question's terms a document has."""
+        entries = self.blocks.select("term", F.explode(F.transform("steps", lambda x: F.col("first") + x)).alias("doc_id"))
+        return self.asked.join(entries, "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("score"))
+
     def scored(self, places: DataFrame) -> DataFrame:
         """``query_id``, ``doc_id`` and ``score`` of the documents in ``places`` (query_id, range)."""
         wanted = self.terms.join(places.select("query_id", "range"), "query_id")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as T
-from ..operators import answering, catalogue, checking, matching, names, routing
+from ..functions.vectors import dot
+from ..operators import answering, catalogue, checking, inverted, matching, names, retrieval, routing
 from ..operators.staging import staged
 from . import catalog
 
@@ -71,6 +71,38 @@ def grounded_sentences(spark, d):
     return checking.grounded(said.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer")).join(heard, ["conv_id", "turn"], "left"), 2)
 
 
+def _lists(spark, d):
+    """Every hundredth document that has a vector asks for others: the 20 best by words, and by vectors."""
+    vectors = _t(spark, d, "embeddings").select("vec_id", "embedding")
+    docs = _documents(spark, d)
+    asked = docs.where("doc_id % 100 = 0").join(vectors.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("query_id"), "text")
+    sparse = inverted.search(spark, catalog._index(spark, d), asked, 21).where("query_id <> doc_id").drop("rank")
+    dense = retrieval.dense(vectors, vectors.join(asked.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi"), 20)
+    return staged(retrieval.top(sparse, "query_id", "doc_id", 20), "sparse"), staged(dense.select("query_id", F.col("vec_id").alias("doc_id"), "score", "rank"), "dense"), vectors
+
+
+def hybrid_fuse(spark, d):
+    """Both lists fused by reciprocal ranks."""
+    sparse, dense, _ = _lists(spark, d)
+    return retrieval.fuse([sparse, dense], 10).select("query_id", "doc_id", "rank")
+
+
+def hybrid_gate(spark, d):
+    """The hits by words in the order of their vectors, from a floor up; none for a question whose best vector is too far."""
+    sparse, dense, vectors = _lists(spark, d)
+    near = retrieval.floor(dense, 0.3).where("NOT refused").select("query_id")
+    own = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asks"))
+    pairs = sparse.join(near, "query_id", "left_semi").join(vectors.withColumnRenamed("vec_id", "doc_id"), "doc_id").join(own, "query_id")
+    ranked = retrieval.reranked(pairs, F.round(dot(F.col("asks"), F.col("embedding")), 6), 5, 0.0)
+    return ranked.select("query_id", "doc_id", "rank")
+
+
+def dense_gate(spark, d):
+    """The hits by words that belong to the documents chosen by vectors."""
+    sparse, dense, _ = _lists(spark, d)
+    return retrieval.gated(sparse, dense).select("query_id", "doc_id", "rank")
+
+
 def file_catalog(spark, d):
     """The hosts of all pages matched to a catalogue of hosts: those of every third page, without their first label."""
     host = F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1)
@@ -79,7 +111,7 @@ def file_catalog(spark, d):
     return names.catalogued(pages, entries)
 
 
-QUERIES = {f.__name__: f for f in (rag_rounds, cascade, grounded_sentences, file_catalog)}
+QUERIES = {f.__name__: f for f in (rag_rounds, cascade, grounded_sentences, file_catalog, hybrid_fuse, hybrid_gate, dense_gate)}
 
 _SPLIT = r"list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
@@ -103,7 +135,22 @@ cov{k} AS (SELECT query_id, {k} AS attempt, round(sum(CASE WHEN h.term IS NULL T
   FROM wt LEFT JOIN has{k}_3 h USING (query_id, term) WHERE query_id IN (SELECT query_id FROM {asked}) GROUP BY query_id)"""
 
 
+_HYBRID = (
+    catalog.BM25_SQL.replace("item_id AS query_id", "doc_id AS query_id").replace("FROM benchmark", "FROM documents WHERE doc_id % 100 = 0 AND doc_id IN (SELECT vec_id FROM embeddings)").replace("AS rank FROM s)", "AS rank FROM s WHERE query_id <> doc_id)")
+    + """,
+vp AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))), 6) AS score
+  FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND q.vec_id IN (SELECT doc_id FROM documents) AND q.vec_id <> v.vec_id),
+dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM vp QUALIFY rank <= 20)"""
+)
+
 ORACLE_SQL = {
+    "hybrid_fuse": f"""WITH {_HYBRID},
+f AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT query_id, doc_id, rank FROM bm WHERE rank <= 20 UNION ALL SELECT query_id, doc_id, rank FROM dr) GROUP BY ALL)
+SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f QUALIFY rank <= 10""",
+    "hybrid_gate": f"""WITH {_HYBRID}
+SELECT query_id, doc_id, place AS rank FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY vp.score DESC, doc_id) AS place FROM bm JOIN vp USING (query_id, doc_id)
+WHERE bm.rank <= 20 AND vp.score >= 0 AND query_id IN (SELECT query_id FROM dr GROUP BY query_id HAVING max(score) >= 0.3)) WHERE place <= 5""",
+    "dense_gate": f"WITH {_HYBRID} SELECT query_id, doc_id, bm.rank FROM bm SEMI JOIN dr USING (query_id, doc_id) WHERE bm.rank <= 20",
     "rag_rounds": f"""
 WITH words AS (SELECT doc_id, {_SPLIT.format("text")} AS w FROM documents),
 st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(w)) AS mean FROM words),

@@ -234,11 +234,8 @@ def dense_topk(spark, d):
 
 def rrf_fuse(spark, d):
     """BM25 fused with the order in which documents hold a query's distinct terms."""
-    bm = _bm25(spark, d, 20)
-    asked = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))
-    held = _t(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))
-    met = held.join(asked, "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("score"))
-    return retrieval.fuse([bm, retrieval.top(met, "query_id", "doc_id", 20)], 10).select("query_id", "doc_id", "rank")
+    search = inverted.Search(spark, _index(spark, d), _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+    return retrieval.fuse([search.best(20), retrieval.top(search.held(), "query_id", "doc_id", 20)], 10).select("query_id", "doc_id", "rank")
 
 
 def small_to_big(spark, d):

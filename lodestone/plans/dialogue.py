@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rendering
 from ..functions import text as T
 from ..operators import catalogue, checking, graph, matching, retrieval, routing, turns
-from ..operators.staging import fresh_path
+from ..operators.staging import fresh_path, staged
 from ..sources import corpus, faq
 from . import catalog
 
@@ -207,6 +207,13 @@ def ingest_summary(spark, d):
     return count(entries, "entries").join(count(dropped, "dropped"), "sheet").join(count(late, "duplicates"), "sheet")
 
 
+def ingest_run(spark, d):
+    """The counts of one pass that stores the entries, beside what is stored then."""
+    stored, counts = catalogue.ingest(_sheet_rows(spark, d), _SHEETS, fresh_path(spark, "entries"))
+    told = spark.createDataFrame([(s, counts[f"entries:{s}"], counts[f"dropped:{s}"]) for s in _SHEETS], "sheet string, entries long, dropped long")
+    return told.join(stored.groupBy("sheet").agg(F.count(F.lit(1)).alias("stored")), "sheet", "left").select("sheet", "entries", "dropped", F.coalesce("stored", F.lit(0)).alias("stored"))
+
+
 INGEST_SQL = r"""x AS (SELECT role AS sheet, conv_id * 100 + turn + 2 AS row, CAST(turn AS VARCHAR) AS no, conv_id % 7 = 3 AS short, text, turn,
 ' ' || CASE WHEN turn % 5 = 4 THEN '  ' ELSE string_split(text, '.')[1] END || '?' AS q, CASE WHEN turn % 3 = 2 THEN '' ELSE text END AS a FROM conversations WHERE role IN ('user', 'assistant')),
 y AS (SELECT *, regexp_replace(q, '^\s+|\s+$', '', 'g') AS question, CASE WHEN short THEN NULL ELSE nullif(regexp_replace(a, '^\s+|\s+$', '', 'g'), '') END AS answer FROM x)"""
@@ -276,9 +283,10 @@ def sentence_citations(spark, d):
 def rerank_topk(spark, d):
     """BM25 hits in the order of another scorer: the share of the query's distinct words that a document has, from a tenth up."""
     found = catalog._bm25(spark, d, 20)
-    docs = _t(spark, d, "documents").select("doc_id", F.array_distinct(T.terms(F.col("text"))).alias("has"))
     asked = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(T.terms(F.col("text"))).alias("wants"))
-    pairs = found.join(docs, "doc_id").join(asked, "query_id").select("query_id", "doc_id", "has", "wants")
+    hits = found.join(_t(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    # Staged before their words are taken, so that only documents that were found are split.
+    pairs = staged(hits, "hits").join(asked, "query_id").select("query_id", "doc_id", F.array_distinct(T.terms(F.col("text"))).alias("has"), "wants")
     share = lambda rows: F.round(F.size(F.array_intersect("has", "wants")) / F.size("wants"), 6)
     return retrieval.reranked(pairs, share, 5, 0.1).select("query_id", "doc_id", "score", "rank")
 
@@ -341,7 +349,7 @@ def block_chunks(spark, d):
 
 
 _FUNCTIONS = (
-    turn_state, turn_state_stream, graph_findings, graph_cycles, breadcrumb_paths, turn_status, scenario_answers, turn_responses, route_reasons, faq_ingest, ingest_summary, graph_violations, answer_html, shown_fields,
+    turn_state, turn_state_stream, graph_findings, graph_cycles, breadcrumb_paths, turn_status, scenario_answers, turn_responses, route_reasons, faq_ingest, ingest_summary, ingest_run, graph_violations, answer_html, shown_fields,
     answer_rates, token_costs, sentence_citations, rerank_topk, retry_once, incremental_add, page_store, text_dump, results_report, envelope_round_trip, block_chunks,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
@@ -439,3 +447,5 @@ far AS (SELECT node_id, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY n
 SELECT node_id, depth, node_id NOT IN (SELECT a FROM ways) AND node_id NOT IN (SELECT 'c' || c_custkey FROM customer WHERE c_custkey % 3 <> 0) AS dead_end FROM nodes LEFT JOIN far USING (node_id)"""
 ORACLE_SQL["graph_cycles"] = f"""WITH RECURSIVE {WAYS_SQL}, far AS (SELECT a, b FROM ways WHERE a NOT LIKE 's%' UNION SELECT far.a, ways.b FROM far JOIN ways ON far.b = ways.a),
 mutual AS (SELECT x.a, x.b FROM far x JOIN far y ON x.a = y.b AND x.b = y.a) SELECT a AS node_id, min(b) AS component FROM mutual GROUP BY a"""
+ORACLE_SQL["ingest_run"] = f"""WITH {INGEST_SQL} SELECT sheet, count(*) FILTER (question <> '' AND answer IS NOT NULL) AS entries, count(*) FILTER (question = '' OR answer IS NULL) AS dropped, count(*) FILTER (question <> '' AND answer IS NOT NULL) AS stored
+FROM y GROUP BY sheet"""
