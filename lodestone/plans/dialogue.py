@@ -9,7 +9,7 @@ from ..functions import rendering
 from ..functions import text as T
 from ..operators import catalogue, checking, graph, matching, retrieval, routing, turns
 from ..operators.staging import fresh_path, staged
-from ..sources import corpus, faq
+from ..sources import corpus, faq, workbook
 from . import catalog
 
 
@@ -207,6 +207,16 @@ def ingest_summary(spark, d):
     return count(entries, "entries").join(count(dropped, "dropped"), "sheet").join(count(late, "duplicates"), "sheet")
 
 
+def workbook_round_trip(spark, d):
+    """The sheets written to workbooks, one a task, and read again, one partition a sheet."""
+    workbook.register(spark)
+    path, rows = fresh_path(spark, "workbooks"), _sheet_rows(spark, d).where("sheet IS NOT NULL AND row > 1")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartition(n, "row").sortWithinPartitions("sheet", "row").write.format("workbook").mode("append").save(path)
+    found = spark.read.format("workbook").load(path)
+    return found.select("sheet", F.col("row").cast("long").alias("row"), F.size("cells").cast("long").alias("n_cells"), F.md5(F.array_join("cells", "|", "-")).alias("cells_md5"))
+
+
 def ingest_run(spark, d):
     """The counts of one pass that stores the entries, beside what is stored then."""
     stored, counts = catalogue.ingest(_sheet_rows(spark, d), _SHEETS, fresh_path(spark, "entries"))
@@ -349,7 +359,7 @@ def block_chunks(spark, d):
 
 
 _FUNCTIONS = (
-    turn_state, turn_state_stream, graph_findings, graph_cycles, breadcrumb_paths, turn_status, scenario_answers, turn_responses, route_reasons, faq_ingest, ingest_summary, ingest_run, graph_violations, answer_html, shown_fields,
+    turn_state, turn_state_stream, graph_findings, graph_cycles, breadcrumb_paths, turn_status, scenario_answers, turn_responses, route_reasons, faq_ingest, ingest_summary, ingest_run, workbook_round_trip, graph_violations, answer_html, shown_fields,
     answer_rates, token_costs, sentence_citations, rerank_topk, retry_once, incremental_add, page_store, text_dump, results_report, envelope_round_trip, block_chunks,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
@@ -449,3 +459,5 @@ ORACLE_SQL["graph_cycles"] = f"""WITH RECURSIVE {WAYS_SQL}, far AS (SELECT a, b
 mutual AS (SELECT x.a, x.b FROM far x JOIN far y ON x.a = y.b AND x.b = y.a) SELECT a AS node_id, min(b) AS component FROM mutual GROUP BY a"""
 ORACLE_SQL["ingest_run"] = f"""WITH {INGEST_SQL} SELECT sheet, count(*) FILTER (question <> '' AND answer IS NOT NULL) AS entries, count(*) FILTER (question = '' OR answer IS NULL) AS dropped, count(*) FILTER (question <> '' AND answer IS NOT NULL) AS stored
 FROM y GROUP BY sheet"""
+ORACLE_SQL["workbook_round_trip"] = r"""WITH c AS (SELECT role AS sheet, conv_id * 100 + turn + 2 AS row, [CAST(turn AS VARCHAR), ' ' || CASE WHEN turn % 5 = 4 THEN '  ' ELSE string_split(text, '.')[1] END || '?', CASE WHEN turn % 3 = 2 THEN '' ELSE text END, 'a.pdf; b.pdf' || chr(10) || 'a.pdf'] AS x, conv_id % 7 = 3 AS short FROM conversations),
+y AS (SELECT sheet, row, CASE WHEN short THEN x[:2] ELSE x END AS x FROM c) SELECT sheet, row, len(x) AS n_cells, md5(array_to_string(x, '|')) AS cells_md5 FROM y"""
