@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
 from ..operators import answering, catalogue, checking, inverted, matching, names, retrieval, routing
-from ..operators.staging import staged
+from ..operators.staging import path_for, staged
 from . import catalog
 
 
+#: Chunks that a document has at most, for ids of chunks.
+CHUNKS = 1_000_000
+
+
 def _t(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -103,6 +107,17 @@ def dense_gate(spark, d):
     return retrieval.gated(sparse, dense).select("query_id", "doc_id", "rank")
 
 
+def chunk_search(spark, d):
+    """Chunks found by words in an index of their own, back to the five documents with the best of them."""
+    path = path_for(spark, "bm25-chunks", f"{d}/documents.parquet")
+    if not inverted.exists(spark, path):
+        pieces = retrieval.chunks(_documents(spark, d)).select((F.col("doc_id") * CHUNKS + F.col("ord")).alias("doc_id"), "text")
+        inverted.add_documents(pieces, path)
+    asked = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    found = inverted.search(spark, path, asked, 20).withColumn("doc_id", F.floor(F.col("doc_id") / CHUNKS))
+    return retrieval.small_to_big(found, 5)
+
+
 def file_catalog(spark, d):
     """The hosts of all pages matched to a catalogue of hosts: those of every third page, without their first label."""
     host = F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1)
@@ -111,7 +126,7 @@ def file_catalog(spark, d):
     return names.catalogued(pages, entries)
 
 
-QUERIES = {f.__name__: f for f in (rag_rounds, cascade, grounded_sentences, file_catalog, hybrid_fuse, hybrid_gate, dense_gate)}
+QUERIES = {f.__name__: f for f in (rag_rounds, cascade, grounded_sentences, file_catalog, hybrid_fuse, hybrid_gate, dense_gate, chunk_search)}
 
 _SPLIT = r"list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
@@ -143,7 +158,11 @@ vp AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round(list_sum(list_tran
 dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM vp QUALIFY rank <= 20)"""
 )
 
+_CHUNKED = catalog.BM25_SQL.replace("FROM documents)", "FROM (SELECT doc_id * 1000000 + ord AS doc_id, substr(text, ord * 700 + 1, 700) AS text FROM (SELECT doc_id, text, unnest(generate_series(0, CAST(ceil(length(text) / 700.0) AS BIGINT) - 1)) AS ord FROM documents)))")
+
 ORACLE_SQL = {
+    "chunk_search": f"""WITH {_CHUNKED}, b AS (SELECT query_id, doc_id // 1000000 AS doc_id, max(score) AS score FROM bm WHERE rank <= 20 GROUP BY ALL)
+SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM b QUALIFY rank <= 5""",
     "hybrid_fuse": f"""WITH {_HYBRID},
 f AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT query_id, doc_id, rank FROM bm WHERE rank <= 20 UNION ALL SELECT query_id, doc_id, rank FROM dr) GROUP BY ALL)
 SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f QUALIFY rank <= 10""",
