@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
-from ..operators import answering, catalogue, checking, inverted, matching, names, retrieval, routing
-from ..operators.staging import path_for, staged
+from ..operators import answering, catalogue, checking, inverted, matching, names, nearest, retrieval, routing
+from ..operators.staging import written, path_for, staged
 from . import catalog
 
 
@@ -118,6 +118,14 @@ def chunk_search(spark, d):
     return retrieval.small_to_big(found, 5)
 
 
+def dense_stored(spark, d):
+    """Every hundredth vector asked against the stored ones."""
+    vectors, path = _t(spark, d, "embeddings"), path_for(spark, "vectors", f"{d}/embeddings.parquet")
+    if not written(spark, path):
+        nearest.store(vectors, path)
+    return nearest.nearest(spark, path, vectors.where("vec_id % 100 = 0"), 10).select("query_id", "vec_id", F.round("score", 4).alias("score"))
+
+
 def file_catalog(spark, d):
     """The hosts of all pages matched to a catalogue of hosts: those of every third page, without their first label."""
     host = F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1)
@@ -126,7 +134,7 @@ def file_catalog(spark, d):
     return names.catalogued(pages, entries)
 
 
-QUERIES = {f.__name__: f for f in (rag_rounds, cascade, grounded_sentences, file_catalog, hybrid_fuse, hybrid_gate, dense_gate, chunk_search)}
+QUERIES = {f.__name__: f for f in (rag_rounds, cascade, grounded_sentences, file_catalog, hybrid_fuse, hybrid_gate, dense_gate, chunk_search, dense_stored)}
 
 _SPLIT = r"list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
@@ -163,6 +171,7 @@ _CHUNKED = catalog.BM25_SQL.replace("FROM documents)", "FROM (SELECT doc_id * 10
 ORACLE_SQL = {
     "chunk_search": f"""WITH {_CHUNKED}, b AS (SELECT query_id, doc_id // 1000000 AS doc_id, max(score) AS score FROM bm WHERE rank <= 20 GROUP BY ALL)
 SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM b QUALIFY rank <= 5""",
+    "dense_stored": catalog.ORACLE_SQL["dense_topk"],
     "hybrid_fuse": f"""WITH {_HYBRID},
 f AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT query_id, doc_id, rank FROM bm WHERE rank <= 20 UNION ALL SELECT query_id, doc_id, rank FROM dr) GROUP BY ALL)
 SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f QUALIFY rank <= 10""",
