@@ -53,6 +53,14 @@ def library_nfc(_, text: str) -> str:
     return normalizers.NFC().normalize_str(text)
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 @lru_cache(maxsize=1)
 def odd_marks() -> re.Pattern:
     """The characters that the library and Python compose or order differently: found by asking both about every one that could be."""
@@ -250,7 +258,7 @@ class Transducer:
     @staticmethod
     def folded(text: str) -> str:
         """NFC, then each character lower-cased by itself: a final sigma is no exception."""
-        if not text.isascii():
+        if not text.isascii() and not _latin(text):  # what is below U+0100 is composed already
             text = (unicodedata.normalize if odd_marks().search(text) is None else library_nfc)("NFC", text)
             if text.isascii() or _ODD.search(text) is None:
                 return text.lower()
