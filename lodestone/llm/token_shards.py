@@ -21,6 +21,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_right
 from decimal import Decimal
 from functools import lru_cache
@@ -32,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_symbols
 from .shared import fresh_path, partitions, staged, text_mb
 
 #: Bytes of a data block, and of a shard after which the next one begins.
@@ -195,11 +197,25 @@ class ShardReader:
         return None
 
 
+class _Known(dict):
+    """The ids of pieces; one that is not there is encoded, and all are forgotten when there are too many."""
+
+    def __init__(self, coder: Encoder):
+        self.coder = coder
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        out = self[piece] = self.coder.piece(piece)
+        return out
+
+
 class Encoder:
     """Ids by the ``tokenizers`` library, which sees every distinct piece of text once.
 
     The vocabulary cuts a text into pieces that are encoded one by one, so the
-    ids of pieces seen before are looked up.  Texts with characters above
+    ids of pieces seen before are looked up, and a new one goes to the
+    library's model as the symbols of its bytes.  Texts with characters above
     U+00FF or with a special token go to the library whole.
     """
 
@@ -217,9 +233,15 @@ class Encoder:
         self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
         self.pieces = re.compile(
-            rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{self.LETTER}]+| ?[{self.DIGIT}]+| ?[^{self.SPACE}{self.LETTER}{self.DIGIT}]+|[{self.SPACE}]+(?![^{self.SPACE}])|[{self.SPACE}]+"
+            rf" ?[{self.LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{self.DIGIT}]+| ?[^{self.SPACE}{self.LETTER}{self.DIGIT}]+|[{self.SPACE}]+(?![^{self.SPACE}])|[{self.SPACE}]+"
         )
-        self.known: dict[str, bytes] = {}
+        self.model, self.symbols = self.library.model, dict(enumerate(byte_symbols()))
+        self.known = _Known(self)
+
+    def piece(self, text: str) -> bytes:
+        """The ids of one piece."""
+        symbols = text.encode().decode("latin-1").translate(self.symbols)
+        return array("H" if self.width == 2 else "I", [x.id for x in self.model.tokenize(symbols)]).tobytes()
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype=self.kind).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -231,14 +253,7 @@ class Encoder:
             return self._library([text])[0]
         if any(x in text for x in self.special):
             return self._library([text])[0]
-        pieces = self.pieces.findall(text)
-        new = list(set(pieces).difference(self.known))
-        if new:
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                new = list(set(pieces))
-            self.known.update(zip(new, self._library(new), strict=True))
-        return b"".join(map(self.known.__getitem__, pieces))
+        return b"".join(map(self.known.__getitem__, self.pieces.findall(text)))
 
 
 @lru_cache(maxsize=2)
