@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
+from . import catalogue, matching, routing
 from .inverted import Search
 from .staging import staged
 
@@ -130,3 +131,30 @@ def controlled(spark: SparkSession, path: str, docs: DataFrame, queries: DataFra
         "query_id", "attempt", "coverage", F.transform(F.coalesce("s", F.expr("array()").cast(dict(said.dtypes)["s"])), lambda x: F.struct(x["doc_id"].alias("doc_id"), x["pos"].alias("pos"))).alias("cites"),
         F.array_join(F.col("s.sentence"), ". ").alias("answer"), (F.col("coverage") >= least).alias("resolved"), warnings.alias("warnings"),
     )
+
+
+def answered_by_cascade(spark: SparkSession, questions: DataFrame, faq: DataFrame, path: str, docs: DataFrame) -> DataFrame:
+    """Every question (number, question) by the first step that has an answer: equal, similar, from documents, or none.
+
+    ``faq`` is the curated table (ordinal, id, question_normalized, answer),
+    ``path`` an index of ``docs``.  What one step answers does not reach the
+    next; the warnings of all steps that a question has met are joined.
+    """
+    matched = staged(matching.match(questions, faq.drop("answer"), keyless=True).select("number", "decision", "matched_id"), "matched")
+    curated = catalogue.last_wins(faq, "id", "ordinal").select(F.col("id").alias("matched_id"), F.col("answer").alias("scenario_answer"))
+    text = lambda kind: F.lit(None).cast(kind)
+    none = F.expr("cast(array() as array<string>)")
+    sure = matched.where(F.col("decision").isin("exact", "accept")).join(curated, "matched_id", "left").where("scenario_answer IS NOT NULL")
+    first = sure.select("number", F.lit("scenario").alias("route"), "scenario_answer", text("string").alias("rag_answer"), text("string").alias("rag_path"), text("string").alias("rag_confidence"), text("string").alias("web_answer"), none.alias("warnings"))
+    left = staged(questions.join(sure.select("number"), "number", "left_anti").join(matched.select("number", "decision"), "number", "left"), "left")
+    asked = left.select(F.col("number").alias("query_id"), F.col("question").alias("text"))
+    found = controlled(spark, path, docs, asked).withColumnRenamed("query_id", "number")
+    rows = left.select("number", "decision").join(found, "number", "left")
+    answer = F.when(F.coalesce("resolved", F.lit(False)), F.col("answer"))
+    mode = F.when(answer.isNotNull(), "text")
+    confidence = F.when(F.col("attempt") == 1, "high").otherwise("low")  # what was asked anew is shown with caution
+    gate = routing.after_rag(answer, mode, confidence, F.lit(False), False, "in_domain_unresolved")
+    close = F.when(F.col("decision") == "reject_ambiguous", F.array(F.lit("two curated questions are alike"))).otherwise(none)
+    joined = F.concat(close, F.coalesce("warnings", none), gate["warnings"])
+    rest = rows.select("number", gate["route"].alias("route"), text("string").alias("scenario_answer"), answer.alias("rag_answer"), mode.alias("rag_path"), confidence.alias("rag_confidence"), text("string").alias("web_answer"), joined.alias("warnings"))
+    return routing.final_rows(first.unionByName(rest))
