@@ -87,7 +87,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
     repeat an id are judged by their own texts.  Null ids are allowed in
     ``docs``; items with a null id count under no name.  An empty table of
     documents gives an empty result, an empty benchmark no hits.  Other columns
-    are not read.
+    are not read.  Texts of any length are looked through whole, as one row.
     """
     return _judged(docs, benchmark, text, doc_id, item_id, item_text).drop("text_hash")
 

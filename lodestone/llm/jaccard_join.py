@@ -350,8 +350,9 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     Null, empty and blank texts have no shingles and link with nothing, so
     they are their own component.  A null id gives a null component.  Rows that
     repeat an id are one node of the graph and all come back.  An empty table
-    gives an empty result; other columns are not read.  Shingles are told apart
-    by 64-bit hashes.
+    gives an empty result; other columns are not read.  Texts of any length are
+    hashed whole, a few megabytes of words at a time; a task holds its longest
+    text.  Shingles are told apart by 64-bit hashes of a key drawn for each run.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))

@@ -192,7 +192,8 @@ def predict(docs: DataFrame, filters: Filters, keep: list[str], text: str = "tex
     to 1, or 0 where no n-gram is known; such texts get the most common
     language learned.  Of languages with equal counts the first by name wins.
     Null texts and texts without a letter get ``und`` and 0, and so does
-    everything if nothing was learned.  Columns of ``keep`` that are named
+    everything if nothing was learned.  Texts of any length count whole; a task
+    holds its longest one.  Columns of ``keep`` that are named
     ``lang_pred`` or ``score`` give way to the new ones.
     """
     small_batches(docs.sparkSession)

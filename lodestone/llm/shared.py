@@ -101,9 +101,13 @@ def text_mb(docs: DataFrame, column: str = "text") -> float:
     return (total or 0) / 1e6
 
 
+#: Partitions at most: a driver that keeps books of millions of them is slower than larger ones, which tasks read as streams.
+MOST_PARTITIONS = 1 << 16
+
+
 def partitions(spark: SparkSession, mb: float, each_mb: float = 16.0) -> int:
-    """Enough partitions that each holds about ``each_mb``, and no fewer than the session asks for."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(mb / each_mb) + 1)
+    """Enough partitions that each holds about ``each_mb`` (more beyond 1 TB of 16 MB each), and no fewer than the session asks for."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTITIONS, int(mb / each_mb) + 1))
 
 
 #: Bits of an id filter: a fixed 1 MB, whatever the input.

@@ -207,8 +207,8 @@ def scored(docs: DataFrame, model: tuple[float, dict[int, float]], keep: list[st
     ``sentences`` lists the offending ones: character offsets (-1 if
     lower-casing changes the text's length) and score.  Null and empty texts
     score 0.  Without labels of both kinds the model scores all near 0.
-    Repeated rows all come back; an empty table gives an empty result.  Columns
-    of ``keep`` that have the names of new ones give way to them.
+    Repeated rows all come back; an empty table gives an empty result.  Texts of
+    any length are scored whole, sentence by sentence.  Columns of ``keep`` that have the names of new ones give way to them.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most WEIGHED weights

@@ -251,7 +251,8 @@ def audit(index: DataFrame, replicas: list[DataFrame]) -> DataFrame:
     that record, and so do files that are missing or not listed of all their
     records.  With one replica there is nothing to compare, so every record is
     held against the digest that it names.  Repeated pages are records of their
-    own; an empty index gives an empty result.
+    own; an empty index gives an empty result.  A record of any length is read
+    and hashed whole, one at a time.
     """
     trees = [merkle(index, files) for files in replicas]
     # What no replica has looks the same in all trees.
