@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import terms
 from lodestone.operators import inverted, retrieval
 from lodestone.operators.staging import fresh_path
 
@@ -56,3 +57,17 @@ def test_empty_index(spark):
     path = fresh_path(spark, "index")
     assert inverted.add_documents(documents(spark).limit(0), path) == 0
     assert inverted.search(spark, path, asked(spark), 3).count() == 0
+
+
+def test_no_pair_leaves_a_task_but_the_best_of_its_group(spark):
+    docs, path = documents(spark, 1500), fresh_path(spark, "index")
+    inverted.add_documents(docs, path, span=64)
+    many = docs.where("doc_id % 10 = 0").select(F.col("doc_id").alias("query_id"), "text")  # long questions: each meets nearly every document
+    found = inverted.Search(spark, path, many)
+    asks = found.terms.select("query_id").distinct().count()
+    for counted in (False, True):
+        assert found._met(3, counted).count() <= 4 * 3 * asks  # four groups
+    assert ordered(found.best(3)) == ordered(retrieval.bm25(docs, many, 3))
+    words = docs.select("doc_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).join(found.asked, "term")
+    shared = words.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("score"))
+    assert ordered(found.fullest(3)) == ordered(retrieval.top(shared, "query_id", "doc_id", 3))
