@@ -3,9 +3,11 @@
 import datetime as dt
 import random
 
+from pyspark.sql import Row
+
 from lodestone.operators.graph import RESTART
 from lodestone.operators.staging import fresh_path
-from lodestone.streaming.turns import run_turns
+from lodestone.streaming.turns import TurnProcessor, run_turns
 
 SCHEMA = "session string, ts timestamp, turn_id long, kind string, node_id string, option_id string, label string"
 EDGES = [("root", 1, "a", "A", "m"), ("m", 1, "b", "B", "end"), ("m", 2, "c", "C", "n"), ("n", 1, "up", "Up", "root"), ("end", 1, RESTART, "Again", "root")]
@@ -50,3 +52,26 @@ def test_state_survives_a_restart(spark):
         found = run_turns(spark, f"{base}/in", landed.schema, lambda x: x, edges, ends, "root", f"{base}/out", f"{base}/state", files=1)
         got = {(r["session"], r["turn_id"]): tuple(r[c] for c in ("error", "position", "completed", "epoch", "thread", "labels", "since")) for r in found.collect()}
         assert got == plain(turns[:high])
+
+
+def test_a_session_is_taken_row_by_row(spark):
+    class State:
+        kept = None
+
+        def get(self):
+            return self.kept
+
+        def update(self, now):
+            self.kept = now
+
+        def clear(self):
+            self.kept = None
+
+    processor = TurnProcessor("root")
+    processor.state = State()
+    turn = lambda ts, n, kind: Row(session="a", ts=ts, turn_id=n, kind=kind, option_id="b", label="B", next_node_id="end", is_end=True, error=None)
+    rows = [turn(dt.datetime(2024, 1, 2), 2, "action"), turn(None, 3, "action"), turn(dt.datetime(2024, 1, 1), 1, "text")]
+    got = [(r.turn_id, r.position, r.completed, r.epoch, r.labels, r.since) for r in processor.handleInputRows(("a",), iter(rows), None)]
+    assert got == [(1, None, False, 1, 0, 1), (2, "end", True, 1, 1, 1), (3, "end", True, 1, 2, 1)] and processor.state.kept == (0, 1, "end", True, 2, 1)
+    list(processor.handleInputRows(("a",), iter([turn(None, 4, "reset")]), None))
+    assert processor.state.kept == (1, 0, None, False, 0, None)
