@@ -107,3 +107,15 @@ def test_settings():
     assert load({}) == Settings()
     got = load({"LODESTONE_THRESHOLD": "0.8", "LODESTONE_WEB_ENABLED": "Yes", "LODESTONE_PAGES": "x", "LODESTONE_MARGIN": ""})
     assert (got.threshold, got.web_enabled, got.pages, got.margin) == (0.8, True, 3, 0.05)
+
+
+def test_only_wide_texts_go_to_python_and_batches_are_bounded(spark):
+    import __spark_entry__ as entry
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    entry.queries()["faq_duplicates"](spark, "/root/testdata/sf0.001")
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "8m"
+    rows = spark.createDataFrame([("Plain  Text ",), ("ﬁne　Text",), (None,)], "text string").select(T.normalized(F.col("text")).alias("x"))
+    assert [r["x"] for r in rows.collect()] == ["plain text", "fine text", ""]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "octet_length" in plan  # ASCII goes to the UDF as null
