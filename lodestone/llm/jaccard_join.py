@@ -12,6 +12,8 @@ tile first links its documents to its smallest one, its hub; only tiles that
 then still hold several components are compared in full, by blocks of fixed
 size.  Near copies meet in many tiles; those of one hub become one tile where
 that is less work, so that a pair comes up about once and not once a tile.
+Pairs of such a tile are settled in its task and only links that join two
+components leave it, so what is shuffled grows with the tile's documents.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from .shared import filter_slot, id_filter, in_filter, lean, small_batches, stag
 SHINGLE, PERCENT = 4, 85
 #: Least bits of a bitmap, documents of a block of a tile, bytes hashed at a time.
 BITS, BLOCK, CHUNK = 256, 1024, 4 << 20
+#: Bytes of a block's sorted arrays, about; a block of longer sets has fewer documents.
+BLOCK_BYTES = 32 << 20
 #: Bits of a bitmap for each element, at least: with fewer, unlike sets pass the bound.
 DENSITY = 2
 #: Counters of the sketch that finds common shingles, one for every ``DOCS_EACH`` documents within these bounds.
@@ -194,58 +198,117 @@ def _bounded(percent: int):
     return run
 
 
-def _tile_pairs(percent: int):
-    """Rows ordered by tile in; pairs of different components whose bitmaps allow the threshold out.
+def _whole_tiles(batches):
+    """Rows ordered by tile as tables of whole tiles, each with the edges of its tiles."""
+    held = None
+    for batch in _with_end(batches):
+        table = held if batch is None else pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        if table is None or not table.num_rows:
+            continue
+        tile = table.column("tile").to_numpy()
+        cuts = np.flatnonzero(np.diff(tile)) + 1
+        edges = np.r_[0, cuts, len(tile)] if batch is None else np.r_[0, cuts]
+        whole = int(edges[-1])
+        yield table.slice(0, whole), [(a, b) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) if b - a > 1]
+        held = table.slice(whole)
+
+
+def _possible(comp, n, bits, side, percent):
+    """Rows of a tile, each with those in other components that its bitmap allows at the threshold.
 
     A tile's rows hold at most two blocks: ``side`` 0 is compared with ``side``
     1, or with itself if there is no other.  Two bitmaps are compared at the
-    smaller one's size.
+    smaller one's size.  ``comp`` may change meanwhile.
     """
+    size = np.array([len(x) for x in bits])
+    at = {s: np.stack([folded(x, s) if len(x) >= s else np.zeros(s // 8, np.uint64) for x in bits]) for s in np.unique(size).tolist()}
+    zero = side == 0
+    left = np.flatnonzero(zero)
+    right = np.flatnonzero(~zero) if not zero.all() else left
+    for i in left.tolist():
+        rest = right[right > i] if right is left else right
+        fits = rest[comp[rest] != comp[i]]
+        if not len(fits):
+            continue
+        differ, shared = np.zeros(len(fits), dtype=np.int64), np.minimum(size[fits], size[i])
+        for s, folds in at.items():
+            own = shared == s
+            differ[own] = np.bitwise_count(folds[fits[own]] ^ folds[i]).sum(axis=1, dtype=np.int64)
+        most = np.minimum((n[fits] + n[i] - differ) // 2, np.minimum(n[fits], n[i]))
+        fits = fits[_similar(n[fits], n[i], most, percent)]
+        if len(fits):
+            yield i, fits
+
+
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def pairs(rep, comp, n, bits, side):
-        size = np.array([len(x) for x in bits])
-        at = {s: np.stack([folded(x, s) if len(x) >= s else np.zeros(s // 8, np.uint64) for x in bits]) for s in np.unique(size).tolist()}
-        zero = side == 0
-        left = np.flatnonzero(zero)
-        right = np.flatnonzero(~zero) if not zero.all() else left
-        out_a, out_b = [], []
-        for i in left:
-            rest = right[right > i] if right is left else right
-            fits = rest[comp[rest] != comp[i]]
-            if not len(fits):
-                continue
-            differ, shared = np.zeros(len(fits), dtype=np.int64), np.minimum(size[fits], size[i])
-            for s, folds in at.items():
-                own = shared == s
-                differ[own] = np.bitwise_count(folds[fits[own]] ^ folds[i]).sum(axis=1, dtype=np.int64)
-            most = np.minimum((n[fits] + n[i] - differ) // 2, np.minimum(n[fits], n[i]))
-            fits = fits[_similar(n[fits], n[i], most, percent)]
-            out_a.append(np.minimum(rep[fits], rep[i]))
-            out_b.append(np.maximum(rep[fits], rep[i]))
-        return out_a, out_b
+
+def _tile_pairs(percent: int):
+    """Rows ordered by tile in; pairs of different components whose bitmaps allow the threshold out."""
 
     def run(batches):
-        held = None
-        for batch in _with_end(batches):
-            table = held if batch is None else pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            if table is None or not table.num_rows:
-                continue
-            tile = table.column("tile").to_numpy()
-            cuts = np.flatnonzero(np.diff(tile)) + 1
-            edges = np.r_[0, cuts, len(tile)] if batch is None else np.r_[0, cuts]
-            whole = int(edges[-1])
-            rep, comp, n, side = (table.column(c).to_numpy()[:whole] for c in ("rep", "component", "n", "side"))
-            bits = table.column("bits").slice(0, whole).to_pylist()
+        for table, tiles in _whole_tiles(batches):
+            rep, comp, n, side = (table.column(c).to_numpy() for c in ("rep", "component", "n", "side"))
+            bits = table.column("bits").to_pylist()
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if high - low > 1:
-                    s = slice(low, high)
-                    more = pairs(rep[s], comp[s], n[s], bits[s], side[s])
-                    a += more[0]
-                    b += more[1]
+            for low, high in tiles:
+                s = slice(low, high)
+                for i, fits in _possible(comp[s], n[s], bits[s], side[s], percent):
+                    a.append(np.minimum(rep[s][fits], rep[low + i]))
+                    b.append(np.maximum(rep[s][fits], rep[low + i]))
             both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64())], ["a", "b"])
-            held = table.slice(whole)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64())], schema=_PAIRS)
+
+    return run
+
+
+def _tile_ends(percent: int):
+    """Rows ordered by tile and rep in; of them, once, those that some such pair of their tile has out."""
+
+    def run(batches):
+        for table, tiles in _whole_tiles(batches):
+            tile, rep, comp, n, side = (table.column(c).to_numpy() for c in ("tile", "rep", "component", "n", "side"))
+            bits = table.column("bits").to_pylist()
+            met = np.zeros(len(rep), dtype=bool)
+            for low, high in tiles:
+                s = slice(low, high)
+                for i, fits in _possible(comp[s], n[s], bits[s], side[s], percent):
+                    met[low + i] = True
+                    met[low + fits] = True
+            at = np.flatnonzero(met)
+            at = at[np.r_[True, (np.diff(tile[at]) != 0) | (np.diff(rep[at]) != 0)]] if len(at) else at  # an id may have several sets
+            yield from table.select(["tile", "rep", "component", "side"]).take(pa.array(at)).combine_chunks().to_batches()
+
+    return run
+
+
+def _tile_links(percent: int):
+    """Rows ordered by tile in, with sorted arrays; links that join the tile's components out, fewer than its rows."""
+
+    def links(rep, comp, side, items):
+        n = np.array([len(u) for u in items])
+        at = np.r_[0, np.cumsum(n)].tolist()
+        found, place = np.unique(np.concatenate(items), return_inverse=True)
+        mark = np.zeros(len(found), dtype=bool)
+        for i, fits in _possible(comp, n, [bitmap(u) for u in items], side, percent):
+            own = place[at[i] : at[i + 1]]
+            mark[own] = True
+            for j in fits.tolist():
+                if comp[j] != comp[i] and _similar(n[i], n[j], np.count_nonzero(mark[place[at[j] : at[j + 1]]]), percent):
+                    comp[comp == comp[j]] = comp[i]
+                    yield min(rep[i], rep[j]), max(rep[i], rep[j])
+            mark[own] = False
+
+    def run(batches):
+        for table, tiles in _whole_tiles(batches):
+            rep, comp, side = (table.column(c).to_numpy() for c in ("rep", "component", "side"))
+            items = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("items")]
+            out = []
+            for low, high in tiles:
+                s = slice(low, high)
+                out += links(rep[s], comp[s].copy(), side[s], items[s])
+            a, b = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_PAIRS)
 
     return run
 
@@ -259,29 +322,34 @@ def _distinct_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _items(docs: DataFrame, ends: DataFrame, width: int, key: bytes, name: str) -> DataFrame:
+    """The sorted arrays (doc_id, items) of the documents ``ends`` (doc_id)."""
+    held = id_filter(ends, "doc_id")
+    items = docs.select("doc_id", "text", filter_slot("doc_id").alias("slot")).mapInArrow(lean(_full_sets(width, held, key)), "doc_id long, items binary")
+    return staged(items.join(ends, "doc_id", "left_semi"), f"{name}-items")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, percent: int, key: bytes, name: str) -> DataFrame:
     """The ``pairs`` (a, b) that reach the threshold: by size, then bit counts, then sorted arrays."""
     side = lambda x: sets.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     near = staged(sized.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(lean(_bounded(percent)), "a long, b long"), f"{name}-near")
     ends = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
-    held = id_filter(ends, "doc_id")
-    items = docs.select("doc_id", "text", filter_slot("doc_id").alias("slot")).mapInArrow(lean(_full_sets(width, held, key)), "doc_id long, items binary")
-    items = staged(items.join(ends, "doc_id", "left_semi"), f"{name}-items")
+    items = _items(docs, ends, width, key, name)
     with_a = near.join(items.select(F.col("doc_id").alias("a"), F.col("items").alias("items_a")), "a")
     with_both = with_a.join(items.select(F.col("doc_id").alias("b"), F.col("items").alias("items_b")), "b")
     return staged(with_both.select("a", "b", "items_a", "items_b").mapInArrow(lean(_exact(percent)), "a long, b long"), f"{name}-links")
 
 
 def _by_hub(placed: DataFrame, hubs: DataFrame) -> DataFrame:
-    """Rows (tile, rep, n, component, docs) with the tiles of one hub made one tile, where all its pairs are fewer than those of its tiles."""
+    """Rows (tile, rep, n, component, docs, most) with the tiles of one hub made one tile, where all its pairs are fewer than those of its tiles."""
     rows = placed.join(hubs.select("tile", "hub"), "tile")
     once = rows.select("hub", "rep", "n", "component").distinct()
     costs = rows.groupBy("hub").agg(F.sum(F.col("docs").cast("double")).alias("pairs"))
-    sizes = once.groupBy("hub").agg(F.count(F.lit(1)).alias("members"))
-    joins = staged(sizes.join(costs, "hub").where(F.col("members").cast("double") * F.col("members") <= F.col("pairs")).select("hub", "members"), "joins")
-    apart = rows.join(joins, "hub", "left_anti").select("tile", "rep", "n", "component", "docs")
-    return apart.unionByName(once.join(joins, "hub").select(F.xxhash64(F.lit("hub"), "hub").alias("tile"), "rep", "n", "component", F.col("members").alias("docs")))
+    sizes = once.groupBy("hub").agg(F.count(F.lit(1)).alias("members"), F.max("n").alias("most"))
+    joins = staged(sizes.join(costs, "hub").where(F.col("members").cast("double") * F.col("members") <= F.col("pairs")).select("hub", "members", "most"), "joins")
+    apart = rows.join(joins, "hub", "left_anti").select("tile", "rep", "n", "component", "docs", "most")
+    return apart.unionByName(once.join(joins, "hub").select(F.xxhash64(F.lit("hub"), "hub").alias("tile"), "rep", "n", "component", F.col("members").alias("docs"), "most"))
 
 
 def _common_counters(docs: DataFrame, width: int, percent: int, key: bytes) -> np.ndarray | None:
@@ -318,16 +386,22 @@ def _prepared(docs: DataFrame, width: int, percent: int, key: bytes) -> tuple[Da
     tiles = posted.join(keys, "key").select("rep", "n", "key", band.alias("band"))
     tiles = staged(tiles.select("rep", "n", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("family"), "key").select("rep", "n", F.xxhash64("key", "family").alias("tile")), "tiles")
     # Tiles of the same documents are one tile.
-    members = [F.count(F.lit(1)).alias("docs"), F.bit_xor(F.xxhash64("rep")).alias("xor")]
+    members = [F.count(F.lit(1)).alias("docs"), F.bit_xor(F.xxhash64("rep")).alias("xor"), F.max("n").alias("most")]
     hubs = tiles.groupBy("tile").agg(F.min("rep").alias("hub"), *members).where("docs > 1")
-    hubs = staged(hubs.groupBy("hub", "docs", "xor").agg(F.min("tile").alias("tile")).select("tile", "hub", "docs"), "hubs")
+    hubs = staged(hubs.groupBy("hub", "docs", "xor").agg(F.min("tile").alias("tile"), F.max("most").alias("most")).select("tile", "hub", "docs", "most"), "hubs")
     tiles = staged(tiles.join(hubs, "tile"), "kept-tiles")
     return found, classes, sets, tiles, hubs
 
 
-def _compared(joined: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in the tiles ``joined`` (tile, rep, n, component, docs) whose bitmaps allow the threshold."""
-    blocks = F.ceil(F.col("docs") / F.lit(float(BLOCK))).cast("int")
+def _by_tile(rows: DataFrame) -> DataFrame:
+    n_parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n_parts, "tile").sortWithinPartitions("tile", "rep")
+
+
+def _dealt(joined: DataFrame, sets: DataFrame) -> DataFrame:
+    """The tiles ``joined`` (tile, rep, n, component, docs, most), with bitmaps, in tiles of at most two blocks, ordered."""
+    blocks = F.ceil(F.greatest(F.col("docs") / F.lit(float(BLOCK)), F.col("docs") * F.col("most") * F.lit(8.0 / BLOCK_BYTES))).cast("int")
+    blocks = F.least(F.col("docs").cast("int"), blocks)
     dealt = joined.join(sets.select("rep", "bits"), "rep").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
     # Each pair of blocks is a tile of its own: a document goes to those of its block with every other one.
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -335,8 +409,24 @@ def _compared(joined: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         F.xxhash64("tile", F.least("own", "other"), F.greatest("own", "other")).alias("tile"),
         "rep", "component", "n", "bits", (F.col("own") > F.col("other")).cast("int").alias("side"),
     )
-    n_parts = int(joined.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n_parts, "tile").sortWithinPartitions("tile", "rep").mapInArrow(lean(_tile_pairs(percent)), "a long, b long")
+    return _by_tile(dealt)
+
+
+def _compared(joined: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components in the tiles ``joined`` whose bitmaps allow the threshold."""
+    return _dealt(joined, sets).mapInArrow(lean(_tile_pairs(percent)), "a long, b long")
+
+
+def _joining(joined: DataFrame, docs: DataFrame, sets: DataFrame, width: int, percent: int, key: bytes, name: str) -> DataFrame:
+    """Links between different components in the tiles ``joined``: enough to join all that their links join.
+
+    Rows whose bitmaps allow some pair of their tile come with their sorted
+    arrays; the pairs themselves never leave the task that compares them.
+    """
+    near = staged(_dealt(joined, sets).mapInArrow(lean(_tile_ends(percent)), "tile long, rep long, component long, side int"), f"{name}-near")
+    items = _items(docs, near.select(F.col("rep").alias("doc_id")).distinct(), width, key, name)
+    full = near.join(items.withColumnRenamed("doc_id", "rep"), "rep").select("tile", "rep", "component", "side", "items")
+    return staged(_distinct_pairs(_by_tile(full).mapInArrow(lean(_tile_links(percent)), "a long, b long")), f"{name}-links")
 
 
 def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -364,10 +454,9 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     # Tiles that still hold more than one component are compared in full.
     member = F.coalesce("component", "rep").alias("component")
     placed = staged(tiles.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("tile", "rep", "n", member), "placed")
-    mixed_tiles = staged(placed.groupBy("tile").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("docs")).where("low < high").select("tile", "docs"), "mixed")
+    mixed_tiles = staged(placed.groupBy("tile").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("docs"), F.max("n").alias("most")).where("low < high").select("tile", "docs", "most"), "mixed")
     joined = staged(_by_hub(placed.join(mixed_tiles, "tile"), hubs), "joined")
-    rest = staged(_distinct_pairs(_compared(joined, sets, percent)).join(stars, ["a", "b"], "left_anti"), "rest")
-    more = _verified(rest, docs, sets, width, percent, key, "rest")
+    more = _joining(joined, docs, sets, width, percent, key, "rest")
     of_class = connected_components(links.unionByName(more))
     classes = classes.join(of_class.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
     out = found.select("doc_id", "n", "s1", "s2").join(staged(classes, "named"), ["n", "s1", "s2"], "left")
@@ -393,7 +482,7 @@ def similar_pairs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     key = fresh_key()
     found, classes, sets, tiles, hubs = _prepared(docs, width, percent, key)
-    placed = tiles.select("tile", "rep", "n", F.col("rep").alias("component"), "docs")
+    placed = tiles.select("tile", "rep", "n", F.col("rep").alias("component"), "docs", "most")
     pairs = staged(_distinct_pairs(_compared(_by_hub(placed, hubs), sets, percent)), "pairs")
     pairs = _verified(pairs, docs, sets, width, percent, key, "pairs")
     rows = classes.groupBy("rep").agg(F.sum("members").alias("rows"))

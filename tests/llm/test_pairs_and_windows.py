@@ -174,6 +174,49 @@ def test_pairs_of_a_group_come_up_about_once(spark, monkeypatch, size, percent,
     assert seen[1] <= 4 * close + 60
 
 
+def test_rows_grow_with_a_group_not_with_its_square(spark, monkeypatch):
+    """Near copies of one text that are just unlike each other, or just alike: four times as many make no table more than about four times longer."""
+    made, plain = {}, jaccard_join.staged
+
+    def counted(df, name):
+        made[name] = (out := plain(df, name)).count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "staged", counted)
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(512)]
+    rows = []
+    for i in range(160):
+        w = list(base)
+        for at in rng.sample(range(512), rng.choice([5, 6, 7, 8])):
+            w[at] = f"v{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w), "en", i))
+    lengths = []
+    for group in (rows[:40], rows):
+        made.clear()
+        sizes, comp = near(group, 5, 80)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.similar_documents(frame(spark, group), width=5, percent=80).collect()}
+        assert got == {d: (sizes[d], comp[d]) for d in sizes}
+        assert len(set(comp.values())) > 1
+        lengths.append(dict(made))
+    assert [k for k, n in lengths[1].items() if n > 7 * max(lengths[0][k], 40)] == []
+    assert lengths[1]["rest-links"] < 160  # less than one a row: a forest
+
+
+def test_blocks_of_long_sets(spark, monkeypatch):
+    """Blocks bounded by bytes, of three documents and of one each: no link is lost, and rows that repeat an id are one node."""
+    rows = corpus(5)
+    rows += [(rows[12][0], rows[20][1], "en", 1), (rows[15][0], rows[25][1], "en", 1)]
+    alone = dict(enumerate(rows))
+    _, comp = near([(k, r[1]) for k, r in alone.items()])
+    ids = [r[0] for r in rows]
+    want = components_of(ids, [(ids[k], ids[c]) for k, c in comp.items()])
+    for size in (3 * 8 * 120, 1):
+        monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", size)
+        got = {r["doc_id"]: r["component_id"] for r in jaccard_join.similar_documents(frame(spark, rows)).collect()}
+        assert got == want
+
+
 def test_near_duplicates_stage_judges_rows(spark):
     rng = random.Random(8)
     texts = [" ".join(f"w{rng.randrange(50)}" for _ in range(60)) for _ in range(6)]
