@@ -8,6 +8,7 @@ from lodestone.functions.grounding import SuffixAutomaton, supported
 from lodestone.functions.text import normalized
 from lodestone.operators import answering, checking, inverted
 from lodestone.operators.staging import fresh_path
+from lodestone.plans.catalog import QUERIES
 
 
 def test_runs_of_evidence():
@@ -28,6 +29,45 @@ def test_grounded_edges(spark):
     assert got == [(1, 0, 3, 2, 2, 0.666667), (1, 1, 4, 2, 2, 0.5), (2, 0, 2, 0, 0, 0.0)]
 
 
+def test_runs_of_several_texts():
+    rng = random.Random(10)
+    for _ in range(300):
+        texts = [[rng.choice("abc") for _ in range(rng.randrange(0, 12))] for _ in range(rng.randrange(0, 6))]
+        words = [rng.choice("abcd") for _ in range(rng.randrange(0, 12))]
+        automaton, have = SuffixAutomaton(), {tuple(x[i:j]) for x in texts for i in range(len(x)) for j in range(i + 1, len(x) + 1)}
+        for x in texts:
+            automaton.add(x)
+        assert automaton.matched(words) == [max((n for n in range(end + 1) if tuple(words[end - n : end]) in have), default=0) for end in range(1, len(words) + 1)]
+        assert len(automaton.size) <= 2 * sum(map(len, texts)) + 1
+
+
+def test_grounded_in_all_earlier_turns(spark):
+    # Turn 5 repeats what turns 0 and 3 say, after a gap; a run does not go on from one turn to the next, and what comes later counts for nothing.
+    said = [(1, 0, "user", "the red pump leaks"), (1, 1, "assistant", "Check the valve."), (1, 3, "user", "oil it now"), (1, 5, "assistant", "Oil it. The red pump! Leaks oil it? Valve"), (1, 6, "user", "leaks oil it")]
+    path = fresh_path(spark, "tables")
+    spark.createDataFrame([*said, (2, 0, "user", "check the valve"), (2, 1, "assistant", None)], "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
+    got = sorted(tuple(r)[:6] for r in QUERIES["grounded_sentences"](spark, path).collect())
+    assert got == [(1, 1, 0, 3, 0, 1), (1, 5, 0, 2, 2, 2), (1, 5, 1, 3, 3, 3), (1, 5, 2, 3, 2, 2), (1, 5, 3, 1, 0, 1)]
+
+
+def test_grounded_before_by_brute_force(spark):
+    rng = random.Random(11)
+    key = lambda most: rng.choice([None, *range(most)])
+    rows = [(key(4), key(9), rng.choice([None, " ".join(rng.choice(["a", "b", "B", "c.", "d!"]) for _ in range(rng.randrange(0, 9)))]), rng.choice([None, True, False, True])) for _ in range(150)]
+    want = []
+    for group, order, text, asked in rows:
+        before = [(t or "").lower().replace(".", "").replace("!", "").split() for g, o, t, _ in rows if None not in (group, order, g, o) and g == group and o < order]
+        have = {tuple(x[i:j]) for x in before for i in range(len(x)) for j in range(i + 1, len(x) + 1)}
+        for ord_, said in enumerate([x.lower().split() for x in (text or "").replace("!", ".").split(".") if x.strip()] if asked else []):
+            pieces = [(i, j) for i in range(len(said)) for j in range(i + 1, len(said) + 1) if tuple(said[i:j]) in have]
+            covered = len({k for i, j in pieces if j - i >= 2 for k in range(i, j)})
+            want.append((group, order, ord_, len(said), covered, max((j - i for i, j in pieces), default=0), round(covered / len(said), 6)))
+    table = spark.createDataFrame(rows, "g long, o long, text string, asked boolean").repartition(3)
+    for piece in (checking.PIECE, 60, 1):  # whole groups, a few pieces each, about a piece for each byte
+        got = [tuple(r) for r in checking.grounded_before(table, "g", "o", 2, piece).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
 DOCS = [
     (1, "Pumps fail when valves jam. Rain fell. Valves jam in cold weather! Cold weather ends."),
     (2, "The printer needs paper. Trays hold paper and ink."),
