@@ -53,6 +53,15 @@ def test_most_blocks_are_skipped_and_an_unfinished_batch_is_none(spark):
     assert ordered(inverted.search(spark, path, asked(spark), 3)) == want
 
 
+def test_documents_without_words_fill_a_task(spark):
+    bare = spark.createDataFrame([(i, (None, "", " ?! ")[i % 3]) for i in range(5)], SCHEMA).coalesce(1)
+    docs, path = spark.createDataFrame([(7, "a rare1"), (8, "b")], SCHEMA), fresh_path(spark, "index")
+    assert inverted.add_documents(bare, path, span=2) == 5
+    assert inverted.search(spark, path, asked(spark), 3).count() == 0
+    assert inverted.add_documents(docs, path) == 2
+    assert ordered(inverted.search(spark, path, asked(spark), 3)) == ordered(retrieval.bm25(bare.unionByName(docs), asked(spark), 3))
+
+
 def test_empty_index(spark):
     path = fresh_path(spark, "index")
     assert inverted.add_documents(documents(spark).limit(0), path) == 0
